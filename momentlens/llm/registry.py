@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from momentlens.llm import quality_rules
+from momentlens.llm import decontaminate, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op9_decontamination": decontaminate.query,
         "op10_quality_rules": quality_rules.query,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op9_decontamination": decontaminate.ORACLE,
         "op10_quality_rules": quality_rules.oracle(),
     }
