@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from momentlens.llm import decontaminate, quality_rules
+from momentlens.llm import decontaminate, near_duplicates, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op4_near_duplicates": near_duplicates.query,
         "op9_decontamination": decontaminate.query,
         "op10_quality_rules": quality_rules.query,
     }
