@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from momentlens.llm import decontaminate, near_duplicates, quality_rules
+from momentlens.llm import decontaminate, near_duplicates, packing, quality_rules
 
 
 def queries() -> dict:
     return {
         "op4_near_duplicates": near_duplicates.query,
+        "op5_packing": packing.query,
         "op9_decontamination": decontaminate.query,
         "op10_quality_rules": quality_rules.query,
     }
