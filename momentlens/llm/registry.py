@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from momentlens.llm import decontaminate, near_duplicates, packing, quality_rules
+from momentlens.llm import decontaminate, near_duplicates, ngram_score, packing, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op3_ngram_score": ngram_score.query,
         "op4_near_duplicates": near_duplicates.query,
         "op5_packing": packing.query,
         "op9_decontamination": decontaminate.query,
