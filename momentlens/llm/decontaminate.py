@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from momentlens.llm.common import documents, text_chunks
+from momentlens.llm.common import documents, in_arrow, text_chunks
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -246,7 +246,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     d = docs
     for k in range(blocks):
         found = Windows([(r["item"], r["text"].encode()) for r in items.where(block == k).toLocalIterator()], window)
-        d = d.mapInArrow(_searcher(found, names, text_col, k > 0), T.StructType([*docs.schema.fields, *_ADDED.fields]))
+        d = in_arrow(d, _searcher(found, names, text_col, k > 0), T.StructType([*docs.schema.fields, *_ADDED.fields]))
     return d
 
 

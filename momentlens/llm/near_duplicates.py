@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from momentlens.llm.common import documents, text_chunks, written
+from momentlens.llm.common import documents, in_arrow, text_chunks, written
 
 BITS = 64
 SHINGLE = 5
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE
             fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], names=[*names, "s_fp"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("s_fp", T.LongType())]))
+    return in_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("s_fp", T.LongType())]))
 
 
 def near(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -204,7 +204,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
         if len(held[0]):
             yield from linked(*held)
 
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long").distinct()
+    return in_arrow(dealt.repartition("block").sortWithinPartitions("block"), run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

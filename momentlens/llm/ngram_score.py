@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentlens.llm.common import documents, fold, written
+from momentlens.llm.common import documents, fold, ship, written
 
 ORDER = 2
 MU = 400.0
@@ -242,6 +242,7 @@ def _scorer(order: int, ranges: int, mu: float, n_tokens: int, n_kinds: int, n_s
 
 def scored(docs: DataFrame, trains: F.Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, mu: float = MU, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """id, trains, n_tokens, n_known, train_tokens, base_score and score of every row; the rows where ``trains`` is true are learnt from."""
+    ship(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
     size, starts = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("trains")).first()
     shards = max(1, -(-size // shard_bytes))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from momentlens.llm.common import documents, text_chunks, written
+from momentlens.llm.common import documents, in_arrow, text_chunks, written
 
 CAPACITY = 4096
 END = 1
@@ -83,7 +83,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             columns = np.array(out, np.int64).T
             yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(row)), pa.array(columns[0], pa.int32()), *map(pa.array, columns[1:])], names=[id_col, "piece", "start", "length", "ids_crc32", "p_task", "p_rank"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long, p_task long, p_rank long")
+    return in_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long, p_task long, p_rank long")
 
 
 def dominated(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
@@ -244,7 +244,7 @@ def packed(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     ranked = cut.join(first, ["p_task", "length"]).select(*names, (F.col("p_before") + F.col("p_rank")).alias("rank"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name in names)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return in_arrow(ranked, place, f"{schema}, sequence_id long, offset long")
 
 
 def vocabulary_path() -> str:
