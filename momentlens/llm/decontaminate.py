@@ -225,7 +225,7 @@ def _searcher(windows: Windows, names: list[str], text_col: str, found_before: b
                 words[d] = merged([*map(tuple, words[d]), *zip(place[a:b].tolist(), (place[a:b] + windows.length[window[a:b]]).tolist(), strict=True)])
                 for w in np.unique(window[a:b]):
                     items[d].update(windows.items[w])
-                at = [m.span() for m in _WORD.finditer(texts[d].decode())]
+                at = [m.span() for m in _WORD.finditer(texts[d].decode(errors="surrogateescape"))]
                 spans[d] = [(at[x][0], at[y - 1][1]) for x, y in words[d]]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in names), pa.array([len(x) for x in numbers], pa.int64()), pa.array(words, lists), pa.array(spans, lists), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],

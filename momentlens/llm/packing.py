@@ -52,7 +52,7 @@ class Encoder:
             self.known, new = {}, list(words)
         for at in range(0, len(new), _BATCH):
             part = new[at : at + _BATCH]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in part], add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:

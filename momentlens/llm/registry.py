@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from momentlens.llm import decontaminate, near_duplicates, ngram_score, packing, quality_classifier, quality_rules, toxicity
+from momentlens.llm import decontaminate, near_duplicates, ngram_score, packing, quality_classifier, quality_rules, secrets, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_token_counts": token_counts.query,
         "op2_toxicity": toxicity.query,
         "op3_ngram_score": ngram_score.query,
         "op4_near_duplicates": near_duplicates.query,
         "op5_packing": packing.query,
         "op6_quality": quality_classifier.query,
+        "op8_secrets": secrets.query,
         "op9_decontamination": decontaminate.query,
         "op10_quality_rules": quality_rules.query,
     }
