@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from momentlens.llm import decontaminate, near_duplicates, ngram_score, packing, quality_classifier, quality_rules, secrets, token_counts, toxicity
+from momentlens.llm import decontaminate, near_duplicates, ngram_score, packing, personal_data, quality_classifier, quality_rules, secrets, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_near_duplicates": near_duplicates.query,
         "op5_packing": packing.query,
         "op6_quality": quality_classifier.query,
+        "op7_personal_data": personal_data.query,
         "op8_secrets": secrets.query,
         "op9_decontamination": decontaminate.query,
         "op10_quality_rules": quality_rules.query,
