@@ -16,7 +16,9 @@ further input columns are not carried.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -37,27 +39,79 @@ REMEMBERED = 400_000
 _BATCH = 20_000
 
 
+def _byte_characters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte: itself, or the next from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+
+
 class Encoder:
-    """Ids of whole texts. The tokenizer drops white space and never joins across it, so words are encoded once and remembered."""
+    """Ids of whole texts. The tokenizer drops white space and never joins across it, so words are encoded once and remembered.
+
+    Nearly all words are letters of ASCII or Latin-1 with signs behind: the tokenizer lower-cases the letters,
+    which have no other normal form, and splits off the signs, so lower-case letters can go straight to its
+    merges. A tokenizer for which this isn't so, by a few probes, gets all words whole, as do other words.
+    """
+
+    _LATIN = re.compile("[a-z\u00DF-\u00F6\u00F8-\u00FF]+")
+    _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    _PROBES = ("word", "Thandion,", "\u00c9l\u00e8ve!!", "Stra\u00dfe.", "na\u00efve###", "I", "THE", "ll", "(s)", "e.g.", "\u00f1o|")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.characters = _byte_characters()
+        self.plain = True
+        probes = [w.encode() for w in self._PROBES]
+        self.learn({self.lowered(w) for w in probes})
+        whole = self.tokenizer.encode_batch(list(self._PROBES), add_special_tokens=False)
+        if any(self.known[self.lowered(w)] != np.array(e.ids, "<u4").tobytes() for w, e in zip(probes, whole, strict=True)):
+            self.plain, self.known = False, {}
+
+    def lowered(self, text: bytes) -> bytes:
+        """ASCII letters lower-cased, but not where that could make up the name of a special token."""
+        return text.lower() if self.plain and b"<" not in text else text
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known, new = {}, list(words)
-        for at in range(0, len(new), _BATCH):
-            part = new[at : at + _BATCH]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in part], add_special_tokens=False), strict=True):
+        known, tokenize, latin, other = self.known, self.tokenizer.model.tokenize, self._LATIN.fullmatch, []
+
+        def letters(w: bytes) -> bytes | None:
+            """Ids of a word of lower-case letters only; None for others."""
+            if (ids := known.get(w)) is None:
+                if w.isalpha():  # ASCII letters, as these are bytes
+                    if not w.islower():
+                        return None
+                    shown = w.decode()
+                elif w.isascii() or not latin(w.decode(errors="replace")):
+                    return None
+                else:
+                    shown = w.decode("latin-1").translate(self.characters)
+                ids = known[w] = array("I", [t.id for t in tokenize(shown)]).tobytes()
+            return ids
+
+        for w in new:
+            bare = w.rstrip(self._SIGNS)
+            ids = letters(bare) if self.plain and bare else None
+            if ids is None:
+                other.append((w, w.decode(errors="replace")))
+            elif len(bare) < len(w):
+                signs = w[len(bare) :]
+                if signs not in known:
+                    known[signs] = np.array(self.tokenizer.encode(signs.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                known[w] = ids + known[signs]
+        for at in range(0, len(other), _BATCH):
+            part = other[at : at + _BATCH]
+            for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
-        split = [t.split() for t in texts]
+        split = [self.lowered(t).split() for t in texts]
         self.learn(set().union(*split))
         for words in split:
             yield b"".join(map(self.known.__getitem__, words))
