@@ -1,13 +1,20 @@
-"""SimHash near-duplicates: bit-sliced comparison of fingerprints, then connected components.
-
-Fingerprints come from whole texts. Equal fingerprints are one node, so copies are never paired. Two
-fingerprints within ``radius`` differing bits agree on at least two of radius + 2 groups of bits, so
-blocks are formed by every pair of groups. In a block, fingerprints stand as bit planes, one lane each;
-every lane is compared with the lane d places on, for all d, by carry-save counters that add whole words
-of 64 lanes, and words in which every lane exceeds the radius are abandoned. A block of more than
-``TILE`` members is dealt out as pairs of tiles. Of each task's links only those that join two of its
-components go on, so that a block gives fewer links than members. Components come from alternating
-large-star and small-star rounds.
+"""SimHash near-duplicates: bit-sliced comparison of fingerprints in blocks, then connected components.
+
+Fingerprints come from whole texts. Documents that are alike in all that is compared are one node, so
+copies are never paired. In a block, fingerprints stand as bit planes, one lane each; every lane is
+compared with the lane d places on, for all d, by carry-save counters that add whole words of 64 lanes,
+and words in which every lane exceeds the radius are abandoned. A block of more than ``TILE`` members is
+dealt out as pairs of tiles. Of each task's links only those that join two of its components go on, so
+that a block gives fewer links than members. Components come from alternating large-star and
+small-star rounds.
+
+``grouped`` links by distance alone and loses none: two fingerprints within ``radius`` differing bits agree
+on at least two of radius + 2 groups of bits, and blocks are formed by every pair of groups.
+``similar`` links texts whose shingle sets have a Jaccard similarity of at least ``SIMILARITY``. Sets that
+alike differ in about ten of 64 bits, for which no group of bits need agree; so blocks come from bands of
+min-hashes (a pair at 0.8 meets in one of ``BANDS`` with 0.997), the bit-sliced comparison takes out what
+exceeds ``WIDE`` bits (four standard deviations at 0.8), and a signature of 128 min-hashes, four bits
+each, confirms what is left; its standard deviation is 0.037, and ``SLACK`` favours finding a pair.
 
 Defined cases: a null or blank text has fingerprint zero, which links like any other; repeated rows and
 ids get the same answer; ties resolve to the smallest id; a null id never names a component while
@@ -33,41 +40,78 @@ BITS = 64
 SHINGLE = 5
 RADIUS = 4
 TILE = 2048
+SIMILARITY = 0.8
+SLACK = 0.03
+WIDE = 20
+BANDS, ROWS = 8, 3
+HASHES = 128
+_ODD = np.random.default_rng(17).integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Shingles whose bits are counted together.
 _VOTES = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Bit b is 1 if over half of the shingles' XXH64 (seed 42) have it; fewer words are one shingle, none give 0."""
+def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of all shingles, repeats included, in parts; fewer words are one shingle, none give nothing."""
     words = text.translate(_LOWER).split()
     if not words:
-        return 0
+        return
     line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = ends - 1 - np.fromiter(map(len, words), np.int64, len(words))
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    votes = np.zeros(BITS, np.int64)
     for at in range(0, n, _VOTES):
         a = starts[at : min(at + _VOTES, n)]
-        b = ends[min(at + shingle, len(words)) - 1 :][: len(a)] - 1
-        h = np.fromiter((digest(line[x:y], 42) for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, len(a))
+        b = ends[min(at + shingle, len(words)) - 1 :][: len(a)]
+        yield np.fromiter((digest(line[x:y], 42) for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, len(a))
+
+
+def fingerprint(parts: list[np.ndarray]) -> int:
+    """Bit b is 1 if over half of the hashes have it; no hashes give 0."""
+    votes, n = np.zeros(BITS, np.int64), 0
+    for h in parts:
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with ``s_fp`` (a signed long of the 64 bits)."""
-    docs = docs.drop("s_fp")
+def minima(parts: list[np.ndarray]) -> np.ndarray:
+    """Smallest values of the hashes under ``HASHES`` permutations."""
+    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    for h in parts:
+        high = (h >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(high), 2048):
+            out = np.minimum(out, (high[at : at + 2048, None] * _ODD).min(axis=0))
+    return out
+
+
+def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, signed: bool = False) -> DataFrame:
+    """``docs`` with ``s_fp`` (a signed long of the 64 bits) and, if ``signed``, ``s_sig`` and the keys ``s_bands``."""
+    docs = docs.drop("s_fp", "s_sig", "s_bands")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, text_col):
-            fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], names=[*names, "s_fp"])
-
-    return in_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("s_fp", T.LongType())]))
+            fp, low = np.zeros(len(texts), np.uint64), np.zeros((len(texts), HASHES), np.uint32)
+            for k, t in enumerate(texts):
+                parts = list(shingle_hashes(t, shingle))
+                fp[k] = fingerprint(parts)
+                if signed:
+                    low[k] = minima(parts)
+            more, more_names = [], []
+            if signed:
+                nibble = (low >> np.uint32(7) & np.uint32(15)).astype(np.uint8)
+                bands = [[xxhash.xxh64_intdigest(row[ROWS * b : ROWS * (b + 1)].tobytes(), b) - 2**63 for b in range(BANDS)] for row in low]
+                more = [pa.array([x.tobytes() for x in nibble[:, ::2] | nibble[:, 1::2] << 4], pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                more_names = ["s_sig", "s_bands"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64)), *more], names=[*names, "s_fp", *more_names])
+
+    added = [T.StructField("s_fp", T.LongType())]
+    if signed:
+        added += [T.StructField("s_sig", T.BinaryType()), T.StructField("s_bands", T.ArrayType(T.LongType()))]
+    return in_arrow(docs, run, T.StructType([*docs.schema.fields, *added]))
 
 
 def near(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -90,22 +134,24 @@ def near(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.n
         mask = np.packbits(open_, bitorder="little").view(np.uint64)
         at = np.flatnonzero(mask)
         mask = mask[at]
-        ones, twos, fours, over = (np.zeros(len(at), np.uint64) for _ in range(4))
+        counter = np.zeros((int(radius).bit_length() + 1, len(at)), np.uint64)  # a plane for each binary digit
+        over = np.zeros(len(at), np.uint64)
         jump, shift = d >> 6, np.uint64(d & 63)
         for b in range(0, BITS, 2):
             right = np.minimum(at + jump, planes.shape[1] - 1), np.minimum(at + jump + 1, planes.shape[1] - 1)
             x, y = (planes[k, at] ^ (planes[k, right[0]] >> shift | (planes[k, right[1]] << (np.uint64(64) - shift) if shift else np.uint64(0))) for k in (b, b + 1))
             # carry-save: three bits of weight one become one of weight one and one of weight two
+            ones = counter[0]
             carry = (ones & x) | (ones & y) | (x & y)
-            ones = ones ^ x ^ y
-            over |= fours & twos & carry
-            fours ^= twos & carry
-            twos ^= carry
+            counter[0] = ones ^ x ^ y
+            for plane in counter[1:]:
+                plane[:], carry = plane ^ carry, plane & carry
+            over |= carry
             if b % 8 == 6:
-                mask &= ~(over | _exceeds(ones, twos, fours, radius))
+                mask &= ~(over | _exceeds(counter, radius))
                 alive = np.flatnonzero(mask)
                 if len(alive) < len(at):
-                    at, mask, ones, twos, fours, over = (v[alive] for v in (at, mask, ones, twos, fours, over))
+                    at, mask, over, counter = at[alive], mask[alive], over[alive], counter[:, alive]
                 if not len(at):
                     break
         if len(at):
@@ -115,15 +161,16 @@ def near(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.n
             yield i, i + d
 
 
-def _exceeds(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes of three-bit counters above ``radius`` (at most 7)."""
-    out = np.zeros_like(ones)
-    for value in range(radius + 1, 8):
-        same = np.full_like(ones, ~np.uint64(0))
-        for k, plane in enumerate((ones, twos, fours)):
-            same &= plane if value >> k & 1 else ~plane
-        out |= same
-    return out
+def _exceeds(counter: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes whose vertical counters are above ``radius``, compared from the highest digit."""
+    above, same = np.zeros_like(counter[0]), np.full_like(counter[0], ~np.uint64(0))
+    for k in range(len(counter) - 1, -1, -1):
+        if radius >> k & 1:
+            same &= counter[k]
+        else:
+            above |= same & counter[k]
+            same &= ~counter[k]
+    return above
 
 
 class Components:
@@ -169,44 +216,69 @@ def _signed(bits: tuple[int, ...]) -> int:
     return int(np.array([sum(1 << b for b in bits)], np.uint64).view(np.int64)[0])
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between distinct ``s_fp`` that connect all fingerprints within ``radius`` of each other."""
-    if not 0 <= radius <= 6:
-        raise ValueError("radius must be 0 to 6")
-    masks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(_signed(m)).alias("m")) for k, m in enumerate(_groups(radius))])
-    keyed = fps.select("s_fp", F.explode(masks).alias("g")).select("s_fp", F.col("g.k").alias("k"), F.col("s_fp").bitwiseAND(F.col("g.m")).alias("v"))
-    large = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
-    dealt = keyed.join(large, ["k", "v"], "left").withColumn("tiles", F.ceil(F.coalesce("n", F.lit(1)) / tile).cast("int"))
-    own = F.pmod(F.xxhash64("s_fp"), F.col("tiles")).cast("int")
+def _alike(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of signatures agree in so many min-hashes that the sets' similarity is estimated at ``least`` or more."""
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), 1 << 16):
+        x = sig[i[at : at + (1 << 16)]] ^ sig[j[at : at + (1 << 16)]]
+        same = ((x & 15) == 0).sum(axis=1) + ((x >> 4) == 0).sum(axis=1)
+        out[at : at + (1 << 16)] = (same / HASHES - 1 / 16) / (15 / 16) >= least
+    return out
+
+
+def _linked(keyed: DataFrame, radius: int, least: float | None, tile: int) -> DataFrame:
+    """Links (a, b) of nodes in ``keyed`` (key, s_node, s_fp, s_sig) that connect all that are linked in a block."""
+    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
+    dealt = keyed.join(large, "key", "left").withColumn("tiles", F.ceil(F.coalesce("n", F.lit(1)) / tile).cast("int"))
+    own = F.pmod(F.xxhash64("s_node"), F.col("tiles")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("s_fp", F.xxhash64("k", "v", F.least("own", "other"), F.greatest("own", "other")).alias("block"))
+    dealt = dealt.select("s_node", "s_fp", "s_sig", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks come whole and in order; the last one of a batch may go on in the next."""
-        held = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def linked(block: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            of: Components = Components(len(fp))
-            pairs = [p for i, j in near(fp.view(np.uint64), block, radius) for p in of.joined(i, j)]
+        held = None
+
+        def linked(table: pa.Table, block: np.ndarray) -> Iterator[pa.RecordBatch]:
+            node, fp = table.column("s_node").to_numpy(), table.column("s_fp").to_numpy().view(np.uint64)
+            sig = None if least is None else np.frombuffer(b"".join(table.column("s_sig").to_pylist()), np.uint8).reshape(len(fp), -1)
+            of, pairs = Components(len(fp)), []
+            for i, j in near(fp, block, radius):
+                apart = of.label[i] != of.label[j]
+                i, j = i[apart], j[apart]
+                if sig is not None and len(i):
+                    alike = _alike(sig, i, j, least)
+                    i, j = i[alike], j[alike]
+                pairs.extend(of.joined(i, j))
             if pairs:
                 at = np.array(pairs, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(fp[at[:, 0]]), pa.array(fp[at[:, 1]])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], names=["a", "b"])
 
         for batch in batches:
-            block = np.concatenate((held[0], batch.column("block").to_numpy()))
-            fp = np.concatenate((held[1], batch.column("s_fp").to_numpy()))
-            if not len(block):
+            if not batch.num_rows:
                 continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            block = held.column("block").to_numpy()
             cut = int(np.searchsorted(block, block[-1]))
             if cut:
-                yield from linked(block[:cut], fp[:cut])
-            held = block[cut:], fp[cut:]
-        if len(held[0]):
-            yield from linked(*held)
+                yield from linked(held.slice(0, cut), block[:cut])
+                held = held.slice(cut)
+        if held is not None:
+            yield from linked(held, held.column("block").to_numpy())
 
     return in_arrow(dealt.repartition("block").sortWithinPartitions("block"), run, "a long, b long").distinct()
 
 
+def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between distinct ``s_fp`` that connect all fingerprints within ``radius`` of each other."""
+    if not 0 <= radius <= 6:
+        raise ValueError("radius must be 0 to 6")
+    masks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(_signed(m)).alias("m")) for k, m in enumerate(_groups(radius))])
+    keyed = fps.select("s_fp", F.explode(masks).alias("g"))
+    keyed = keyed.select(F.xxhash64("g.k", F.col("s_fp").bitwiseAND(F.col("g.m"))).alias("key"), F.col("s_fp").alias("s_node"), "s_fp", F.lit(None).cast("binary").alias("s_sig"))
+    return _linked(keyed, radius, None, tile)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of ``edges`` (a, b); root: the smallest node reachable. Star contraction in rounds."""
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v"), "links")
@@ -226,23 +298,40 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without the text, with ``s_fp`` and ``s_component``, the smallest id that links reach."""
-    d = written(fingerprints(docs, text_col, shingle).drop(text_col).drop("s_component"), "fingerprints")
-    nodes = d.groupBy("s_fp").agg(F.min(id_col).alias("s_min"))
-    roots = components(links(nodes.select("s_fp"), radius))
-    linked = nodes.join(roots, nodes["s_fp"] == roots["node"], "left").select("s_fp", "s_min", F.coalesce("root", "s_fp").alias("s_root"))
+def _components_of(d: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    """``d`` (with ``s_node``) with ``s_component``, the smallest id that ``edges`` between nodes reach."""
+    nodes = d.groupBy("s_node").agg(F.min(id_col).alias("s_min"))
+    roots = components(edges)
+    linked = nodes.join(roots, nodes["s_node"] == roots["node"], "left").select("s_node", "s_min", F.coalesce("root", "s_node").alias("s_root"))
     smallest = linked.groupBy("s_root").agg(F.min("s_min").alias("s_component"))
-    # only nodes that stand in a link differ from their own smallest id
-    of_node = linked.join(smallest, "s_root").select("s_fp", "s_component")
-    return d.join(of_node, "s_fp")
+    return d.join(linked.join(smallest, "s_root").select("s_node", "s_component"), "s_node")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: the one of the smallest id; of repeated ids, one row."""
-    kept = grouped(docs.select(id_col, text_col), id_col, text_col, shingle, radius)
-    kept = kept.where(F.col(id_col).eqNullSafe(F.col("s_component"))).select(F.col(id_col).alias("s_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["s_id"]), "left_semi")
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``docs`` without the text, with ``s_fp`` and ``s_component``: fingerprints within ``radius`` bits are linked."""
+    d = written(fingerprints(docs, text_col, shingle).drop(text_col, "s_component").withColumn("s_node", F.col("s_fp")), "fingerprints")
+    return _components_of(d, links(d.select("s_fp").distinct(), radius), id_col)
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """``docs`` without the text, with ``s_component``: shingle sets of a similarity of ``similarity`` or more are linked."""
+    d = fingerprints(docs, text_col, shingle, signed=True).drop(text_col, "s_component")
+    d = written(d.withColumn("s_node", F.xxhash64("s_fp", "s_sig")), "signatures")
+    nodes = d.groupBy("s_node").agg(F.first("s_fp").alias("s_fp"), F.first("s_sig").alias("s_sig"), F.first("s_bands").alias("s_bands"))
+    keyed = nodes.select(F.explode(F.array_distinct("s_bands")).alias("key"), "s_node", "s_fp", "s_sig")
+    return _components_of(d.drop("s_bands", "s_sig"), _linked(keyed, WIDE, similarity - SLACK, tile), id_col)
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stand for their group of ``similar`` texts: the one of the smallest id, and of rows that share it, that of the smallest text.
+
+    Rows without an id can't be told apart: all of them stay if one stands for its group.
+    """
+    d = docs.withColumn("s_hash", F.xxhash64(text_col))
+    kept = similar(d.select(id_col, text_col, "s_hash"), id_col, text_col, shingle, similarity)
+    kept = kept.where(F.col(id_col).eqNullSafe(F.col("s_component"))).groupBy(F.col(id_col).alias("s_id")).agg(F.min("s_hash").alias("s_least"))
+    stay = docs.withColumn("s_hash", F.xxhash64(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col("s_id")) & ((F.col("s_hash") == F.col("s_least")) | F.col("s_id").isNull()), "left_semi")
+    return stay.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
