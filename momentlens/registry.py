@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from momentlens.queries import series_queries
+
 FLAGSHIP = "t01_top_moments"
+_MODULES = (series_queries,)
 
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.ORACLES.items()}
