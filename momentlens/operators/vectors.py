@@ -15,8 +15,8 @@ QUERY_BLOCK = 1024
 def chunks(assets: DataFrame, length: int = 30, overlap: int = 5, shortest: float = 2.0, source: str = "source") -> DataFrame:
     """Overlapping chunks of each asset (source, duration) from whole seconds on; assets below a second have none."""
     d = assets.where(F.floor("duration") >= 1)
-    d = d.withColumn("start", F.explode(F.sequence(F.lit(0), (F.floor("duration") - 1).cast("int"), F.lit(length - overlap))).cast("double"))
-    d = d.withColumn("end", F.least(F.col("start") + length, F.col("duration"))).where(F.col("end") - F.col("start") >= shortest)
+    d = d.withColumn("start", F.explode(F.sequence(F.lit(0), (F.floor("duration") - 1).cast("int"), F.lit(length - overlap))))
+    d = d.withColumn("start", F.col("start").cast("double")).withColumn("end", F.least(F.col("start") + length, F.col("duration"))).where(F.col("end") - F.col("start") >= shortest)
     return d.withColumn("chunk_id", chunk_id(F.col(source), F.col("start")))
 
 

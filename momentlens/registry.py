@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from momentlens.queries import series_queries
+from momentlens.queries import interval_queries, media_queries, series_queries, stream_queries
 
 FLAGSHIP = "t01_top_moments"
-_MODULES = (series_queries,)
+_MODULES = (series_queries, interval_queries, media_queries, stream_queries)
 
 
 def queries() -> dict:
