@@ -84,7 +84,7 @@ def w13_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 def a17_energy(spark: SparkSession, sf: str) -> DataFrame:
     d = src.hourly(spark, sf).select("asset", "idx", F.col("clip").alias("value"))
-    return signals.short_time_energy(d, 21, 10).select("asset", "hop", F.round("energy", 4).alias("energy"))
+    return signals.short_time_energy(d, 21, 10).select("asset", "hop", F.round("energy", 6).alias("energy"))
 
 
 def t01_top_moments(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,7 +130,7 @@ SELECT asset, start + k AS idx, round(max(score), 6) AS score FROM st, (SELECT u
     "w13_batches": f"""WITH {sql.LEVELS}, b AS (SELECT asset, CAST(floor(t / 4) AS BIGINT) AS batch, list(value ORDER BY t) AS v FROM lev GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT asset, batch, {", ".join(f"round(v[least({k + 1}, len(v))], 6) AS v{k}" for k in range(4))} FROM b""",
     "a17_energy": f"""WITH {sql.SIGNALS}, h AS (SELECT asset, unnest(range(0, CAST((max(idx) + 1 - 21) // 10 + 1 AS BIGINT))) AS hop FROM sig GROUP BY asset)
-SELECT h.asset, hop, round(sum(clip * clip), 4) AS energy FROM h JOIN sig s ON s.asset = h.asset AND s.idx BETWEEN hop * 10 AND hop * 10 + 20 GROUP BY 1, 2""",
+SELECT h.asset, hop, round(sum(clip * clip), 6) AS energy FROM h JOIN sig s ON s.asset = h.asset AND s.idx BETWEEN hop * 10 AND hop * 10 + 20 GROUP BY 1, 2""",
     "t01_top_moments": f"""WITH RECURSIVE {sql.peaks(_FOUR, 6, 0.75, 30)} SELECT asset, idx / 2.0 AS time_sec, round(value, 6) AS score, greatest(0.0, idx / 2.0 - 7.5) AS start, greatest(0.0, idx / 2.0 - 7.5) + 15.0 AS "end" FROM pk ORDER BY value DESC, asset, idx LIMIT 20""",
     "t02_first_peaks": f"""WITH RECURSIVE {sql.peaks(_THREE, 4, 0.45, 1)}, fp AS (SELECT * FROM pk QUALIFY row_number() OVER (PARTITION BY asset ORDER BY idx) <= 5)
 SELECT fp.asset, fp.idx, round(value, 6) AS score, CASE WHEN panns >= clip AND panns >= flow THEN 'audio' WHEN clip >= flow THEN 'visual' ELSE 'motion' END AS primary_signal,
