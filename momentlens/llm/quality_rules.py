@@ -21,6 +21,8 @@ STOP_WORDS = {
     "fr": "le la les de et un une des en que pour dans est qui par sur au du avec ne",
     "es": "el la los de y en que un una del las por con para es se al lo su como",
 }
+#: Texts of fewer words need no function word.
+SHORT = 25
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -92,7 +94,7 @@ def _metrics() -> dict[str, Column]:
         "repeat_percent": 100 * F.col("q_repeat") / some,
         "mean_word_length": F.col("q_chars") / some,
         "symbol_ratio": F.col("q_symbols") / some,
-        "stop_words": F.col("q_stop"),
+        "stop_words": F.when(n < SHORT, 1).otherwise(F.col("q_stop")),
         "dup_line_ratio": F.col("q_dup_lines") / F.greatest(F.col("q_line_count"), F.lit(1)),
         "capital_ratio": F.col("q_capitals") / chars,
     }
@@ -157,6 +159,6 @@ m AS (
   FROM w LEFT JOIN covered c ON c.r = w.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND word_chars / n_words BETWEEN 1.5 AND 20 AND n_symbols / n_words <= 0.25
-       AND stops >= 1 AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AND caps / greatest(word_chars, 1) <= 0.5 AS kept
+       AND (n_words < 25 OR stops >= 1) AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AND caps / greatest(word_chars, 1) <= 0.5 AS kept
 FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 """
