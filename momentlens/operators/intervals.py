@@ -95,3 +95,21 @@ def trimmed(segments: DataFrame, trim: DataFrame) -> DataFrame:
     end = F.greatest(F.col("start") + 0.1, F.least(F.coalesce(F.col("_s") + F.col("trim_end"), F.col("_e")), F.col("_e")))
     d = d.withColumn("end", F.when(F.col("_cut"), end).otherwise(F.col("_e")))
     return d.withColumn("duration", F.col("end") - F.col("start")).drop("_s", "_e", "_cut", "trim_start", "trim_end")
+
+
+def adaptive_clips(peaks: DataFrame, durations: DataFrame, key: str = "asset", shortest: float = 0.2, longest: float = 0.8, before: float = 0.1, edge: float = 0.1, tail: float = 0.5) -> DataFrame:
+    """Short clips round peaks (key, t, strength), longer for stronger ones, within the asset; overlapping ones merge, late ones go."""
+    top = peaks.groupBy(key).agg(F.max("strength").alias("_top"))
+    d = peaks.join(top, key).join(durations, key)
+    norm = F.when(F.col("_top") > 0, F.col("strength") / F.col("_top")).otherwise(1.0)
+    d = d.withColumn("score", norm).withColumn("_len", shortest + F.col("score") * (longest - shortest))
+    d = d.withColumn("end", F.least(F.col("duration") - edge, F.greatest(F.lit(0.0), F.col("t") - before) + F.col("_len")))
+    d = d.withColumn("start", F.greatest(F.lit(0.0), F.col("end") - F.col("_len")))
+    return merged(d.select(key, "start", "end", "score"), key, 0.0, strict=True).join(durations, key).where(F.col("start") < F.col("duration") - tail).drop("duration")
+
+
+def frames_within(segments: DataFrame, frames: DataFrame, fps: float, key: str = "source") -> DataFrame:
+    """Segments with the frames (key, idx) that lie in [floor(start * fps), floor(end * fps)); joined by key and second, not by range alone."""
+    a, b = F.floor(F.col("start") * fps), F.floor(F.col("end") * fps)
+    s = segments.withColumns({"_a": a, "_b": b}).where("_b > _a").withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_a") / 100), F.floor((F.col("_b") - 1) / 100))))
+    return s.join(frames.withColumn("_bin", F.floor(F.col("idx") / 100)), [key, "_bin"]).where((F.col("idx") >= F.col("_a")) & (F.col("idx") < F.col("_b"))).drop("_a", "_b", "_bin")

@@ -30,12 +30,12 @@ tap AS (SELECT asset, idx, (((idx + k) % (2 * n)) + 2 * n) % (2 * n) AS j0, n FR
 smo AS (SELECT t.asset, t.idx, round(avg(f.value), 9) AS value FROM tap t JOIN fus f ON f.asset = t.asset AND f.idx = CASE WHEN j0 < n THEN j0 ELSE 2 * n - 1 - j0 END GROUP BY 1, 2)"""
 
 
-def peaks(weights: dict[str, float], size: int, percentile: float, distance: int) -> str:
-    return f"""{smooth(weights, size)},
-chg AS (SELECT *, sum(CASE WHEN value = pv THEN 0 ELSE 1 END) OVER (PARTITION BY asset ORDER BY idx) AS run FROM (SELECT *, lag(value) OVER (PARTITION BY asset ORDER BY idx) AS pv FROM smo)),
+def kept_peaks(floor: str, distance: int) -> str:
+    """Spaced local maxima `pk` of the series `smo`; ``floor``: SQL of each asset's least height as (asset, f)."""
+    return f"""chg AS (SELECT *, sum(CASE WHEN value = pv THEN 0 ELSE 1 END) OVER (PARTITION BY asset ORDER BY idx) AS run FROM (SELECT *, lag(value) OVER (PARTITION BY asset ORDER BY idx) AS pv FROM smo)),
 rle AS (SELECT asset, run, min(idx) AS l, max(idx) AS r, first(value) AS value FROM chg GROUP BY 1, 2),
 loc AS (SELECT asset, (l + r) // 2 AS idx, value FROM (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM rle WINDOW w AS (PARTITION BY asset ORDER BY run)) WHERE a < value AND b < value),
-flo AS (SELECT asset, quantile_cont(value, {percentile}) AS f FROM smo GROUP BY 1),
+flo AS ({floor}),
 cand AS (SELECT loc.*, row_number() OVER (PARTITION BY loc.asset ORDER BY value DESC, idx DESC) AS rk FROM loc JOIN flo USING (asset) WHERE value >= f),
 nms AS (
   SELECT asset, 0::BIGINT AS rk, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT asset FROM cand)
@@ -45,6 +45,17 @@ kep AS (SELECT asset, unnest(kept) AS idx FROM (SELECT asset, arg_max(kept, rk)
 pk AS (SELECT c.asset, c.idx, c.value FROM cand c JOIN kep USING (asset, idx))"""
 
 
+def peaks(weights: dict[str, float], size: int, percentile: float, distance: int) -> str:
+    return f"{smooth(weights, size)}, {kept_peaks(f'SELECT asset, quantile_cont(value, {percentile}) AS f FROM smo GROUP BY 1', distance)}"
+
+
+def taps(source: str, a: int, b: int, name: str) -> str:
+    """``name`` (asset, idx, v): each place of ``source`` (asset, idx, value) with the values from a to b - 1 places on, edges reflected."""
+    return f"""{name}_n AS (SELECT asset, count(*) AS n FROM {source} GROUP BY 1),
+{name}_t AS (SELECT asset, idx, (((idx + k) % (2 * n)) + 2 * n) % (2 * n) AS j0, n FROM {source} JOIN {name}_n USING (asset), (SELECT unnest(range({a}, {b})) AS k)),
+{name} AS (SELECT t.asset, t.idx, f.value AS v FROM {name}_t t JOIN {source} f ON f.asset = t.asset AND f.idx = CASE WHEN j0 < n THEN j0 ELSE 2 * n - 1 - j0 END)"""
+
+
 def merged(source: str, key: str, gap: float, strict: bool, name: str = "mrg") -> str:
     """Running maximum, flag, group. ``source``: (key, start, end, score) named s, e."""
     op = ">=" if strict else ">"
