@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from momentlens.profiles import NARRATION_HIGH, NARRATION_LOW, NARRATION_MIDDLE
+
 
 def segment_label(i: Column) -> Column:
     """A..Z, then AA, AB and so on; beyond 701 the first character runs past Z."""
@@ -85,6 +87,12 @@ def pick(options: Sequence[str], at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, options)), (F.pmod(at, F.lit(len(options))) + 1).cast("int"))
 
 
+def narration(score: Column, label: Column) -> Column:
+    """A line by score and by the letters of the label."""
+    at = letter_sum(label)
+    return F.when(score > 0.55, pick(NARRATION_HIGH, at)).when(score > 0.4, pick(NARRATION_MIDDLE, at)).otherwise(pick(NARRATION_LOW, at))
+
+
 def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 

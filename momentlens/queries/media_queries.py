@@ -9,6 +9,7 @@ from momentlens.functions import scalars as fn
 from momentlens.functions.vectors import cosine, truncated
 from momentlens.operators import manifest, report, timeline, vectors
 from momentlens.plans import moments as plans
+from momentlens.profiles import CALLOUTS_HIGH, CALLOUTS_MIDDLE, NARRATION_HIGH, NARRATION_LOW, NARRATION_MIDDLE
 from momentlens.queries import sql
 from momentlens.sources import adapters as src
 
@@ -150,14 +151,17 @@ def p14_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p21_narration(spark: SparkSession, sf: str) -> DataFrame:
-    """A text number for each segment of at least two seconds, by score and letters."""
-    score, label = F.col("l_discount") * 8, fn.segment_label(F.col("l_orderkey") % 702)
-    tiers = [[f"{t}{k}" for k in range(n)] for t, n in (("high", 8), ("mid", 6), ("low", 4))]
-    at = fn.letter_sum(label)
-    text = F.when(score > 0.55, fn.pick(tiers[0], at)).when(score > 0.4, fn.pick(tiers[1], at)).otherwise(fn.pick(tiers[2], at))
+    """A line for each segment of at least two seconds, by score and letters."""
+    text = fn.narration(F.col("l_discount") * 8, fn.segment_label(F.col("l_orderkey") % 702))
     return src.table(spark, sf, "lineitem").where("l_quantity >= 2").select("l_orderkey", "l_linenumber", text.alias("text"))
 
 
+def p26_callouts(spark: SparkSession, sf: str) -> DataFrame:
+    """A callout for intense segments, by score and the first letter."""
+    text = timeline.callout(F.col("l_discount") * 8, fn.segment_label(F.col("l_orderkey") % 702), list(CALLOUTS_MIDDLE), list(CALLOUTS_HIGH))
+    return src.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", text.alias("callout"))
+
+
 def _unique(spark: SparkSession, sf: str) -> DataFrame:
     d = src.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("rank"))
     return d.agg(F.max("l_quantity").alias("q"), F.max("l_discount").alias("s")).select("source", "rank", F.lit(0.0).alias("start"), (F.col("q") / 4).alias("end"), (F.col("s") * 8).alias("score"))
@@ -187,7 +191,7 @@ def p29_camera(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (s02_media_files, s15_chunks, j04_fresh, p05_contrast, p07_truncated, j12_nearest, j12_search, t03_segments, a10_index_stats, a15_centroids, a14_focal_points, a11_cost, a08_ratings, t05_top_entries, j05_selected, j09_voiceover, j08_accepted, k04_manifest, o05_json, p14_texts, p21_narration, w18_timeline, a20_length, o11_sound_cues, p29_camera)}
+QUERIES = {f.__name__: f for f in (s02_media_files, s15_chunks, j04_fresh, p05_contrast, p07_truncated, j12_nearest, j12_search, t03_segments, a10_index_stats, a15_centroids, a14_focal_points, a11_cost, a08_ratings, t05_top_entries, j05_selected, j09_voiceover, j08_accepted, k04_manifest, o05_json, p14_texts, p21_narration, p26_callouts, w18_timeline, a20_length, o11_sound_cues, p29_camera)}
 
 _THREE = dict(plans.THREE.weights)
 _SIM = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
@@ -196,6 +200,7 @@ _Q = "q AS (SELECT embedding AS qv FROM embeddings ORDER BY vec_id LIMIT 1)"
 _SEG = "seg AS (SELECT l_orderkey AS source, l_linenumber AS rank, max(l_quantity) / 4 AS e, max(l_discount) * 8 AS score FROM lineitem GROUP BY 1, 2), fr AS (SELECT *, ceil(e * 30) AS frames, least(1.0, greatest(0.0, (score - 0.3) / 0.4)) AS n FROM seg)"
 _LABEL21 = sql.label("(l_orderkey % 702)")
 _U = sql.UNIT
+_listed = lambda texts: "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + "]"
 ORACLES = {
     "s02_media_files": "SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name, lower(regexp_extract(url, '(\\.[^./]+)$', 1)) AS suffix FROM pages WHERE regexp_matches(url, '\\.[^./]+$')",
     "s15_chunks": """WITH a AS (SELECT CAST(o_orderkey AS VARCHAR) AS source, o_totalprice / 1000 AS d FROM orders), c AS (SELECT source, d, CAST(unnest(range(0, CAST(floor(d) AS BIGINT), 25)) AS DOUBLE) AS start FROM a WHERE floor(d) >= 1)
@@ -228,7 +233,9 @@ SELECT label, focal_x, CASE WHEN focal_x < 0.4 THEN 'left' WHEN focal_x > 0.6 TH
 SELECT o_orderkey, CASE WHEN s < 60 THEN printf('%ds', s) WHEN s < 3600 THEN printf('%dm%02ds', s // 60, s % 60) ELSE printf('%dh%02dm', s // 3600, s // 60 % 60) END AS length,
  substr(sha256(o_orderpriority || ':' || printf('%.1f', o_orderkey * 25.0::DOUBLE)), 1, 16) AS id, 'moments_org_model_' || lower(o_orderstatus) AS collection, CASE WHEN o_orderkey % 2 = 0 THEN 'qwen' ELSE 'gemma' END AS backend, right(o_orderpriority, 5) AS tail, o_orderkey / 8 AS fps FROM o""",
     "p21_narration": f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_discount * 8 AS score, list_sum(list_transform(string_split({_LABEL21}, ''), lambda c: ascii(c))) AS k FROM lineitem WHERE l_quantity >= 2)
-SELECT l_orderkey, l_linenumber, CASE WHEN score > 0.55 THEN 'high' || CAST(k % 8 AS BIGINT) WHEN score > 0.4 THEN 'mid' || CAST(k % 6 AS BIGINT) ELSE 'low' || CAST(k % 4 AS BIGINT) END AS text FROM t""",
+SELECT l_orderkey, l_linenumber, CASE WHEN score > 0.55 THEN {_listed(NARRATION_HIGH)}[CAST(k % 8 AS BIGINT) + 1] WHEN score > 0.4 THEN {_listed(NARRATION_MIDDLE)}[CAST(k % 6 AS BIGINT) + 1] ELSE {_listed(NARRATION_LOW)}[CAST(k % 4 AS BIGINT) + 1] END AS text FROM t""",
+    "p26_callouts": f"""WITH t AS (SELECT l_orderkey, l_linenumber, least(1.0, greatest(0.0, (l_discount * 8 - 0.3) / 0.4)) AS n, ascii({_LABEL21}) AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN n < 0.4 THEN NULL WHEN n > 0.7 THEN {_listed(CALLOUTS_HIGH)}[k % 5 + 1] ELSE {_listed(CALLOUTS_MIDDLE)}[k % 4 + 1] END AS callout FROM t""",
     "w18_timeline": f"WITH {_SEG} SELECT source, rank, CAST(frames AS BIGINT) AS frames, CAST(coalesce(sum(frames) OVER (PARTITION BY source ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 10 * (row_number() OVER (PARTITION BY source ORDER BY rank) - 1) AS BIGINT) AS timeline_start FROM fr",
     "a20_length": f"WITH {_SEG} SELECT source, CAST(greatest(1, sum(frames) - greatest(0, count(*) - 1) * 10) AS BIGINT) AS frames FROM fr GROUP BY 1",
     "o11_sound_cues": f"""WITH {_SEG}, v AS (SELECT *, 0.1 + 0.25 * n AS vol FROM fr WHERE n >= 0.15)
