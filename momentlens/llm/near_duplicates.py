@@ -303,7 +303,8 @@ def _components_of(d: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
     nodes = d.groupBy("s_node").agg(F.min(id_col).alias("s_min"))
     roots = components(edges)
     linked = nodes.join(roots, nodes["s_node"] == roots["node"], "left").select("s_node", "s_min", F.coalesce("root", "s_node").alias("s_root"))
-    smallest = linked.groupBy("s_root").agg(F.min("s_min").alias("s_component"))
+    # written, so that the join below has exchanges of its own, whose large partitions Spark can split
+    smallest = written(linked.groupBy("s_root").agg(F.min("s_min").alias("s_component")), "components")
     return d.join(linked.join(smallest, "s_root").select("s_node", "s_component"), "s_node")
 
 
