@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Text that one task holds decoded at a time.
 CHUNK_BYTES = 8 << 20
 
+#: Rows that Spark hands to a task at once; it stops at this size, so that long texts don't add up.
+BATCH_BYTES = 16 << 20
+
 _fallback: list[str] = []
 _shipped: set[str] = set()
 
@@ -34,8 +37,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """mapInArrow with this package at hand."""
+    """mapInArrow with this package at hand and batches of a bounded size."""
     ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(run, schema)
 
 
