@@ -69,6 +69,18 @@ def intensity(score: Column, low: float = 0.3, width: float = 0.4) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (score - low) / width))
 
 
+#: The meter's colours for quiet, middling and intense segments.
+METER_COLOURS = ("#2a9d8f", "#f4a261", "#e63946")
+
+
+def meter(score: Column) -> Column:
+    """percent (a whole number, halves up), width in percent and colour of an intensity meter."""
+    n = intensity(score)
+    quiet, middling, intense = METER_COLOURS
+    colour = F.when(n > 0.7, intense).when(n > 0.4, middling).otherwise(quiet)
+    return F.struct(F.floor(n * 100 + 0.5).cast("long").alias("percent"), (n * 100).alias("width"), colour.alias("colour"))
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 

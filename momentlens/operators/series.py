@@ -73,15 +73,34 @@ def spaced(peaks: DataFrame, distance: int, key: str = "asset", idx: str = "idx"
     return ranked.select(key, F.explode(kept).alias("_k")).select(key, (-F.col("_k.i")).alias(idx), (-F.col("_k.y")).alias(value))
 
 
-def prominent(peaks: DataFrame, series: DataFrame, least: Column, key: str = "asset", idx: str = "idx", value: str = "value") -> DataFrame:
-    """``peaks`` with their prominence, where it is at least ``least`` (a column of ``peaks``)."""
-    p, s = peaks.alias("p"), series.select(F.col(key).alias("_k"), F.col(idx).alias("_i"), F.col(value).alias("_y")).alias("s")
-    pair = p.join(s, F.col(f"p.{key}") == F.col("_k"))
-    y, at = F.col(f"p.{value}"), F.col(f"p.{idx}")
-    walls = pair.groupBy(key, idx).agg(F.max(F.when((F.col("_y") > y) & (F.col("_i") < at), F.col("_i"))).alias("_wl"), F.min(F.when((F.col("_y") > y) & (F.col("_i") > at), F.col("_i"))).alias("_wr"))
-    walled = peaks.join(walls, [key, idx]).alias("p").join(s, (F.col(f"p.{key}") == F.col("_k")) & ((F.col("_i") > F.col("_wl")) | F.col("_wl").isNull()) & ((F.col("_i") < F.col("_wr")) | F.col("_wr").isNull()))
-    low = walled.groupBy(*[F.col(f"p.{c}").alias(c) for c in peaks.columns]).agg(F.min(F.when(F.col("_i") <= F.col(f"p.{idx}"), F.col("_y"))).alias("_ll"), F.min(F.when(F.col("_i") >= F.col(f"p.{idx}"), F.col("_y"))).alias("_lr"))
-    return low.withColumn("prominence", F.col(value) - F.greatest("_ll", "_lr")).where(F.col("prominence") >= least).drop("_ll", "_lr")
+def prominent(peaks: DataFrame, series: DataFrame, least: Column, key: str = "asset", idx: str = "idx", value: str = "value", block: int = 512) -> DataFrame:
+    """``peaks`` with their prominence, where it is at least ``least`` (a column of ``peaks``).
+
+    A peak's walls are the nearest higher places on both sides. It is compared with the extremes of its asset's blocks
+    and only with the places of its own block and of those that hold a wall, not with all places of the asset.
+    """
+    y, at, b, own = F.col(value), F.col(idx), F.col("_b"), F.col("_own")
+    of_asset = F.col(key) == F.col("_k")
+    places = series.select(F.col(key).alias("_k"), F.floor(F.col(idx) / block).alias("_b"), F.col(idx).alias("_i"), F.col(value).alias("_y"))
+    blocks = places.groupBy("_k", "_b").agg(F.max("_y").alias("_high"), F.min("_y").alias("_low"))
+    names = [*peaks.columns, "_own"]
+    sides = lambda pick, left, right: (F.max(F.when(pick & left, F.col("_b"))).alias("_l"), F.min(F.when(pick & right, F.col("_b"))).alias("_r"))
+    walled = peaks.withColumn("_own", F.floor(at / block)).join(blocks, of_asset).groupBy(*names).agg(*sides(F.col("_high") > y, b < own, b > own))
+
+    def with_places(d: DataFrame) -> DataFrame:
+        d = d.withColumn("_at", F.explode(F.array_distinct(F.array_compact(F.array("_l", "_own", "_r")))))
+        return d.join(places, of_asset & (F.col("_at") == b))
+
+    higher, i = F.col("_y") > y, F.col("_i")
+    walls = with_places(walled).groupBy(*names).agg(F.max(F.when(higher & (i < at), i)).alias("_wl"), F.min(F.when(higher & (i > at), i)).alias("_wr"))
+    walls = walls.withColumns({"_l": F.floor(F.col("_wl") / block), "_r": F.floor(F.col("_wr") / block)})
+    inside = (F.col("_wl").isNull() | (i > F.col("_wl"))) & (F.col("_wr").isNull() | (i < F.col("_wr")))
+    lows = lambda left, right, low: (F.when(left, low).alias("_ll"), F.when(right, low).alias("_lr"))
+    near = with_places(walls).where(inside).select(*peaks.columns, *lows(i <= at, i >= at, F.col("_y")))
+    between = ((b < own) & (F.col("_l").isNull() | (b > F.col("_l"))), (b > own) & (F.col("_r").isNull() | (b < F.col("_r"))))
+    far = walls.join(blocks, of_asset).where(between[0] | between[1]).select(*peaks.columns, *lows(*between, F.col("_low")))
+    low = near.unionByName(far).groupBy(*peaks.columns).agg(F.min("_ll").alias("_ll"), F.min("_lr").alias("_lr"))
+    return low.withColumn("prominence", y - F.greatest("_ll", "_lr")).where(F.col("prominence") >= least).drop("_ll", "_lr")
 
 
 def low_runs(df: DataFrame, below: float, shortest: float, key: str = "asset", t: str = "t", value: str = "value") -> DataFrame:

@@ -62,6 +62,19 @@ METER_RAMP = [(0.0, 0.0), (0.5, 0.8)]
 VOICE_RAMP = [(0.0, 0.0), (0.15, 0.8)]
 
 
+#: The colour grade of all pictures.
+GRADE = {"contrast": 1.15, "brightness": 1.05, "saturate": 1.1}
+
+
+def grade() -> Column:
+    return F.lit(" ".join(f"{k}({v})" for k, v in GRADE.items()))
+
+
+def voice_delay(fps: int) -> Column:
+    """The frame of a segment that its voice starts at: after half a second."""
+    return F.lit(int(0.5 * fps)).cast("long")
+
+
 def callout(score: Column, label: Column, low: list[str], high: list[str]) -> Column:
     """A short text by intensity and the label's first character; none for quiet segments."""
     n = intensity(score)

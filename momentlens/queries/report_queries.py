@@ -49,9 +49,9 @@ def j10_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j15_frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Hours in each supplier's merged shipments' first days, by two frames a day."""
-    seg = intervals.merged(src.shipments(spark, sf), "source", 2.0, span=30.0).where("start < 1900").select("source", "start", "end")
-    frames = seg.select("source").distinct().withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(3799))))
+    """The frames of each supplier's merged shipments, two a day."""
+    seg = intervals.merged(src.shipments(spark, sf), "source", 2.0, span=30.0).select("source", "start", "end")
+    frames = seg.groupBy("source").agg(F.ceil(F.max("end") * 2).cast("long").alias("last")).select("source", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("idx"))
     return intervals.frames_within(seg, frames, 2.0).groupBy("source", "start").agg(F.count(F.lit(1)).alias("n"), F.min("idx").cast("long").alias("first"), F.max("idx").cast("long").alias("last"))
 
 
@@ -136,8 +136,8 @@ c AS (SELECT asset, t, d, value / top AS score, 0.2 + value / top * (0.8 - 0.2)
 {sql.merged('r', 'asset', 0.0, True)} SELECT mrg.asset, round(s, 6) AS start, round(e, 6) AS "end", round(score, 6) AS score, n FROM mrg JOIN m USING (asset) WHERE s < d - 0.5""",
     "j03_complete_assets": "SELECT user_id, CAST(day(ts) AS BIGINT) AS day, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1, 2 HAVING count(DISTINCT event_type) = 5",
     "j10_files": "SELECT o_custkey, CAST(o_orderkey AS VARCHAR) AS label, o_orderkey || '.wav' AS file FROM orders",
-    "j15_frames": f"""WITH {sql.SHIPMENTS}, {sql.merged('shp', 'source', 2.0, False)}, g AS (SELECT source, s, CAST(floor(s * 2) AS BIGINT) AS a, CAST(floor(e * 2) AS BIGINT) AS b FROM mrg WHERE s < 1900)
-SELECT source, s AS start, least(b, 3800) - a AS n, a AS first, least(b, 3800) - 1 AS last FROM g WHERE b > a AND a < 3800""",
+    "j15_frames": f"""WITH {sql.SHIPMENTS}, {sql.merged('shp', 'source', 2.0, False)}, g AS (SELECT source, s, CAST(floor(s * 2) AS BIGINT) AS a, CAST(floor(e * 2) AS BIGINT) AS b FROM mrg)
+SELECT source, s AS start, b - a AS n, a AS first, b - 1 AS last FROM g WHERE b > a""",
     "f05_still": "SELECT l_orderkey, count(*) < 2 OR min(l_quantity) / max(l_quantity) >= 0.9 AS still FROM lineitem GROUP BY 1",
     "p09_overlay": f"""SELECT page_id, '[' || {sql.label('(page_id % 702)')} || '] Score: ' || printf('%.2f', page_id % 100 / 100) AS line1, 'Source: ' || right(url, 20) AS line2, 'Why: ' || left(url, 40) AS line3, regexp_replace(url, '\\.[^./]+$', '') || '_moments.mp4' AS output FROM pages""",
     "k06_report": f"""WITH RECURSIVE {_FIVE}, st AS (SELECT asset, max(value) AS top, (max(idx) + 1) / 2.0 AS d FROM smo GROUP BY 1), n AS (SELECT asset, count(*) AS n FROM fp GROUP BY 1)

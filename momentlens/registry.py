@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from momentlens.queries import interval_queries, media_queries, report_queries, series_queries, stream_queries
+from momentlens.queries import frame_queries, interval_queries, media_queries, report_queries, series_queries, stream_queries
 
 FLAGSHIP = "t01_top_moments"
-_MODULES = (series_queries, interval_queries, media_queries, report_queries, stream_queries)
+_MODULES = (series_queries, interval_queries, media_queries, frame_queries, report_queries, stream_queries)
 
 
 def queries() -> dict:

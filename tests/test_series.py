@@ -64,6 +64,19 @@ def test_prominence(spark):
     assert got == {1: 4.0, 3: 1.0, 5: 9.0, 7: 1.0}
 
 
+@pytest.mark.parametrize("block", [1, 4, 512])
+def test_prominence_over_blocks(spark, block):
+    x = np.random.default_rng(block).integers(0, 12, 90).astype(float)
+    want = {}
+    for i in maxima(x):
+        left = max([j for j in range(i) if x[j] > x[i]], default=-1)
+        right = min([j for j in range(i, len(x)) if x[j] > x[i]], default=len(x))
+        want[i] = x[i] - max(x[left + 1 : i + 1].min(), x[i:right].min())
+    s = frame(spark, x)
+    got = series.prominent(series.local_maxima(s).withColumn("least", F.lit(2.0)), s, F.col("least"), block=block)
+    assert {r["idx"]: r["prominence"] for r in got.collect()} == {k: v for k, v in want.items() if v >= 2}
+
+
 def test_normalized_flat_and_empty(spark):
     d = frame(spark, [2, 2 + 1e-9, 2])
     assert values(signals.normalized(d, ["value"])) == [0.0, 0.0, 0.0]
