@@ -25,7 +25,7 @@ def s08_keyframes(spark: SparkSession, sf: str) -> DataFrame:
 
 def s11_spread(spark: SparkSession, sf: str) -> DataFrame:
     d = src.table(spark, sf, "orders").select(F.col("o_orderkey").alias("asset"), (F.col("o_totalprice") / 50000).alias("duration"))
-    return frames.spread(d).select("asset", F.col("pos").cast("long").alias("pos"), F.round("t", 6).alias("t"))
+    return frames.spread(d).select("asset", F.col("pos").cast("long").alias("pos"), F.round("t", 9).alias("t"))
 
 
 def a12_mean_levels(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,7 +78,7 @@ _STEPPED = "WITH a AS (SELECT o_orderkey AS asset, 10.0::DOUBLE + o_orderkey % 5
 ORACLES = {
     "s07_strided": _STEPPED.format(step="fps / 2.0::DOUBLE"),
     "s08_keyframes": _STEPPED.format(step="fps * 1.5::DOUBLE"),
-    "s11_spread": "SELECT o_orderkey AS asset, i AS pos, round(i * (o_totalprice / 50000) / 8, 6) AS t FROM orders, range(0, 8) AS r(i) WHERE o_totalprice / 50000 >= 0.5",
+    "s11_spread": "SELECT o_orderkey AS asset, i AS pos, round(i * (o_totalprice / 50000) / 8, 9) AS t FROM orders, range(0, 8) AS r(i) WHERE o_totalprice / 50000 >= 0.5",
     "a12_mean_levels": "SELECT vec_id, round(list_avg(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS mean FROM embeddings",
     "a16_pooled": "SELECT vec_id, round(embedding[vec_id % 64 + 1]::DOUBLE, 6) AS state FROM embeddings",
     "a19_outcomes": "SELECT count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'error') AS error, round(count(*) FILTER (event_type = 'click') / count(*), 6) AS rate FROM events",
