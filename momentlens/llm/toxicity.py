@@ -2,10 +2,11 @@
 
 Each class has its own discounted bigrams, which back off to its own continuation counts, which back off
 to continuation counts shared by both classes. A class's count gives up the absolute discount and, besides,
-what the shared counts lead one to expect there (``EXPECTED`` times, and two standard deviations), so that
-expressions that are rare, or that a language or a topic makes a little more frequent in one class, are
-left to the shared backoff and weigh nothing; where a class does keep an excess, the shared count is the
-other class's. Equal texts are learnt from once, and an n-gram counts once in each text, so that neither
+what the other class's rate (one count added) leads one to expect there (``EXPECTED`` times, and two standard
+deviations), so that expressions that are rare, or that a language or a topic makes a little more frequent in
+one class, are left to the shared backoff and weigh nothing; where a class does keep an excess, the shared
+count is the other class's. No count of its own is in what it is held against, so that a word that one class
+alone has is kept at any class sizes. Equal texts are learnt from once, and an n-gram counts once in each text, so that neither
 copies nor repeated lines make up evidence. A text's evidence is (log p(text | toxic) - log p(text | ordinary)) / words; a logistic curve fitted
 on labelled texts that the counts left out turns it into a probability.
 
@@ -34,7 +35,7 @@ from momentlens.llm.labelled import sample
 
 PER_CLASS = 4000
 MOST_NGRAMS = 400_000
-#: What a class's count gives up: so many times the count that the shared counts lead one to expect.
+#: What a class's count gives up: so many times the count that the other class leads one to expect.
 EXPECTED = 2.0
 #: One in so many sampled documents fits the curve and not the counts.
 CURVE = 4
@@ -56,17 +57,18 @@ class Model:
         base = (np.concatenate(([0], shared)) + 1) / (shared.sum() + n)
         counts_of = np.vstack((np.zeros((1, 2)), continuation))
         kinds = np.maximum(continuation.sum(axis=0), 1)
-        kept = _excess(counts_of, base[:, None] * kinds, discount[0]) / kinds
+        rate = (counts_of + 1) / (kinds + n)
+        kept = _excess(counts_of, rate[:, ::-1] * kinds, discount[0]) / kinds
         for own, other in ((0, 1), (1, 0)):
-            base = np.where(kept[:, own] > 0, (counts_of[:, other] + 1) / (kinds[other] + n), base)
+            base = np.where(kept[:, own] > 0, rate[:, other], base)
         base /= base.sum()
         self.word = kept + (1 - kept.sum(axis=0)) * base[:, None]
         own = np.vstack((np.zeros((1, 2)), context))
         size = np.maximum(own, 1)
         self.key, at = np.unique(bigrams[:, 0] * n + bigrams[:, 1], return_inverse=True)
         self.arc = np.zeros((len(self.key), 2))
-        share = counts.sum(axis=1, keepdims=True) / np.maximum(own[bigrams[:, 0]].sum(axis=1, keepdims=True), 1)
-        part = _excess(counts, own[bigrams[:, 0]] * share, discount[1]) / size[bigrams[:, 0]]
+        rate = np.minimum((counts + 1) / (own[bigrams[:, 0]] + 1), 1)  # a context that a class never has tells nothing: 1
+        part = _excess(counts, own[bigrams[:, 0]] * rate[:, ::-1], discount[1]) / size[bigrams[:, 0]]
         np.add.at(self.arc, at, np.where(counts > 1, part, 0))
         self.backoff = np.ones((n, 2))
         np.subtract.at(self.backoff, self.key // n, self.arc)

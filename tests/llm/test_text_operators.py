@@ -237,6 +237,19 @@ def test_toxicity_learns_and_copes(spark):
     assert toxicity.scored(odd(spark).limit(0), known, F.lit(True)).count() == 0
 
 
+def test_toxicity_at_equal_class_sizes(spark):
+    r = random.Random(6)
+    plain = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(r.choices(plain, k=30) + r.choices(["rotten", "vermin"] if k % 2 else plain, k=3))) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(k, k % 2) for k in range(500)], "doc_id long, toxic int")
+    # 100 of each class are learnt from: the cap binds
+    got = {x["doc_id"]: x["t_score"] for x in toxicity.scored(docs, known, F.col("doc_id") < 400, per_class=100).collect()}
+    held = range(400, 500)
+    assert sum(got[k] >= 0.5 for k in held if k % 2) >= 48
+    assert sum(got[k] >= 0.5 for k in held if not k % 2) <= 2
+
+
 def test_quality_learns_from_positives(spark):
     rng = random.Random(6)
     good = [" ".join(rng.choice("the of and house river walks slowly under green trees".split()) for _ in range(80)) for _ in range(300)]
