@@ -12,9 +12,12 @@ small-star rounds.
 on at least two of radius + 2 groups of bits, and blocks are formed by every pair of groups.
 ``similar`` links texts whose shingle sets have a Jaccard similarity of at least ``SIMILARITY``. Sets that
 alike differ in about ten of 64 bits, for which no group of bits need agree; so blocks come from bands of
-min-hashes (a pair at 0.8 meets in one of ``BANDS`` with 0.997), the bit-sliced comparison takes out what
-exceeds ``WIDE`` bits (four standard deviations at 0.8), and a signature of 128 min-hashes, four bits
-each, confirms what is left; its standard deviation is 0.037, and ``SLACK`` favours finding a pair.
+min-hashes (a pair at 0.8 misses all of ``BANDS`` with 6e-7), the bit-sliced comparison takes out what
+exceeds ``WIDE`` bits (five standard deviations at 0.8; here each shingle votes once), and a signature of
+128 min-hashes, four bits each, what is estimated more than ``SLACK`` (over four of its standard deviations
+of 0.037) below. What is left only forms candidate components: in each of those the same comparison is made
+once more over all members, and a pair is linked if the distinct 64-bit shingle hashes have that Jaccard
+similarity exactly.
 
 Defined cases: a null or blank text has fingerprint zero, which links like any other; repeated rows and
 ids get the same answer; ties resolve to the smallest id; a null id never names a component while
@@ -41,9 +44,9 @@ SHINGLE = 5
 RADIUS = 4
 TILE = 2048
 SIMILARITY = 0.8
-SLACK = 0.03
-WIDE = 20
-BANDS, ROWS = 8, 3
+SLACK = 0.17
+WIDE = 24
+BANDS, ROWS = 20, 3
 HASHES = 128
 _ODD = np.random.default_rng(17).integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -88,15 +91,19 @@ def minima(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, signed: bool = False) -> DataFrame:
-    """``docs`` with ``s_fp`` (a signed long of the 64 bits) and, if ``signed``, ``s_sig`` and the keys ``s_bands``."""
-    docs = docs.drop("s_fp", "s_sig", "s_bands")
+    """``docs`` with ``s_fp`` (a signed long of the 64 bits) and, if ``signed``, ``s_sig``, the keys ``s_bands`` and the sorted distinct hashes ``s_set``."""
+    docs = docs.drop("s_fp", "s_sig", "s_bands", "s_set")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, text_col):
             fp, low = np.zeros(len(texts), np.uint64), np.zeros((len(texts), HASHES), np.uint32)
+            sets = []
             for k, t in enumerate(texts):
                 parts = list(shingle_hashes(t, shingle))
+                if signed:
+                    parts = [np.unique(np.concatenate(parts))] if parts else []
+                    sets.append(parts[0].tobytes() if parts else b"")
                 fp[k] = fingerprint(parts)
                 if signed:
                     low[k] = minima(parts)
@@ -104,13 +111,13 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE
             if signed:
                 nibble = (low >> np.uint32(7) & np.uint32(15)).astype(np.uint8)
                 bands = [[xxhash.xxh64_intdigest(row[ROWS * b : ROWS * (b + 1)].tobytes(), b) - 2**63 for b in range(BANDS)] for row in low]
-                more = [pa.array([x.tobytes() for x in nibble[:, ::2] | nibble[:, 1::2] << 4], pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-                more_names = ["s_sig", "s_bands"]
+                more = [pa.array([x.tobytes() for x in nibble[:, ::2] | nibble[:, 1::2] << 4], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+                more_names = ["s_sig", "s_bands", "s_set"]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64)), *more], names=[*names, "s_fp", *more_names])
 
     added = [T.StructField("s_fp", T.LongType())]
     if signed:
-        added += [T.StructField("s_sig", T.BinaryType()), T.StructField("s_bands", T.ArrayType(T.LongType()))]
+        added += [T.StructField("s_sig", T.BinaryType()), T.StructField("s_bands", T.ArrayType(T.LongType())), T.StructField("s_set", T.BinaryType())]
     return in_arrow(docs, run, T.StructType([*docs.schema.fields, *added]))
 
 
@@ -226,13 +233,31 @@ def _alike(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.nd
     return out
 
 
-def _linked(keyed: DataFrame, radius: int, least: float | None, tile: int) -> DataFrame:
-    """Links (a, b) of nodes in ``keyed`` (key, s_node, s_fp, s_sig) that connect all that are linked in a block."""
+def _confirmed(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float, of: Components) -> Iterator[tuple[int, int]]:
+    """The pairs whose sets have a Jaccard similarity of ``similarity`` or more; those that are joined meanwhile aren't compared."""
+    sizes = np.array([len(x) for x in sets])
+    close = np.minimum(sizes[i], sizes[j]) + 1e-9 >= similarity * np.maximum(sizes[i], sizes[j])
+    i, j = i[close], j[close]
+    for at in range(0, len(i), 64):
+        a, b = i[at : at + 64], j[at : at + 64]
+        apart = of.label[a] != of.label[b]
+        a, b = a[apart], b[apart]
+        common = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+        alike = common + 1e-9 >= similarity * (sizes[a] + sizes[b] - common)
+        yield from of.joined(a[alike], b[alike])
+
+
+def _linked(keyed: DataFrame, radius: int, least: float | None, tile: int, similarity: float | None = None) -> DataFrame:
+    """Links (a, b) of nodes in ``keyed`` (key, s_node, s_fp, s_sig) that connect all that are linked in a block.
+
+    With ``similarity``, ``keyed`` has ``s_set`` besides, and links are confirmed by it.
+    """
+    sets_of = [] if similarity is None else ["s_set"]
     large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
     dealt = keyed.join(large, "key", "left").withColumn("tiles", F.ceil(F.coalesce("n", F.lit(1)) / tile).cast("int"))
     own = F.pmod(F.xxhash64("s_node"), F.col("tiles")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("s_node", "s_fp", "s_sig", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"))
+    dealt = dealt.select("s_node", "s_fp", "s_sig", *sets_of, F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks come whole and in order; the last one of a batch may go on in the next."""
@@ -241,6 +266,7 @@ def _linked(keyed: DataFrame, radius: int, least: float | None, tile: int) -> Da
         def linked(table: pa.Table, block: np.ndarray) -> Iterator[pa.RecordBatch]:
             node, fp = table.column("s_node").to_numpy(), table.column("s_fp").to_numpy().view(np.uint64)
             sig = None if least is None else np.frombuffer(b"".join(table.column("s_sig").to_pylist()), np.uint8).reshape(len(fp), -1)
+            sets = [np.frombuffer(x, np.uint64) for x in table.column("s_set").to_pylist()] if sets_of else []
             of, pairs = Components(len(fp)), []
             for i, j in near(fp, block, radius):
                 apart = of.label[i] != of.label[j]
@@ -248,7 +274,7 @@ def _linked(keyed: DataFrame, radius: int, least: float | None, tile: int) -> Da
                 if sig is not None and len(i):
                     alike = _alike(sig, i, j, least)
                     i, j = i[alike], j[alike]
-                pairs.extend(of.joined(i, j))
+                pairs.extend(of.joined(i, j) if similarity is None else _confirmed(sets, i, j, similarity, of))
             if pairs:
                 at = np.array(pairs, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], names=["a", "b"])
@@ -317,10 +343,15 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """``docs`` without the text, with ``s_component``: shingle sets of a similarity of ``similarity`` or more are linked."""
     d = fingerprints(docs, text_col, shingle, signed=True).drop(text_col, "s_component")
-    d = written(d.withColumn("s_node", F.xxhash64("s_fp", "s_sig")), "signatures")
+    d = written(d.withColumn("s_node", F.xxhash64("s_set")), "signatures")
     nodes = d.groupBy("s_node").agg(F.first("s_fp").alias("s_fp"), F.first("s_sig").alias("s_sig"), F.first("s_bands").alias("s_bands"))
     keyed = nodes.select(F.explode(F.array_distinct("s_bands")).alias("key"), "s_node", "s_fp", "s_sig")
-    return _components_of(d.drop("s_bands", "s_sig"), _linked(keyed, WIDE, similarity - SLACK, tile), id_col)
+    roots = components(_linked(keyed, WIDE, similarity - SLACK, tile))
+    members = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct().select(F.col("node").alias("s_node"), F.col("root").alias("key"))
+    sets = d.groupBy("s_node").agg(F.first("s_fp").alias("s_fp"), F.first("s_sig").alias("s_sig"), F.first("s_set").alias("s_set"))
+    # written, so that the sets are dealt out once and not for the sizes of components again
+    candidates = written(sets.join(members, "s_node"), "candidates")
+    return _components_of(d.drop("s_bands", "s_sig", "s_set"), _linked(candidates, WIDE, similarity - SLACK, tile, similarity), id_col)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

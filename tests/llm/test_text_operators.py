@@ -168,6 +168,23 @@ def test_representatives(spark):
 # packing
 
 
+def test_similarity_is_exact(spark):
+    """Pairs of 104 shingles, a common run of which is cut: similarities just below and at or above 0.8."""
+    r = random.Random(9)
+    rows, want = [], {}
+    for k in range(120):
+        base = [f"w{r.randrange(10**9)}" for _ in range(104)]
+        short = base[: 84 if k % 2 else 83]  # 80 or 79 of 100 shingles
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(short))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if k % 2 else 2 * k + 1}
+    # one line repeated often weighs as much as any other
+    line, rest = [f"a{k}" for k in range(5)], [f"b{k}" for k in range(300)]
+    rows += [(1000, " ".join(rest)), (1001, " ".join(rest + line * 200))]
+    want |= {1000: 1000, 1001: 1000}
+    got = {x["doc_id"]: x["s_component"] for x in near_duplicates.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_plans_are_no_worse_than_best_fit():
     rng = np.random.default_rng(0)
     for _ in range(200):
