@@ -3,11 +3,13 @@
 Base spans are assignments to a credential name, access keys and long hexadecimal runs. Beside them, any
 value that a wider credential word introduces is segmented at minimum guessing cost into dictionary words,
 dates, repeats, sequences, keyboard walks and brute-force spans; a value whose cheapest segmentation needs
-at least 2 to the power ``BITS`` guesses is a secret as well (kind ``value``).
+at least 2 to the power ``BITS`` guesses is a secret as well (kind ``value``). A run of letters in one case
+may also be a word of a dictionary of 2 to the power ``PROSE``, where each pair of letters that no word of
+``WORDS`` has costs ``RARE`` bits more: so prose after a credential word is cheap and random letters aren't.
 
 Defined cases: a null or empty text has no spans; a value that overlaps a base span isn't added again;
-values longer than ``WHOLE`` characters, which no one guesses, count as hard without segmentation; repeated
-rows are scanned each; an empty table gives an empty result; further columns of ``docs`` stay, those
+a value that begins with a credential word of its own gives way to that word's value; values longer than
+``WHOLE`` characters, which no one guesses, count as hard without segmentation; repeated rows are scanned each; an empty table gives an empty result; further columns of ``docs`` stay, those
 named ``x_spans`` are replaced.
 """
 
@@ -27,12 +29,14 @@ from momentlens.llm.common import documents, in_arrow, text_chunks
 
 BITS = 40.0
 WHOLE = 128
+PROSE, RARE = 16.0, 6.0
 KINDS = ("assign", "access", "hex", "value")
 _ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 #: A wider context: other credential words, other separators, and values with signs.
-_CONTEXT = re.compile(r"(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|credentials?))\b[\"']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+|\x20+)[\"']?([^\s\"'<>(),;|]{8,})")
+_CONTEXT = re.compile(r"(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|credentials?))\b[\"']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+|\x20+)[\"']?(?=[^\s\"'<>(),;|]{8})")
+_VALUE = re.compile(r"[^\s\"'<>(),;|]+")
 _HINT = re.compile(rb"(?i)pass|pwd|secret|token|key|auth|bearer|credential")
 
 #: Frequent passwords and words, the commonest first; a rank is a guess number.
@@ -46,6 +50,7 @@ WORDS = (
 ).split()
 _RANK = {w: k for k, w in enumerate(WORDS, 1)}
 _LONGEST = max(map(len, WORDS))
+_PAIRS = {w[k : k + 2] for w in WORDS for k in range(len(w) - 1)}
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {c: (r, k) for r, row in enumerate(_ROWS) for k, c in enumerate(row)}
 _DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d|(?:19|20)\d\d)")
@@ -82,6 +87,14 @@ def guess_bits(value: str) -> float:
         for j in range(i + 4, min(n, i + 10) + 1):
             if _DATE.fullmatch(value, i, j):
                 best[j] = min(best[j], here + math.log2(365 * 120 if j - i > 4 else 120) + 1)
+        cost = PROSE
+        for j in range(i + 1, n + 1):
+            c = value[j - 1]
+            if not c.isalpha() or (j > i + 2 and c.isupper() != value[i + 1].isupper()) or (j == i + 2 and c.isupper() and not value[i].isupper()):
+                break
+            if j > i + 1 and (pair := value[j - 2 : j]).isascii() and pair.lower() not in _PAIRS:
+                cost += RARE
+            best[j] = min(best[j], here + cost)
         for j in range(i + 3, i + 2 + max(walks[i], steps[i], same[i])):
             k = j - i
             if k <= walks[i] + 1:
@@ -106,12 +119,15 @@ def spans(text: str, bits: float = BITS) -> list[tuple[int, int, int]]:
     found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     base = list(found)
+    done = 0
     for m in _CONTEXT.finditer(text):
-        value = m[1].rstrip(".:!?")
-        a, b = m.start(1), m.start(1) + len(value)
-        # a plain word after a credential word is prose; a secret mixes letters with digits or signs
-        mixed = len(value) >= 8 and not value.isalpha() and any(c.isdigit() for c in value)
-        if mixed and not any(x < b and a < y for x, _, y in base) and (len(value) > WHOLE or guess_bits(value) >= bits):
+        a = m.end()
+        if m.start() < done or _CONTEXT.match(text, a):  # inside a value that was judged; or the value is a credential word itself
+            continue
+        done = _VALUE.match(text, a).end()
+        value = text[a:done].rstrip(".:!?")
+        b = a + len(value)
+        if len(value) >= 8 and not any(x < b and a < y for x, _, y in base) and (len(value) > WHOLE or guess_bits(value) >= bits):
             found.append((a, 3, b))
     return sorted(found)
 

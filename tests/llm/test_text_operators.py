@@ -333,6 +333,14 @@ def test_guess_bits():
     assert secrets.spans("secret " + "x9" * 4000)
 
 
+def test_hard_values_of_any_kind():
+    found = lambda t: [t[a:b] for a, k, b in secrets.spans(t) if k == 3]
+    assert found("pwd is hJk!Lm@Qr$TzWv%Pd") == ["hJk!Lm@Qr$TzWv%Pd"]
+    assert found("pwd is xqzjkvwpqtrmnbvc") == ["xqzjkvwpqtrmnbvc"]
+    assert found("the secret password is Tr0ub4dor&3xQz") == ["Tr0ub4dor&3xQz"]
+    assert not found("token representation and password protection, secret ingredients, key Management. secret admirers")
+
+
 # decontamination and quality rules
 
 
