@@ -2,15 +2,15 @@
 
 Texts are tokenised whole; pieces longer than a sequence are cut. A packing depends on lengths alone, so
 the plan is made from the histogram of lengths, which has at most ``capacity`` rows whatever the corpus:
-the largest length is taken with each set that provably dominates all others holding it (alone when
+from the largest down, each length is taken with a set that provably dominates all others holding it (alone when
 nothing fits beside it, with the largest length that fits when that fills the sequence or no two pieces
-fit, or when the best two fit no better than that one), as often as the histogram allows; when no set
-dominates, the rest is packed best-fit decreasing, a whole run of equal bins at a time. Each piece then
+fit, or when the best two fit no better than that one), as often as the histogram allows; what no set
+dominates is packed best-fit decreasing, a whole run of equal bins at a time. Each piece then
 finds its place by its number among the pieces of its length, which comes from counts for each task and a
 window over those counts, never from one ordered group of pieces.
 
 Defined cases: a null or empty text is one piece that holds only the end token; repeated rows are packed
-each; ties go to the fuller bin made first; an empty table gives an empty result; a null id is kept;
+each; very long texts are tokenised whole and cut; ties go to the fuller bin made first; an empty table gives an empty result; a null id is kept;
 further input columns are not carried.
 """
 
@@ -21,7 +21,9 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -49,19 +51,23 @@ class Encoder:
     """Ids of whole texts. The tokenizer drops white space and never joins across it, so words are encoded once and remembered.
 
     Nearly all words are letters of ASCII or Latin-1 with signs behind: the tokenizer lower-cases the letters,
-    which have no other normal form, and splits off the signs, so lower-case letters can go straight to its
+    which have no other normal form, and splits off ASCII signs, so lower-case letters can go straight to its
     merges. A tokenizer for which this isn't so, by a few probes, gets all words whole, as do other words.
+    A word's ids don't depend on the words seen before it: letters, signs and whole words are remembered apart.
     """
 
     _LATIN = re.compile("[a-z\u00DF-\u00F6\u00F8-\u00FF]+")
     _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
     _PROBES = ("word", "Thandion,", "\u00c9l\u00e8ve!!", "Stra\u00dfe.", "na\u00efve###", "I", "THE", "ll", "(s)", "e.g.", "\u00f1o|")
 
-    def __init__(self, path: str):
+    def __init__(self, tokenizer: str):
+        """``tokenizer``: as JSON."""
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(tokenizer)
         self.known: dict[bytes, bytes] = {}
+        self.letters: dict[bytes, bytes] = {}
+        self.signs: dict[bytes, bytes] = {}
         self.characters = _byte_characters()
         self.plain = True
         probes = [w.encode() for w in self._PROBES]
@@ -74,40 +80,41 @@ class Encoder:
         """ASCII letters lower-cased, but not where that could make up the name of a special token."""
         return text.lower() if self.plain and b"<" not in text else text
 
+    def _of_letters(self, word: bytes) -> bytes | None:
+        """Ids of a word of lower-case letters only; None for others."""
+        ids = self.letters.get(word)
+        if ids is None:
+            if word.isalpha() and word.islower():  # ASCII letters, as these are bytes
+                shown = word.decode()
+            elif not word.isascii() and self._LATIN.fullmatch(word.decode(errors="replace")):
+                shown = word.decode("latin-1").translate(self.characters)
+            else:
+                return None
+            ids = self.letters[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        return ids
+
+    def _of_signs(self, signs: bytes) -> bytes:
+        ids = self.signs.get(signs)
+        if ids is None:
+            ids = self.signs[signs] = np.array(self.tokenizer.encode(signs.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return ids
+
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(words)
-        known, tokenize, latin, other = self.known, self.tokenizer.model.tokenize, self._LATIN.fullmatch, []
-
-        def letters(w: bytes) -> bytes | None:
-            """Ids of a word of lower-case letters only; None for others."""
-            if (ids := known.get(w)) is None:
-                if w.isalpha():  # ASCII letters, as these are bytes
-                    if not w.islower():
-                        return None
-                    shown = w.decode()
-                elif w.isascii() or not latin(w.decode(errors="replace")):
-                    return None
-                else:
-                    shown = w.decode("latin-1").translate(self.characters)
-                ids = known[w] = array("I", [t.id for t in tokenize(shown)]).tobytes()
-            return ids
-
+            self.known, self.letters, self.signs, new = {}, {}, {}, list(words)
+        known, of_letters, other = self.known, self._of_letters, []
         for w in new:
             bare = w.rstrip(self._SIGNS)
-            ids = letters(bare) if self.plain and bare else None
+            ids = of_letters(bare) if self.plain and bare else None
             if ids is None:
                 other.append((w, w.decode(errors="replace")))
-            elif len(bare) < len(w):
-                signs = w[len(bare) :]
-                if signs not in known:
-                    known[signs] = np.array(self.tokenizer.encode(signs.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-                known[w] = ids + known[signs]
+            else:
+                known[w] = ids + self._of_signs(w[len(bare) :]) if len(bare) < len(w) else ids
         for at in range(0, len(other), _BATCH):
             part = other[at : at + _BATCH]
             for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+                known[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
@@ -117,13 +124,23 @@ class Encoder:
             yield b"".join(map(self.known.__getitem__, words))
 
 
+@lru_cache(maxsize=1)
+def _encoder(tokenizer: str) -> Encoder:
+    """One for each worker process, whatever tasks it runs."""
+    return Encoder(tokenizer)
+
+
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """A row for each piece: id, piece, start, length, ids_crc32, and its number ``p_rank`` among those of its length in task ``p_task``."""
+    """A row for each piece: id, piece, start, length, ids_crc32, and its number ``p_rank`` among those of its length in task ``p_task``.
+
+    ``vocabulary``: the path of a tokenizer file, which the driver reads and sends to the tasks.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text())
     last = np.array([end], "<u4").tobytes()
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, seen = Encoder(vocabulary), TaskContext.get().partitionId(), Counter()
+        encoder, task, seen = _encoder(shared.value), TaskContext.get().partitionId(), Counter()
         for batch, texts in text_chunks(batches, text_col):
             row, out = [], []
             for i, ids in enumerate(encoder.encode(texts)):
@@ -154,33 +171,31 @@ def dominated(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[i
                 return lengths[at]
         return 0
 
-    while lengths:
-        top = lengths[-1]
-        room, held = capacity - top, Counter([top])
-        partner = largest(room, held)
-        if not partner:
-            chosen = (top,)
-        else:
-            smallest = []
-            for k in lengths:
-                smallest += [k] * min(left[k] - held[k], 3 - len(smallest))
-                if len(smallest) == 3:
+    for top in lengths[::-1]:
+        while left.get(top):
+            room, held = capacity - top, Counter([top])
+            partner = largest(room, held)
+            if not partner:
+                chosen = (top,)
+            else:
+                smallest = []
+                for k in lengths:
+                    smallest += [k] * min(left[k] - held[k], 3 - len(smallest))
+                    if len(smallest) == 3:
+                        break
+                alone = partner == room or len(smallest) < 2 or smallest[0] + smallest[1] > room
+                if not alone and ((len(smallest) == 3 and sum(smallest) <= room) or _best_pair(lengths, left, held, room) > partner):
                     break
-            if partner == room or len(smallest) < 2 or smallest[0] + smallest[1] > room:
                 chosen = (top, partner)
-            elif (len(smallest) < 3 or sum(smallest) > room) and _best_pair(lengths, left, held, room) <= partner:
-                chosen = (top, partner)
-            else:
-                break
-        use = Counter(chosen)
-        # the same choice holds while both lengths last; equal lengths are taken one set at a time when few are left
-        times = min(left[k] // n for k, n in use.items()) if len(chosen) == 1 or partner == room or len(use) == 1 else 1
-        fixed.append((chosen, times))
-        for k, n in use.items():
-            left[k] -= n * times
-            if not left[k]:
-                del left[k]
-                lengths.remove(k)
+            # what is taken away leaves no better set, so the choice holds while its lengths last
+            use = Counter(chosen)
+            times = min(left[k] // n for k, n in use.items())
+            fixed.append((chosen, times))
+            for k, n in use.items():
+                left[k] -= n * times
+                if not left[k]:
+                    del left[k]
+                    lengths.remove(k)
     return fixed, left
 
 
