@@ -16,6 +16,7 @@ words are read byte by byte like others; an empty table gives an empty result; f
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -111,6 +112,12 @@ class Automaton:
         return out
 
 
+@lru_cache(maxsize=1)
+def _automaton(pieces: tuple[bytes, ...], mark: bytes) -> Automaton:
+    """One for each worker process, whatever tasks it runs."""
+    return Automaton(list(pieces), mark)
+
+
 def pieces_of(path: str) -> list[bytes]:
     """The ordinary pieces of a sentencepiece model."""
     import sentencepiece
@@ -125,10 +132,10 @@ def counted(docs: DataFrame, pieces: list[bytes], text_col: str = "text", mark:
         raise ValueError(f"a vocabulary may have {MOST_BYTES} bytes of pieces")
     docs = docs.drop("k_words", "k_tokens")
     names = docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(shared.value, mark)
+        automaton = _automaton(shared.value, mark)
         for batch, texts in text_chunks(batches, text_col):
             split = [t.split() for t in texts]
             words = list(set().union(*split))
