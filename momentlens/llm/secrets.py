@@ -1,24 +1,33 @@
 """Secret scans: known forms, and values in a credential context that are hard to guess.
 
 Base spans are assignments to a credential name, access keys and long hexadecimal runs. Beside them, any
-value that a wider credential word introduces is segmented at minimum guessing cost into dictionary words,
-dates, repeats, sequences, keyboard walks and brute-force spans; a value whose cheapest segmentation needs
-at least 2 to the power ``BITS`` guesses is a secret as well (kind ``value``). A run of letters in one case
-may also be a word of a dictionary of 2 to the power ``PROSE``, where each pair of letters that no word of
-``WORDS`` has costs ``RARE`` bits more: so prose after a credential word is cheap and random letters aren't.
+value that a wider credential word introduces is segmented at minimum guessing cost into dictionary words (a rank is a
+guess number; capitals and look-alike signs cost a bit each), dates, repeats, sequences, keyboard walks and brute-force spans. A value whose
+cheapest segmentation needs at least 2 to the power ``BITS`` guesses is a secret as well (kind ``value``); nothing else
+decides. A run of letters in one case may also be a word of a dictionary of 2 to the power ``PROSE``, where each
+pair of letters that no word of the dictionary's first thousand has costs ``RARE`` bits more: so prose after a credential word is cheap
+and random letters aren't. Words have at most ``LONGEST`` letters. Repeats, sequences and walks end at any of their first ``LONGEST`` places or where
+they can't go on, so that the work grows with a value's length; it ends as soon as every segmentation costs ``BITS``.
+
+The dictionary is a parameter: ``dictionary`` ranks the letter pieces of a public tokenizer's vocabulary, which
+is in the order of frequency. At most ``MOST_WORDS`` are sent to the tasks.
 
 Defined cases: a null or empty text has no spans; a value that overlaps a base span isn't added again;
-a value that begins with a credential word of its own gives way to that word's value; values longer than
-``WHOLE`` characters, which no one guesses, count as hard without segmentation; repeated rows are scanned each; an empty table gives an empty result; further columns of ``docs`` stay, those
-named ``x_spans`` are replaced.
+a value that begins with a credential word of its own gives way to that word's value; values of any length are segmented whole;
+texts of any length are read whole, in time that grows with n log n of their spans; repeated rows are scanned each; an empty table
+gives an empty result; further columns of ``docs`` stay, one named ``x_spans`` is replaced.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +37,9 @@ from pyspark.sql import types as T
 from momentlens.llm.common import documents, in_arrow, text_chunks
 
 BITS = 40.0
-WHOLE = 128
+LONGEST = 32
+MOST_WORDS = 50_000
+VOCABULARY = "word_bpe_49k.json"
 PROSE, RARE = 16.0, 6.0
 KINDS = ("assign", "access", "hex", "value")
 _ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -48,11 +59,10 @@ WORDS = (
     "their site date web info data file line text code system number house company january february march april june july august "
     "september october november december"
 ).split()
-_RANK = {w: k for k, w in enumerate(WORDS, 1)}
-_LONGEST = max(map(len, WORDS))
-_PAIRS = {w[k : k + 2] for w in WORDS for k in range(len(w) - 1)}
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {c: (r, k) for r, row in enumerate(_ROWS) for k, c in enumerate(row)}
+#: Signs that stand for letters.
+_LOOKS = str.maketrans("013457@$", "oieastas")
 _DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d|(?:19|20)\d\d)")
 
 
@@ -65,84 +75,142 @@ def _near(a: str, b: str) -> bool:
     return bool(p and q) and a != b and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1
 
 
-@lru_cache(maxsize=65536)
+class Guesser:
+    """Guess numbers by a dictionary, the commonest word first."""
+
+    def __init__(self, words: list[str]):
+        self.bits = {}
+        for k, w in enumerate(words[:MOST_WORDS], 1):
+            self.bits.setdefault(w, math.log2(k) + 1)
+        self.longest = min(LONGEST, max(map(len, words), default=0))
+        self.pairs = {w[k : k + 2] for w in words[:1000] for k in range(len(w) - 1)}
+        self.short = lru_cache(maxsize=65536)(self._cheapest)
+
+    def cheapest(self, value: str, enough: float = math.inf) -> float:
+        """log2 of the guesses that the cheapest segmentation of ``value`` needs; any number from ``enough`` on if it needs so many."""
+        return (self.short if len(value) <= 128 else self._cheapest)(value, enough)
+
+    def _cheapest(self, value: str, enough: float) -> float:
+        n, low = len(value), "".join(c.lower() if c.isascii() else c for c in value)
+        plain = low.translate(_LOOKS)
+        alphabet = [_alphabet(c) for c in value]
+        walks, steps = array("i", bytes(4 * n)), array("i", bytes(4 * n))  # how far a keyboard walk and a sequence go on from each place
+        for i in range(n - 2, -1, -1):
+            walks[i] = walks[i + 1] + 1 if _near(value[i], value[i + 1]) else 0
+            step = ord(value[i + 1]) - ord(value[i])
+            steps[i] = (steps[i + 1] + 1 if i + 2 < n and ord(value[i + 2]) - ord(value[i + 1]) == step else 1) if step in (1, -1) else 0
+        again = []  # by the size of a block, how far a value goes on as it was so many places before
+        for size in range(1, min(16, n // 2) + 1):
+            of = array("i", bytes(4 * (n + 1)))
+            for i in range(n - size - 1, -1, -1):
+                of[i] = of[i + 1] + 1 if value[i] == value[i + size] else 0
+            again.append(of)
+        best, far = [0.0] + [math.inf] * n, {}
+
+        def reach(j: int, cost: float) -> None:
+            if cost < best[j]:
+                best[j] = cost
+                if j > i + LONGEST:
+                    far[j] = cost
+
+        for i in range(n):
+            here = best[i]
+            # every segmentation goes on from one of the places reached
+            if here >= enough and min(best[i : i + LONGEST + 1]) >= enough:
+                far = {j: c for j, c in far.items() if j > i}
+                if min(far.values(), default=math.inf) >= enough:
+                    return enough
+            reach(i + 1, here + alphabet[i])
+            for j in range(i + 3, min(n, i + self.longest) + 1):
+                if (bits := self.bits.get(plain[i:j])) is not None:
+                    reach(j, here + bits + sum(a != b for a, b in zip(value[i:j], plain[i:j], strict=True)))
+            if value[i].isdigit():
+                for j in range(i + 4, min(n, i + 10) + 1):
+                    if _DATE.fullmatch(value, i, j):
+                        reach(j, here + math.log2(365 * 120 if j - i > 4 else 120) + 1)
+            cost = PROSE
+            for j in range(i + 1, min(n, i + LONGEST) + 1):
+                c = value[j - 1]
+                if not c.isalpha() or (j > i + 2 and c.isupper() != value[i + 1].isupper()) or (j == i + 2 and c.isupper() and not value[i].isupper()):
+                    break
+                if j > i + 1 and c.isascii() and value[j - 2].isascii() and low[j - 2 : j] not in self.pairs:
+                    cost += RARE
+                reach(j, here + cost)
+            for run, first, each in ((walks[i] + 1, math.log2(47), 1), (steps[i] + 1, alphabet[i] + 1, 0)):
+                for k in [*range(3, min(run, LONGEST) + 1), run]:
+                    if k > 2:
+                        reach(i + k, here + first + math.log2(k) + each * k)
+            block = 0.0
+            for size, of in enumerate(again, 1):
+                block += alphabet[i + size - 1] if i + size <= n else 0.0
+                most = of[i] // size + 1
+                for k in [*range(2, min(most, LONGEST // size) + 1), most]:
+                    if k > 1 and k * size > 2:
+                        reach(i + k * size, here + block + math.log2(k) + (size > 1))
+        return best[n]
+
+
+_OWN = Guesser(WORDS)
+
+
 def guess_bits(value: str) -> float:
-    """log2 of the guesses that the cheapest segmentation of ``value`` needs."""
-    n, plain = len(value), value.lower().translate(str.maketrans("013457@$", "oieastas"))
-    best = [0.0] + [math.inf] * n
-    walks = [0] * n  # how far a keyboard walk, a sequence and a repeat go on from each place
-    steps, same = [0] * n, [0] * n
-    for i in range(n - 2, -1, -1):
-        walks[i] = walks[i + 1] + 1 if _near(value[i], value[i + 1]) else 0
-        same[i] = same[i + 1] + 1 if value[i] == value[i + 1] else 0
-        step = ord(value[i + 1]) - ord(value[i])
-        steps[i] = (steps[i + 1] + 1 if i + 2 < n and ord(value[i + 2]) - ord(value[i + 1]) == step else 1) if step in (1, -1) else 0
-    for i in range(n):
-        here = best[i]
-        best[i + 1] = min(best[i + 1], here + _alphabet(value[i]))
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            if rank := _RANK.get(plain[i:j]):
-                changed = sum(a != b for a, b in zip(value[i:j], plain[i:j], strict=True))
-                best[j] = min(best[j], here + math.log2(rank) + 1 + changed)
-        for j in range(i + 4, min(n, i + 10) + 1):
-            if _DATE.fullmatch(value, i, j):
-                best[j] = min(best[j], here + math.log2(365 * 120 if j - i > 4 else 120) + 1)
-        cost = PROSE
-        for j in range(i + 1, n + 1):
-            c = value[j - 1]
-            if not c.isalpha() or (j > i + 2 and c.isupper() != value[i + 1].isupper()) or (j == i + 2 and c.isupper() and not value[i].isupper()):
-                break
-            if j > i + 1 and (pair := value[j - 2 : j]).isascii() and pair.lower() not in _PAIRS:
-                cost += RARE
-            best[j] = min(best[j], here + cost)
-        for j in range(i + 3, i + 2 + max(walks[i], steps[i], same[i])):
-            k = j - i
-            if k <= walks[i] + 1:
-                best[j] = min(best[j], here + math.log2(47 * k) + k)
-            if k <= steps[i] + 1:
-                best[j] = min(best[j], here + _alphabet(value[i]) + math.log2(2 * k))
-            if k <= same[i] + 1:
-                best[j] = min(best[j], here + _alphabet(value[i]) + math.log2(k))
-        for size in range(2, min(16, (n - i) // 2) + 1):  # a block that comes again
-            k = 1
-            while value.startswith(value[i : i + size], i + k * size):
-                k += 1
-            if k > 1:
-                block = sum(map(_alphabet, value[i : i + size]))
-                best[i + k * size] = min(best[i + k * size], here + block + math.log2(k) + 1)
-    return best[n]
-
-
-def spans(text: str, bits: float = BITS) -> list[tuple[int, int, int]]:
+    """By the words of this module alone."""
+    return _OWN.cheapest(value)
+
+
+def dictionary(path: str) -> list[str]:
+    """The words of this module, and behind them the letter pieces of a vocabulary file, in the order of their numbers."""
+    vocabulary = json.loads(Path(path).read_text())["model"]["vocab"]
+    pieces = (w.removesuffix("</w>").lower() for w, _ in sorted(vocabulary.items(), key=lambda x: x[1]))
+    return list(dict.fromkeys([*WORDS, *(w for w in pieces if len(w) > 2 and w.isascii() and w.isalpha())]))[:MOST_WORDS]
+
+
+def spans(text: str, bits: float = BITS, guesser: Guesser = _OWN) -> list[tuple[int, int, int]]:
     """(start, kind, end) in code points, in order; kind is a place in ``KINDS``."""
     found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
     found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    base = list(found)
+    starts, ends = [], []  # of the union of base spans
+    for a, _, b in sorted(found):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     done = 0
     for m in _CONTEXT.finditer(text):
         a = m.end()
         if m.start() < done or _CONTEXT.match(text, a):  # inside a value that was judged; or the value is a credential word itself
             continue
         done = _VALUE.match(text, a).end()
-        value = text[a:done].rstrip(".:!?")
-        b = a + len(value)
-        if len(value) >= 8 and not any(x < b and a < y for x, _, y in base) and (len(value) > WHOLE or guess_bits(value) >= bits):
+        b = done
+        while b > a and text[b - 1] in ".:!?":
+            b -= 1
+        free = bisect_right(ends, a)
+        if b - a >= 8 and (free == len(starts) or starts[free] >= b) and guesser.cheapest(text[a:b], bits) >= bits:
             found.append((a, 3, b))
     return sorted(found)
 
 
-def scanned(docs: DataFrame, text_col: str = "text", bits: float = BITS) -> DataFrame:
+@lru_cache(maxsize=1)
+def _guesser(words: tuple[str, ...]) -> Guesser:
+    """One for each worker process."""
+    return Guesser(list(words))
+
+
+def scanned(docs: DataFrame, text_col: str = "text", bits: float = BITS, words: list[str] = WORDS) -> DataFrame:
     """``docs`` with ``x_spans``: kind, start and end (exclusive) in code points."""
     docs = docs.drop("x_spans")
     names = docs.columns
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     other = re.compile(rb"AKIA|[0-9a-f]{32}")
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(words[:MOST_WORDS]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guesser = _guesser(shared.value)
         for batch, texts in text_chunks(batches, text_col):
-            out = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans(t.decode(errors="surrogateescape"), bits)] if _HINT.search(t) or other.search(t) else [] for t in texts]
+            out = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans(t.decode(errors="surrogateescape"), bits, guesser)] if _HINT.search(t) or other.search(t) else [] for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], names=[*names, "x_spans"])
 
     return in_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("x_spans", span)]))
@@ -154,7 +222,9 @@ def _joined(found: F.Column) -> F.Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: the secrets of every document, counted and digested."""
-    d = scanned(documents(spark, sf_dir).select("doc_id", "text"))
+    import public_tokenizers
+
+    d = scanned(documents(spark, sf_dir).select("doc_id", "text"), words=dictionary(public_tokenizers.path(VOCABULARY)))
     n = lambda kind: F.size(F.filter("x_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("x_spans", lambda s: s["kind"] != "value")
     return d.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("x_spans")).alias("spans"))
