@@ -1,21 +1,25 @@
 """Language-model scoring: a smoothed n-gram model as a backoff automaton over words and text ends.
 
-Documents are dealt into shards of bounded size. A shard asks for the counts of its distinct n-grams
-only: it sends their 64-bit hashes, sorted, with its own training counts, cut up by hash range; each range
-adds up the counts of all shards and answers every asker with totals in the asker's order. So each
-n-gram crosses the network once for each shard that has it, however often it occurs, and nothing is
-broadcast. A shard then builds its automaton: a state for each known context, an arc for each seen n-gram
-whose weight is its smoothed log-probability, and a failure arc to the next shorter context whose weight
-is the backoff. One traversal from left to right follows arcs and failures and adds up the weights.
+Each task packs the documents that it reads into shards of bounded size, a row each, which is written once. A shard asks for
+the counts of its distinct n-grams only: it sends their 64-bit hashes, sorted, with its own training counts, cut up into as many
+hash ranges as there are shuffle partitions; each range adds up the counts of all shards and answers every asker with totals
+in the asker's order. So each n-gram crosses the network once for each shard that has it, however often it occurs;
+rows are shards times ranges, in proportion to the corpus; texts are shuffled once, compressed, to meet their answers; nothing is broadcast.
+The memory of a range is what is asked divided by the shuffle partitions, which grow with the data as for any Spark job.
+
+A shard then builds its automaton: a state for the start and for each known context, an arc to a next state for each seen
+n-gram, whose weight is its smoothed log-probability, and a failure arc to the state of the next shorter context, whose weight is the backoff.
+One traversal from left to right, of all texts side by side, carries each text's state, takes failure arcs until the
+next token has an arc, and adds up the weights.
 
 Smoothing is Dirichlet, level by level: p(w | ctx) = (c(ctx w) + mu * p(w | shorter ctx)) / (c(ctx) + mu),
 ending in add-one counts over the training tokens and one unknown token. All n-grams of all training
 documents count, single ones too.
 
-Defined cases: a null or empty text is one end token; repeated rows are scored and counted each; with no
-training token at all p = 1 / (V + 1) = 1 for every token; a null id is in no fold, so it trains and is
-not held out; an empty table gives an empty result. Hashes have 64 bits: among 10^8 n-grams a collision
-has a chance of about 0.0003.
+Defined cases: a null or empty text is one end token; a very long text is a shard of its own and read whole; repeated rows are
+scored and counted each; with no training token at all p = 1 / (V + 1) = 1 for every token; a null id is in no fold, so it trains and is
+not held out; an empty table gives an empty result; further input columns, whatever their names, are not carried. Hashes have 64 bits:
+among 10^8 n-grams a collision has a chance of about 0.0003.
 """
 
 from __future__ import annotations
@@ -26,14 +30,18 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from momentlens.llm.common import documents, fold, ship, written
+from momentlens.llm.common import documents, fold, in_arrow, text_chunks, written
 
 ORDER = 2
 MU = 400.0
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
+#: Tokens that are read one after another.
+RUN = 512
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,16 +120,55 @@ def _from_numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
 
 
-def _texts(table: pa.Table) -> list[bytes]:
-    return [t or b"" for t in table.column("text").cast(pa.large_binary()).to_pylist()]
+def _packer(shard_bytes: int, id_type: pa.DataType):
+    """Rows of texts to a row for each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() << 32
+        ids, trains, texts, held = [], [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            flags = pa.concat_arrays(trains)
+            lengths, data = pa.array(list(map(len, texts)), pa.int64()), pa.compress(b"".join(texts), "zstd", asbytes=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([shard]), one(pa.concat_arrays(ids).cast(id_type)), one(flags), one(lengths), pa.array([data], pa.binary()), pa.array([held]), pa.array([flags.true_count])],
+                names=["shard", "ids", "trains", "lengths", "data", "bytes", "n_trains"],
+            )
+
+        for batch, part in text_chunks(batches, most=shard_bytes):
+            size = sum(map(len, part))
+            if texts and held + size > shard_bytes:
+                yield packed()
+                shard, ids, trains, texts, held = shard + 1, [], [], [], 0
+            ids.append(batch.column("id"))
+            trains.append(batch.column("trains"))
+            texts += part
+            held += size
+        if texts:
+            yield packed()
+
+    return run
+
+
+def _unpacked(table: pa.Table) -> list[bytes]:
+    """The texts of one shard."""
+    data = memoryview(pa.decompress(table.column("data")[0].as_py(), decompressed_size=table.column("bytes")[0].as_py(), codec="zstd"))
+    ends = np.cumsum(table.column("lengths")[0].values.to_numpy())
+    return [bytes(data[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def _asker(order: int, ranges: int):
-    def ask(table: pa.Table) -> pa.Table:
-        tokens = Tokens(_texts(table))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield asked(pa.Table.from_batches([batch.slice(k, 1)]))
+
+    def asked(table: pa.Table) -> pa.RecordBatch:
+        tokens = Tokens(_unpacked(table))
         grams = Grams(tokens, order)
         keys, places = _sorted(grams)
-        trains = np.repeat(table.column("trains").to_numpy().astype(np.int64), tokens.lengths)
+        trains = np.repeat(np.asarray(table.column("trains")[0].as_py(), np.int64), tokens.lengths)
         counts, begin = np.zeros(len(keys), np.int64), 0
         for level, at in zip(grams.keys, grams.at, strict=True):
             own = places[begin : begin + len(level)]
@@ -133,15 +180,14 @@ def _asker(order: int, ranges: int):
         cuts = np.searchsorted(part, np.arange(ranges + 1))
         used = np.flatnonzero(np.diff(cuts))
         shard = table.column("shard")[0].as_py()
-        return pa.table(
-            {
-                "part": pa.array(used, pa.int64()),
-                "shard": pa.array([shard] * len(used), pa.int64()),
-                "keys": pa.array([_planes(keys[cuts[p] : cuts[p + 1]]) for p in used], pa.binary()),
-                "counts": pa.array([_numbers(counts[cuts[p] : cuts[p + 1]]) for p in used], pa.binary()),
-                "single": pa.array([np.packbits(single[cuts[p] : cuts[p + 1]]).tobytes() for p in used], pa.binary()),
-            }
-        )
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(used, pa.int64()), pa.array([shard] * len(used), pa.int64()),
+                pa.array([_planes(keys[cuts[p] : cuts[p + 1]]) for p in used], pa.binary()), pa.array([_numbers(counts[cuts[p] : cuts[p + 1]]) for p in used], pa.binary()),
+                pa.array([np.packbits(single[cuts[p] : cuts[p + 1]]).tobytes() for p in used], pa.binary()),
+            ],
+            names=["part", "shard", "keys", "counts", "single"],
+        )
 
     return ask
 
@@ -175,85 +221,134 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """States are contexts (the root first), arcs are seen n-grams; both as arrays of log10 weights.
+    """State 0 is the root, then come the starts of a text, by the tokens that they stand for, and the contexts, which are the n-grams of all levels but the last.
 
-    An arc of level n leaves the state of its context; ``backoff`` is the weight of that state's failure arc.
+    Arcs are sorted by state * words + word; the root has one for every word, with or without counts.
     """
 
     def __init__(self, grams: Grams, totals: list[np.ndarray], starts: int, n_tokens: int, n_kinds: int, mu: float):
-        self.grams = grams
-        p = (totals[0] + 1) / (n_tokens + n_kinds + 1)  # of each distinct token, the level without context
-        self.arc, self.seen, self.backoff = [np.log10(p)], [np.ones(len(p), bool)], []
-        for level in range(1, len(totals)):
+        order, self.words = len(totals), len(totals[0])
+        first = np.cumsum([order, *(len(t) for t in totals[:-1])])[:order]  # the state of each level's first n-gram
+        suffix = [np.zeros(0, np.int64)]  # for each n-gram, the one of the level below that lacks the first token
+        for level in range(1, order):
+            out = np.zeros(len(totals[level]), np.int64)
+            out[grams.at[level]] = grams.at[level - 1]
+            suffix.append(out)
+        n = order + sum(len(t) for t in totals[:-1])
+        self.start, self.fail, self.backoff = order - 1, np.zeros(n, np.int64), np.zeros(n)
+        self.fail[1:order] = np.arange(order - 1)
+        self.backoff[1:order] = np.log10(mu / (starts + mu))
+        for level in range(order - 1):
+            own = slice(first[level], first[level] + len(totals[level]))
+            self.fail[own] = first[level - 1] + suffix[level] if level else 0
+            self.backoff[own] = np.log10(mu / (totals[level] + mu))
+        p = (totals[0] + 1) / (n_tokens + n_kinds + 1)
+        to = first[0] + np.arange(self.words) if order > 1 else np.zeros(self.words, np.int64)
+        word = np.arange(self.words)
+        key, weight, target = [word], [np.log10(p)], [to]
+        for level in range(1, order):
             context, total = grams.context[level - 1], totals[level]
-            # a context's count: how often a token followed it in training
-            size = np.where(context < 0, starts, totals[level - 1][context]).astype(float)
-            low = p[self._shorter(level)]
-            self.seen.append(total > 0)
-            self.backoff.append(np.log10(mu / (size + mu)))
-            p = (total + mu * low) / (size + mu)
-            self.arc.append(np.log10(p))
-
-    def _shorter(self, level: int) -> np.ndarray:
-        """For each n-gram of a level, the n-gram of the level below that lacks the first token."""
-        out = np.zeros(len(self.grams.keys[level]), np.int64)
-        out[self.grams.at[level]] = self.grams.at[level - 1]
-        return out
-
-    def weights(self) -> np.ndarray:
-        """Of each token, what the traversal adds: the arc of the longest seen n-gram, after the failures that lead to it."""
-        top = len(self.arc) - 1
-        added = np.zeros(len(self.grams.at[0]))
-        going = np.arange(len(added))
-        for level in range(top, -1, -1):
-            gram = self.grams.at[level][going]
-            seen = self.seen[level][gram]
-            added[going[seen]] += self.arc[level][gram[seen]]
-            going, gram = going[~seen], gram[~seen]
-            if level and len(going):
-                added[going] += self.backoff[level - 1][gram]
-        return added
-
-
-def _scorer(order: int, ranges: int, mu: float, n_tokens: int, n_kinds: int, n_starts: int):
+            word = word[suffix[level]]
+            size = np.where(context < 0, starts, totals[level - 1][context])
+            p = (total + mu * p[suffix[level]]) / (size + mu)
+            seen = np.flatnonzero(total)
+            state = np.where(context < 0, level, first[level - 1] + context)
+            to = first[level] + np.arange(len(total)) if level < order - 1 else first[level - 1] + suffix[level]
+            key.append((state * self.words + word)[seen])
+            weight.append(np.log10(p[seen]))
+            target.append(to[seen])
+        self.key, self.weight, self.target = map(np.concatenate, (key, weight, target))
+        sort = np.argsort(self.key, kind="stable")
+        self.key, self.weight, self.target = self.key[sort], self.weight[sort], self.target[sort]
+
+    def scores(self, word: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The summed weights of texts, each a run of ``word``.
+
+        A long text is read as several runs. As the last ``start`` tokens settle the state, a run begins that many tokens early, at the root, and doesn't add those.
+        """
+        runs = -(-lengths // RUN)
+        text = np.repeat(np.arange(len(lengths)), runs)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)
+        early = np.where(number > 0, self.start, 0)
+        begin = starts[text] + number * RUN - early
+        reads = np.minimum(lengths[text] - number * RUN, RUN) + early
+        lanes = np.argsort(-reads, kind="stable")  # those still reading are a prefix
+        text, begin, early, left = text[lanes], begin[lanes], early[lanes], -reads[lanes]
+        state, sums = np.where(early > 0, 0, self.start), np.zeros(len(lanes))
+        for place in range(int(reads.max(initial=0))):
+            going = np.arange(int(np.searchsorted(left, -place, side="left")))
+            read = word[begin[going] + place]
+            added = np.zeros(len(going))
+            while len(going):
+                at = state[going]
+                key = at * self.words + read
+                arc = key  # the root's arcs come first, one for each word
+                if (deep := np.flatnonzero(at)).size:
+                    arc = key.copy()
+                    arc[deep] = np.minimum(np.searchsorted(self.key, key[deep]), len(self.key) - 1)
+                fits = self.key[arc] == key
+                on, arc = going[fits], arc[fits]
+                added[on] += self.weight[arc]
+                state[on] = self.target[arc]
+                going, read = going[~fits], read[~fits]
+                added[going] += self.backoff[state[going]]
+                state[going] = self.fail[state[going]]
+            sums[: len(added)] += np.where(place >= early[: len(added)], added, 0)
+        return np.bincount(text, weights=sums, minlength=len(lengths))
+
+
+def _scorer(order: int, mu: float, n_tokens: int, n_kinds: int, n_starts: int):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        tokens = Tokens(_texts(docs))
+        tokens = Tokens(_unpacked(docs))
         grams = Grams(tokens, order)
         keys, places = _sorted(grams)
-        totals = np.concatenate([_from_numbers(x) for _, x in sorted(zip(answers.column("part").to_pylist(), answers.column("totals").to_pylist(), strict=True))]) if answers.num_rows else np.zeros(0, np.int64)
+        totals = np.concatenate([_from_numbers(x) for _, x in sorted(zip(answers.column("part").to_pylist(), answers.column("totals").to_pylist(), strict=True))])
         if len(totals) != len(keys):
             raise ValueError("a shard's answers must fit what it asked")
         cuts = np.cumsum([len(k) for k in grams.keys])
         levels = [totals[x] for x in np.split(places, cuts[:-1])]
         base = np.log10((levels[0] + 1) / (n_tokens + n_kinds + 1))[grams.at[0]]
         known = (levels[0] > 0)[grams.at[0]]
-        weight = Automaton(grams, levels, n_starts, n_tokens, n_kinds, mu).weights()
+        scores = Automaton(grams, levels, n_starts, n_tokens, n_kinds, mu).scores(grams.at[0], tokens.starts, tokens.lengths)
         add = lambda x: np.add.reduceat(x, tokens.starts)
-        n = docs.num_rows
+        n = len(tokens.starts)
         return pa.table(
             {
-                "id": docs.column("id"), "trains": docs.column("trains"), "n_tokens": pa.array(tokens.lengths), "n_known": pa.array(add(known.astype(np.int64))),
-                "train_tokens": pa.array(np.full(n, n_tokens, np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(weight)),
+                "id": docs.column("ids")[0].values, "trains": docs.column("trains")[0].values, "n_tokens": pa.array(tokens.lengths), "n_known": pa.array(add(known.astype(np.int64))),
+                "train_tokens": pa.array(np.full(n, n_tokens, np.int64)), "base_score": pa.array(add(base)), "score": pa.array(scores),
             }
         )
 
     return score
 
 
-def scored(docs: DataFrame, trains: F.Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, mu: float = MU, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """id, trains, n_tokens, n_known, train_tokens, base_score and score of every row; the rows where ``trains`` is true are learnt from."""
-    ship(docs.sparkSession)
+def packed(docs: DataFrame, trains: F.Column, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """A row for each shard of ``docs``: its ids, texts and which of them are learnt from."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
-    size, starts = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("trains")).first()
-    shards = max(1, -(-size // shard_bytes))
-    d = d.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
-    asked = d.groupBy("shard").applyInArrow(_asker(order, shards), "part long, shard long, keys binary, counts binary, single binary")
-    answers = written(asked.groupBy("part").applyInArrow(_answer, "shard long, part long, totals binary, tokens long, kinds long"), "ngram-counts")
+    id_type = docs.schema[id_col].dataType
+    schema = f"shard long, ids array<{id_type.simpleString()}>, trains array<boolean>, lengths array<long>, data binary, bytes long, n_trains long"
+    return in_arrow(d, _packer(shard_bytes, to_arrow_type(id_type)), schema)
+
+
+def asked(shards: DataFrame, order: int, ranges: int) -> DataFrame:
+    """What each shard asks each of so many hash ranges."""
+    return in_arrow(shards, _asker(order, ranges), "part long, shard long, keys binary, counts binary, single binary")
+
+
+def scored(docs: DataFrame, trains: F.Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, mu: float = MU, shard_bytes: int = SHARD_BYTES, ranges: int | None = None) -> DataFrame:
+    """id, trains, n_tokens, n_known, train_tokens, base_score and score of every row; the rows where ``trains`` is true are learnt from.
+
+    ``ranges``: as many as shuffle partitions unless given.
+    """
+    spark = docs.sparkSession
+    shards = written(packed(docs, trains, id_col, text_col, shard_bytes), "shards")
+    asks = asked(shards, order, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    answers = written(asks.groupBy("part").applyInArrow(_answer, "shard long, part long, totals binary, tokens long, kinds long"), "ngram-counts")
     n_tokens, n_kinds = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return d.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
-        _scorer(order, shards, mu, n_tokens, n_kinds, starts),
-        f"id {id_type}, trains boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+    starts = shards.agg(F.coalesce(F.sum("n_trains"), F.lit(0))).first()[0]
+    return shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
+        _scorer(order, mu, n_tokens, n_kinds, starts),
+        f"id {docs.schema[id_col].dataType.simpleString()}, trains boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
 
 
