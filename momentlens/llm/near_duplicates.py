@@ -3,23 +3,26 @@
 Fingerprints come from whole texts. Documents that are alike in all that is compared are one node, so
 copies are never paired. In a block, fingerprints stand as bit planes, one lane each; every lane is
 compared with the lane d places on, for all d, by carry-save counters that add whole words of 64 lanes,
-and words in which every lane exceeds the radius are abandoned. A block of more than ``TILE`` members is
-dealt out as pairs of tiles. Of each task's links only those that join two of its components go on, so
-that a block gives fewer links than members. Components come from alternating large-star and
-small-star rounds.
+and words in which every lane exceeds the radius are abandoned. Lanes that are connected already aren't compared.
+Only links that join two components go on, so that a block gives fewer links than members. Components come from
+alternating large-star and small-star rounds.
+
+A block of more than ``TILE`` members is dealt out as tiles, each member to one of them. What the links inside of tiles leave
+outside a block's largest component is then compared with all of the block, tile by tile. So a large group of near copies, which
+its tiles connect, costs as much as its members, and no link is lost.
 
 ``grouped`` links by distance alone and loses none: two fingerprints within ``radius`` differing bits agree
-on at least two of radius + 2 groups of bits, and blocks are formed by every pair of groups.
+on at least g - ``radius`` of g groups of bits, and blocks are formed by every such choice of groups; g grows with the
+logarithm of the fingerprints, so that blocks of unrelated ones stay small.
 ``similar`` links texts whose shingle sets have a Jaccard similarity of at least ``SIMILARITY``. Sets that
 alike differ in about ten of 64 bits, for which no group of bits need agree; so blocks come from bands of
-min-hashes (a pair at 0.8 misses all of ``BANDS`` with 6e-7), the bit-sliced comparison takes out what
-exceeds ``WIDE`` bits (five standard deviations at 0.8; here each shingle votes once), and a signature of
-128 min-hashes, four bits each, what is estimated more than ``SLACK`` (over four of its standard deviations
-of 0.037) below. What is left only forms candidate components: in each of those the same comparison is made
-once more over all members, and a pair is linked if the distinct 64-bit shingle hashes have that Jaccard
-similarity exactly.
-
-Defined cases: a null or blank text has fingerprint zero, which links like any other; repeated rows and
+min-hashes (a pair at 0.8 misses all of ``BANDS`` with 0.002), and fingerprints have ``WIDE_BITS`` bits, in which each
+shingle votes once, so that ``WIDE`` differing bits tell 0.8 from less (39 expected at 0.8, with a standard deviation
+of 5.7; 69 at 0.5). The bit-sliced comparison forms candidate components; in each of those it is made
+once more over all members, and a pair is linked if the distinct 64-bit shingle hashes of its texts have that Jaccard
+similarity exactly. Only texts of candidate components are read again for that.
+
+Defined cases: a null or blank text has no shingles and fingerprint zero, which links like any other; very long texts are read whole; repeated rows and
 ids get the same answer; ties resolve to the smallest id; a null id never names a component while
 another id is reachable; an empty table gives an empty result; further input columns stay as they are
 and those named like the operator's own (``s_*``) are replaced.
@@ -42,16 +45,21 @@ from momentlens.llm.common import documents, in_arrow, text_chunks, written
 BITS = 64
 SHINGLE = 5
 RADIUS = 4
+#: Members of a block that one task compares with each other.
 TILE = 2048
 SIMILARITY = 0.8
-SLACK = 0.17
-WIDE = 24
-BANDS, ROWS = 20, 3
-HASHES = 128
+#: The same where texts are compared.
+TEXT_TILE = 256
+WIDE_BITS = 256
+WIDE = 60
+BANDS, ROWS = 12, 4
+HASHES = BANDS * ROWS
 _ODD = np.random.default_rng(17).integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Factors that make further hashes out of one.
+_MIX = np.random.default_rng(18).integers(0, 2**63, WIDE_BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Shingles whose bits are counted together.
-_VOTES = 1 << 16
+_PART = 1 << 16
 
 
 def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
@@ -65,86 +73,124 @@ def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
     starts = ends - lengths
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, n, _VOTES):
-        a = starts[at : min(at + _VOTES, n)]
+    for at in range(0, n, _PART):
+        a = starts[at : min(at + _PART, n)]
         b = ends[min(at + shingle, len(words)) - 1 :][: len(a)]
         yield np.fromiter((digest(line[x:y], 42) for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, len(a))
 
 
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
 def fingerprint(parts: list[np.ndarray]) -> int:
     """Bit b is 1 if over half of the hashes have it; no hashes give 0."""
     votes, n = np.zeros(BITS, np.int64), 0
     for h in parts:
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        votes += _votes(h)
         n += len(h)
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
 
 
-def minima(parts: list[np.ndarray]) -> np.ndarray:
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """The same of ``WIDE_BITS`` bits, from further hashes of distinct ones."""
+    votes = np.zeros((len(_MIX), 64), np.int64)
+    for at in range(0, len(hashes), _PART):
+        part = hashes[at : at + _PART]
+        for k, factor in enumerate(_MIX):
+            mixed = (part ^ (part >> np.uint64(29))) * factor
+            votes[k] += _votes(mixed ^ (mixed >> np.uint64(32)))
+    return np.packbits(2 * votes.reshape(-1) > len(hashes), bitorder="little").tobytes()
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
     """Smallest values of the hashes under ``HASHES`` permutations."""
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for h in parts:
-        high = (h >> np.uint64(32)).astype(np.uint32)
-        for at in range(0, len(high), 2048):
-            out = np.minimum(out, (high[at : at + 2048, None] * _ODD).min(axis=0))
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(high), 2048):
+        out = np.minimum(out, (high[at : at + 2048, None] * _ODD).min(axis=0))
     return out
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, signed: bool = False) -> DataFrame:
-    """``docs`` with ``s_fp`` (a signed long of the 64 bits) and, if ``signed``, ``s_sig``, the keys ``s_bands`` and the sorted distinct hashes ``s_set``."""
-    docs = docs.drop("s_fp", "s_sig", "s_bands", "s_set")
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    parts = list(shingle_hashes(text, shingle))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with ``s_fp``, a signed long of the 64 bits."""
+    docs = docs.drop("s_fp")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, text_col):
-            fp, low = np.zeros(len(texts), np.uint64), np.zeros((len(texts), HASHES), np.uint32)
-            sets = []
-            for k, t in enumerate(texts):
-                parts = list(shingle_hashes(t, shingle))
-                if signed:
-                    parts = [np.unique(np.concatenate(parts))] if parts else []
-                    sets.append(parts[0].tobytes() if parts else b"")
-                fp[k] = fingerprint(parts)
-                if signed:
-                    low[k] = minima(parts)
-            more, more_names = [], []
-            if signed:
-                nibble = (low >> np.uint32(7) & np.uint32(15)).astype(np.uint8)
-                bands = [[xxhash.xxh64_intdigest(row[ROWS * b : ROWS * (b + 1)].tobytes(), b) - 2**63 for b in range(BANDS)] for row in low]
-                more = [pa.array([x.tobytes() for x in nibble[:, ::2] | nibble[:, 1::2] << 4], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
-                more_names = ["s_sig", "s_bands", "s_set"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64)), *more], names=[*names, "s_fp", *more_names])
-
-    added = [T.StructField("s_fp", T.LongType())]
-    if signed:
-        added += [T.StructField("s_sig", T.BinaryType()), T.StructField("s_bands", T.ArrayType(T.LongType())), T.StructField("s_set", T.BinaryType())]
-    return in_arrow(docs, run, T.StructType([*docs.schema.fields, *added]))
-
-
-def near(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places i < j of fingerprints within ``radius`` bits in the same group; equal groups stand together."""
-    n = len(fps)
+            fp = np.array([fingerprint(list(shingle_hashes(t, shingle))) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*names, "s_fp"])
+
+    return in_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("s_fp", T.LongType())]))
+
+
+def signatures(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` without the text, with ``s_node`` (a hash of the shingle set), ``s_fp`` (``WIDE_BITS`` bits) and the keys ``s_bands``."""
+    docs = docs.drop("s_node", "s_fp", "s_bands")
+    names = [c for c in docs.columns if c != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches, text_col):
+            node, fp, bands = [], [], []
+            for t in texts:
+                hashes = shingle_set(t, shingle)
+                low = minima(hashes)
+                node.append(xxhash.xxh64_intdigest(hashes.tobytes()) - 2**63)
+                fp.append(wide_fingerprint(hashes))
+                bands.append([xxhash.xxh64_intdigest(low[ROWS * b : ROWS * (b + 1)].tobytes(), b) - 2**63 for b in range(BANDS)])
+            added = [pa.array(node, pa.int64()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), *added], names=[*names, "s_node", "s_fp", "s_bands"])
+
+    added = [T.StructField("s_node", T.LongType()), T.StructField("s_fp", T.BinaryType()), T.StructField("s_bands", T.ArrayType(T.LongType()))]
+    return in_arrow(docs, run, T.StructType([*(f for f in docs.schema.fields if f.name != text_col), *added]))
+
+
+def near(fps: np.ndarray, group: np.ndarray, radius: int, of: "Components | None" = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places i < j of fingerprints (of one or more 64-bit words) within ``radius`` bits in the same group; equal groups stand together.
+
+    With ``of``, pairs that it has joined meanwhile are left out.
+    """
+    n, fps = len(fps), fps.reshape(len(fps), -1)
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     sizes = np.diff(np.concatenate((starts, [n])))
     last = np.repeat(starts + sizes - 1, sizes)  # of each lane's group
     width = n + (-n) % 64 + 64
-    bits = np.zeros((BITS, width), bool)
-    for b in range(BITS):
-        bits[b, :n] = fps >> np.uint64(b) & np.uint64(1)
-    planes = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-    del bits
+    planes = []
+    for word in fps.T:
+        bits = np.zeros((BITS, width), bool)
+        for b in range(BITS):
+            bits[b, :n] = word >> np.uint64(b) & np.uint64(1)
+        planes.append(np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
+    planes = np.concatenate(planes) if planes else np.zeros((0, width // 64), np.uint64)
     lanes = np.arange(n)
     for d in range(1, int(sizes.max(initial=1))):
         lanes = lanes[lanes + d <= last[lanes]]
+        apart = lanes
+        if of is not None:
+            if d & (d - 1) == 0:  # now and then, groups that are one component are left
+                whole = np.repeat(np.minimum.reduceat(of.label, starts) == np.maximum.reduceat(of.label, starts), sizes)
+                lanes = lanes[~whole[lanes]]
+            apart = lanes[of.label[lanes] != of.label[lanes + d]]
+        if not len(lanes):
+            return
+        if not len(apart):
+            continue
         open_ = np.zeros(width, bool)
-        open_[lanes] = True
+        open_[apart] = True
         mask = np.packbits(open_, bitorder="little").view(np.uint64)
         at = np.flatnonzero(mask)
         mask = mask[at]
         counter = np.zeros((int(radius).bit_length() + 1, len(at)), np.uint64)  # a plane for each binary digit
         over = np.zeros(len(at), np.uint64)
         jump, shift = d >> 6, np.uint64(d & 63)
-        for b in range(0, BITS, 2):
+        for b in range(0, len(planes), 2):
             right = np.minimum(at + jump, planes.shape[1] - 1), np.minimum(at + jump + 1, planes.shape[1] - 1)
             x, y = (planes[k, at] ^ (planes[k, right[0]] >> shift | (planes[k, right[1]] << (np.uint64(64) - shift) if shift else np.uint64(0))) for k in (b, b + 1))
             # carry-save: three bits of weight one become one of weight one and one of weight two
@@ -213,26 +259,19 @@ class Components:
             self.label = parent[self.label]
 
 
-def _groups(radius: int) -> list[tuple[int, ...]]:
-    """Masks of the bits that a block shares: each pair out of radius + 2 groups of bits."""
-    cuts = np.array_split(np.arange(BITS), radius + 2)
-    return [tuple(int(x) for x in np.concatenate(pair)) for pair in combinations(cuts, 2)]
+def _groups(radius: int, n: int, tile: int) -> list[tuple[int, ...]]:
+    """Masks of the bits that a block shares: each choice of g - radius out of g groups of bits; g is least so that blocks of ``n`` unrelated fingerprints fit a tile."""
+    g = radius + 2
+    while g < radius + 5 and n >> (BITS * (g - radius) // g) > tile:
+        g += 1
+    cuts = np.array_split(np.arange(BITS), g)
+    return [tuple(int(x) for x in np.concatenate(some)) for some in combinations(cuts, g - radius)]
 
 
 def _signed(bits: tuple[int, ...]) -> int:
     return int(np.array([sum(1 << b for b in bits)], np.uint64).view(np.int64)[0])
 
 
-def _alike(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs of signatures agree in so many min-hashes that the sets' similarity is estimated at ``least`` or more."""
-    out = np.zeros(len(i), bool)
-    for at in range(0, len(i), 1 << 16):
-        x = sig[i[at : at + (1 << 16)]] ^ sig[j[at : at + (1 << 16)]]
-        same = ((x & 15) == 0).sum(axis=1) + ((x >> 4) == 0).sum(axis=1)
-        out[at : at + (1 << 16)] = (same / HASHES - 1 / 16) / (15 / 16) >= least
-    return out
-
-
 def _confirmed(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float, of: Components) -> Iterator[tuple[int, int]]:
     """The pairs whose sets have a Jaccard similarity of ``similarity`` or more; those that are joined meanwhile aren't compared."""
     sizes = np.array([len(x) for x in sets])
@@ -247,34 +286,23 @@ def _confirmed(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity:
         yield from of.joined(a[alike], b[alike])
 
 
-def _linked(keyed: DataFrame, radius: int, least: float | None, tile: int, similarity: float | None = None) -> DataFrame:
-    """Links (a, b) of nodes in ``keyed`` (key, s_node, s_fp, s_sig) that connect all that are linked in a block.
-
-    With ``similarity``, ``keyed`` has ``s_set`` besides, and links are confirmed by it.
-    """
-    sets_of = [] if similarity is None else ["s_set"]
-    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
-    dealt = keyed.join(large, "key", "left").withColumn("tiles", F.ceil(F.coalesce("n", F.lit(1)) / tile).cast("int"))
-    own = F.pmod(F.xxhash64("s_node"), F.col("tiles")).cast("int")
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("s_node", "s_fp", "s_sig", *sets_of, F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"))
+def _compared(blocks: DataFrame, radius: int, similarity: float | None, shingle: int) -> DataFrame:
+    """Links (a, b) of nodes that connect what is linked inside of each ``block``; with ``similarity`` by the texts in ``s_text``."""
+    binary = isinstance(blocks.schema["s_fp"].dataType, T.BinaryType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks come whole and in order; the last one of a batch may go on in the next."""
         held = None
 
         def linked(table: pa.Table, block: np.ndarray) -> Iterator[pa.RecordBatch]:
-            node, fp = table.column("s_node").to_numpy(), table.column("s_fp").to_numpy().view(np.uint64)
-            sig = None if least is None else np.frombuffer(b"".join(table.column("s_sig").to_pylist()), np.uint8).reshape(len(fp), -1)
-            sets = [np.frombuffer(x, np.uint64) for x in table.column("s_set").to_pylist()] if sets_of else []
-            of, pairs = Components(len(fp)), []
-            for i, j in near(fp, block, radius):
-                apart = of.label[i] != of.label[j]
-                i, j = i[apart], j[apart]
-                if sig is not None and len(i):
-                    alike = _alike(sig, i, j, least)
-                    i, j = i[alike], j[alike]
-                pairs.extend(of.joined(i, j) if similarity is None else _confirmed(sets, i, j, similarity, of))
+            node = table.column("s_node").to_numpy()
+            fp = np.frombuffer(b"".join(table.column("s_fp").to_pylist()), np.uint64).reshape(len(node), -1) if binary else table.column("s_fp").to_numpy().view(np.uint64)
+            sets = None
+            of, pairs = Components(len(node)), []
+            for i, j in near(fp, block, radius, of):
+                if similarity is not None and sets is None:
+                    sets = [shingle_set(t or b"", shingle) for t in table.column("s_text").cast(pa.large_binary()).to_pylist()]
+                pairs.extend(of.joined(i, j) if sets is None else _confirmed(sets, i, j, similarity, of))
             if pairs:
                 at = np.array(pairs, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], names=["a", "b"])
@@ -292,17 +320,43 @@ def _linked(keyed: DataFrame, radius: int, least: float | None, tile: int, simil
         if held is not None:
             yield from linked(held, held.column("block").to_numpy())
 
-    return in_arrow(dealt.repartition("block").sortWithinPartitions("block"), run, "a long, b long").distinct()
+    return in_arrow(blocks.repartition("block").sortWithinPartitions("block"), run, "a long, b long").distinct()
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between distinct ``s_fp`` that connect all fingerprints within ``radius`` of each other."""
+def _linked(keyed: DataFrame, radius: int, tile: int, similarity: float | None = None, shingle: int = SHINGLE) -> DataFrame:
+    """Links (a, b) of nodes in ``keyed`` (key, s_node, s_fp and, with ``similarity``, s_text) that connect all that are linked in a block."""
+    large = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile), "large-blocks")
+    dealt = keyed.join(large, "key", "left").withColumn("tiles", F.ceil(F.coalesce("n", F.lit(1)) / tile).cast("int"))
+    own = F.pmod(F.xxhash64("s_node"), F.col("tiles"))
+    inside = _compared(dealt.withColumn("block", F.xxhash64("key", own)).drop("key", "n", "tiles"), radius, similarity, shingle)
+    if large.isEmpty():
+        return inside
+    inside = written(inside, "tile-links")
+    roots = components(inside)
+    hot = keyed.select("key", "s_node").join(large, "key").join(roots, F.col("s_node") == F.col("node"), "left").select("key", "n", "s_node", F.coalesce("root", "s_node").alias("root"))
+    hot = written(hot, "large-block-members")
+    most = hot.groupBy("key", "root").agg(F.count(F.lit(1)).alias("of_root")).groupBy("key").agg(F.max_by("root", F.struct("of_root", "root")).alias("main"))
+    rest = written(hot.join(most, "key").where("root != main").select("key", "n", "s_node"), "rest-of-large-blocks")
+    if rest.isEmpty():
+        return inside
+    size = rest.groupBy("key").agg(F.count(F.lit(1)).alias("r"), F.first("n").alias("n"))
+    size = written(size.select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"), F.ceil(F.col("r") / tile).cast("int").alias("rests")), "large-block-sizes")
+    number = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    members = keyed.join(size, "key")
+    spot = lambda k: F.pmod(F.xxhash64("s_node", F.lit(1)), F.col(k)).cast("int")
+    all_ = members.withColumns({"x": spot("tiles"), "y": F.explode(number("rests"))})
+    few = members.join(rest.select("key", "s_node"), ["key", "s_node"], "left_semi").withColumns({"x": F.explode(number("tiles")), "y": spot("rests")})
+    pairs = all_.unionByName(few.select(all_.columns)).withColumn("block", F.xxhash64("key", "x", "y", F.lit(2))).drop("key", "tiles", "rests", "x", "y")
+    return inside.union(_compared(pairs, radius, similarity, shingle)).distinct()
+
+
+def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, n: int = 0) -> DataFrame:
+    """Links (a, b) between distinct ``s_fp``, about ``n``, that connect all fingerprints within ``radius`` of each other."""
     if not 0 <= radius <= 6:
         raise ValueError("radius must be 0 to 6")
-    masks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(_signed(m)).alias("m")) for k, m in enumerate(_groups(radius))])
+    masks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(_signed(m)).alias("m")) for k, m in enumerate(_groups(radius, n, tile))])
     keyed = fps.select("s_fp", F.explode(masks).alias("g"))
-    keyed = keyed.select(F.xxhash64("g.k", F.col("s_fp").bitwiseAND(F.col("g.m"))).alias("key"), F.col("s_fp").alias("s_node"), "s_fp", F.lit(None).cast("binary").alias("s_sig"))
-    return _linked(keyed, radius, None, tile)
+    return _linked(keyed.select(F.xxhash64("g.k", F.col("s_fp").bitwiseAND(F.col("g.m"))).alias("key"), F.col("s_fp").alias("s_node"), "s_fp"), radius, tile)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -337,33 +391,43 @@ def _components_of(d: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` without the text, with ``s_fp`` and ``s_component``: fingerprints within ``radius`` bits are linked."""
     d = written(fingerprints(docs, text_col, shingle).drop(text_col, "s_component").withColumn("s_node", F.col("s_fp")), "fingerprints")
-    return _components_of(d, links(d.select("s_fp").distinct(), radius), id_col)
+    fps = written(d.select("s_fp").distinct(), "distinct-fingerprints")
+    return _components_of(d, links(fps, radius, n=fps.count()), id_col)
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """``docs`` without the text, with ``s_component``: shingle sets of a similarity of ``similarity`` or more are linked."""
-    d = fingerprints(docs, text_col, shingle, signed=True).drop(text_col, "s_component")
-    d = written(d.withColumn("s_node", F.xxhash64("s_set")), "signatures")
-    nodes = d.groupBy("s_node").agg(F.first("s_fp").alias("s_fp"), F.first("s_sig").alias("s_sig"), F.first("s_bands").alias("s_bands"))
-    keyed = nodes.select(F.explode(F.array_distinct("s_bands")).alias("key"), "s_node", "s_fp", "s_sig")
-    roots = components(_linked(keyed, WIDE, similarity - SLACK, tile))
+def _exact_links(docs: DataFrame, d: DataFrame, text_col: str, shingle: int, similarity: float, tile: int) -> DataFrame:
+    """Links between the nodes of ``d``, signatures of ``docs`` with ``s_hash`` of each text."""
+    nodes = written(d.groupBy("s_node").agg(F.first("s_fp").alias("s_fp"), F.first("s_bands").alias("s_bands"), F.min("s_hash").alias("s_hash")), "nodes")
+    roots = components(_linked(nodes.select(F.explode(F.array_distinct("s_bands")).alias("key"), "s_node", "s_fp"), WIDE, TILE))
     members = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct().select(F.col("node").alias("s_node"), F.col("root").alias("key"))
-    sets = d.groupBy("s_node").agg(F.first("s_fp").alias("s_fp"), F.first("s_sig").alias("s_sig"), F.first("s_set").alias("s_set"))
-    # written, so that the sets are dealt out once and not for the sizes of components again
-    candidates = written(sets.join(members, "s_node"), "candidates")
-    return _components_of(d.drop("s_bands", "s_sig", "s_set"), _linked(candidates, WIDE, similarity - SLACK, tile, similarity), id_col)
+    members = nodes.select("s_node", "s_fp", "s_hash").join(members, "s_node")
+    # one text of each node; equal texts meet in each task before they are shuffled
+    texts = docs.select(F.xxhash64(text_col).alias("s_hash"), F.col(text_col).alias("s_text")).dropDuplicates(["s_hash"])
+    # written, so that texts are dealt out once and not for the sizes of components again
+    candidates = written(members.join(texts, "s_hash").drop("s_hash"), "candidates")
+    return _linked(candidates, WIDE, tile, similarity, shingle)
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TEXT_TILE) -> DataFrame:
+    """``docs`` without the text, with ``s_hash`` of it and ``s_component``: shingle sets of a similarity of ``similarity`` or more are linked."""
+    d = written(signatures(docs.drop("s_component").withColumn("s_hash", F.xxhash64(text_col)), text_col, shingle), "signatures")
+    return _components_of(d.drop("s_bands", "s_fp"), _exact_links(docs, d, text_col, shingle, similarity, tile), id_col)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stand for their group of ``similar`` texts: the one of the smallest id, and of rows that share it, that of the smallest text.
+    """One row of ``docs`` for each group of ``similar`` texts: that of the smallest id (none comes last), and of rows that share it, that of the smallest hash of its text.
 
-    Rows without an id can't be told apart: all of them stay if one stands for its group.
+    Of rows of equal ids and texts one stays; rows that share an id but not a text are judged apart.
     """
-    d = docs.withColumn("s_hash", F.xxhash64(text_col))
-    kept = similar(d.select(id_col, text_col, "s_hash"), id_col, text_col, shingle, similarity)
-    kept = kept.where(F.col(id_col).eqNullSafe(F.col("s_component"))).groupBy(F.col(id_col).alias("s_id")).agg(F.min("s_hash").alias("s_least"))
-    stay = docs.withColumn("s_hash", F.xxhash64(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col("s_id")) & ((F.col("s_hash") == F.col("s_least")) | F.col("s_id").isNull()), "left_semi")
-    return stay.select(*docs.columns)
+    keys = docs.select(id_col, text_col).withColumn("s_hash", F.xxhash64(text_col))
+    d = written(signatures(keys, text_col, shingle), "signatures")
+    roots = components(_exact_links(docs, d, text_col, shingle, similarity, TEXT_TILE))
+    first = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("s_id"), F.col("s_hash").alias("s_least")))
+    nodes = d.groupBy("s_node").agg(first.alias("s_first"))  # copies meet in each task first
+    nodes = nodes.join(roots, nodes["s_node"] == roots["node"], "left").select(F.coalesce("root", "s_node").alias("s_root"), "s_first")
+    chosen = written(nodes.groupBy("s_root").agg(F.min("s_first").alias("s_first")).select("s_first.s_id", "s_first.s_least"), "chosen")
+    one = docs.withColumn("s_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "s_hash"])
+    return one.join(chosen, F.col(id_col).eqNullSafe(F.col("s_id")) & F.col("s_hash").eqNullSafe(F.col("s_least")), "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

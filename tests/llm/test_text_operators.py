@@ -217,7 +217,65 @@ def test_representatives(spark):
     far = [f"v{rng.randint(0, 500)}" for _ in range(300)]
     rows = [(5, " ".join(base)), (2, " ".join(near)), (9, " ".join(base)), (7, " ".join(far)), (7, " ".join(far)), (None, "alone in the world of words")]
     got = near_duplicates.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted((r["doc_id"] or -1) for r in got.collect()) == [-1, 2, 7, 7]
+    assert sorted((r["doc_id"] or -1) for r in got.collect()) == [-1, 2, 7]  # one of equal rows
+
+
+def test_representatives_of_shared_ids(spark):
+    """Different texts of one id are judged apart; a group whose smallest row is one of them keeps it; rows without ids too."""
+    r = random.Random(4)
+    a, b, c = (" ".join(f"{x}{r.randrange(10**6)}" for _ in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (9, b), (5, a), (None, c), (None, c), (None, a + " x"), (3, None), (4, ""), (None, None)]
+    got = near_duplicates.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((x["doc_id"], x["text"]) for x in got) == Counter([(5, a), (5, b), (None, c), (3, None)])
+    assert near_duplicates.representatives(odd(spark).limit(0)).count() == 0
+
+
+def test_large_blocks_lose_no_link(spark):
+    """Near copies in chains and stars, with tiles far smaller than the blocks."""
+    rng = np.random.default_rng(12)
+    seed = rng.integers(0, 2**63, 3, dtype=np.uint64)
+    f = list(seed)
+    for k in range(400):  # each is a few bits from an earlier one, or from the first of all
+        x = f[rng.integers(0, len(f))] if k % 2 else seed[k % 3]
+        for _ in range(rng.integers(1, 5)):
+            x = x ^ np.uint64(1) << np.uint64(rng.integers(0, 64))
+        f.append(x)
+    f = np.unique(np.array(f, np.uint64))
+    of = near_duplicates.Components(len(f))
+    for i, j in near_duplicates.near(f, np.zeros(len(f), int), 4):
+        list(of.joined(i, j))
+    signed = [int(x) for x in f.view(np.int64)]
+    for tile in (6, 50):
+        d = spark.createDataFrame([(x,) for x in signed], "s_fp long")
+        roots = {r["node"]: r["root"] for r in near_duplicates.components(near_duplicates.links(d, 4, tile)).collect()}
+        got = [roots.get(x, x) for x in signed]
+        assert len(set(zip(got, of.label.tolist(), strict=True))) == len(set(got)) == len(set(of.label.tolist()))
+
+
+@pytest.mark.parametrize("n", [0, 10**10, 10**11, 10**13])
+def test_groups_of_bits_lose_no_pair(n):
+    rng = np.random.default_rng(1)
+    masks = near_duplicates._groups(4, n, 2048)
+    assert n >> len(masks[0]) <= 2048 or len(masks) == 126
+    for _ in range(300):
+        different = set(rng.choice(64, 4, replace=False).tolist())
+        assert any(not different & set(m) for m in masks)
+
+
+def test_recall_by_similarity():
+    """Bands and wide fingerprints find pairs at and above 0.8; texts below aren't linked, as sets decide."""
+    rng = np.random.default_rng(3)
+    for size in (60, 300):
+        for similarity in (0.8, 0.85, 0.9):
+            found = 0
+            for _ in range(300):
+                a = rng.integers(0, 2**63, size, dtype=np.uint64)
+                new = int(round(size * (1 - similarity) / (1 + similarity)))
+                b = np.concatenate([a[new:], rng.integers(0, 2**63, new, dtype=np.uint64)])
+                x, y = near_duplicates.minima(a).reshape(-1, near_duplicates.ROWS), near_duplicates.minima(b).reshape(-1, near_duplicates.ROWS)
+                far = np.bitwise_count(np.frombuffer(near_duplicates.wide_fingerprint(a), np.uint8) ^ np.frombuffer(near_duplicates.wide_fingerprint(b), np.uint8)).sum()
+                found += bool((x == y).all(axis=1).any() and far <= near_duplicates.WIDE)
+            assert found >= 297, (size, similarity, found)
 
 
 # packing
