@@ -2,7 +2,7 @@
 
 Each stage takes all that its predecessor kept and returns the columns of ``documents``, the last one the
 places of the packed pieces. Nulls, blank texts, ties, repeated rows and empty tables are treated as the
-operators' docstrings say; of rows with the same id the near-duplicate stage keeps the smallest text.
+operators' docstrings say; the near-duplicate stage keeps one of equal rows and judges different texts of the same id apart.
 """
 
 from __future__ import annotations
