@@ -3,14 +3,15 @@
 Candidates are spans of wide patterns for e-mail addresses, IP addresses, card and phone numbers, with
 their places in code points. Labelers vote yes, no or abstain on each: the strict form, a check (Luhn,
 octets, digits), a gazetteer (top-level domains, issuer and country prefixes, reserved networks), context words before
-it and its edges. Expectation-maximisation over the counts of vote patterns (at most ``4 * 3**5`` rows,
+it (up to 30 characters, back to where the pattern's last match began) and its edges. Expectation-maximisation over the counts of vote patterns (at most ``4 * 3**5`` rows,
 whatever the corpus) estimates how reliable each labeler is; its posteriors train a logistic span classifier
 over votes and length, which becomes one column expression. Base spans, those of the strict form that pass
 its check, always stay; the classifier adds others that pass their check and overlap no base span.
 
 Defined cases: a null or empty text has no spans; adjacent and repeated matches count each; of
 overlapping spans of several kinds all are reported and redaction replaces their union by the first kind;
-repeated rows are judged each; an empty table gives an empty result, and with no candidates there is
+repeated rows are judged each; very long texts are read whole, in time that grows with the text and with their spans to the power 1.5;
+an empty table gives an empty result, and with no candidates there is
 nothing to train, so nothing is added; further columns of ``docs`` stay, those named ``v_*`` are replaced. Patterns are possessive
 and start at run starts, so that long runs of letters or digits neither overflow the stack nor cost squares.
 """
@@ -54,14 +55,44 @@ CONTEXT = {
 }
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once, also where ``body`` names it in a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, op, kind: str = "int") -> Column:
+    """The array's running results under ``op`` from 0, by blocks of the square root of its size."""
+
+    def of(v: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(v), step), lambda a: F.slice(v, a, step))
+        inside = lambda b, before: F.transform(b, lambda _, j: F.aggregate(F.slice(b, F.lit(1), j + 1), before, op))
+        whole = lambda bs, sums: F.transform(bs, lambda b, i: _let(F.aggregate(F.slice(sums, F.lit(1), i), F.lit(0), op), lambda before: inside(b, before)))
+        some = _let(blocks, lambda bs: _let(F.transform(bs, lambda b: F.aggregate(b, F.lit(0), op)), lambda sums: F.flatten(whole(bs, sums))))
+        return F.when(F.size(v) > 0, some).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return _let(values, of)
+
+
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+_CANDIDATE = "array<struct<start:int,strict:boolean,kind:string,match:string,before:string,after:string>>"
+
+
 def _matches(text: Column, pattern: str, hint: str, kind: str, strict: bool) -> Column:
-    """array of (kind, strict, start, match) of all matches, in order."""
-    kind_of = "array<struct<kind:string,strict:boolean,start:int,match:string>>"
-    parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(parts, F.lit(1), F.size(found)).alias("p"), found.alias("m"))
-    ends = F.aggregate(pairs, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x["p"]) + F.length(x["m"]))))
-    rows = F.transform(F.arrays_zip(found.alias("m"), F.slice(ends, F.lit(2), F.size(found)).alias("e")), lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(strict).alias("strict"), (x["e"] - F.length(x["m"])).alias("start"), x["m"].alias("match")))
-    return F.when(text.rlike(hint), rows.cast(kind_of)).otherwise(F.array().cast(kind_of))
+    """array of ``_CANDIDATE`` of all matches, in order."""
+    blank = F.lit("")
+
+    def rows(p: Column, m: Column, ends: Column) -> Column:
+        before = lambda i: F.right(F.concat(F.coalesce(F.get(m, i - 1), blank), F.get(p, i)), F.lit(30))
+        after = lambda i: F.left(F.concat(F.get(p, i + 1), F.coalesce(F.get(m, i + 1), blank)), F.lit(1))
+        return F.transform(m, lambda x, i: F.struct((F.get(ends, i) - F.length(x)).alias("start"), F.lit(strict).alias("strict"), F.lit(kind).alias("kind"), x.alias("match"), before(i).alias("before"), after(i).alias("after")))
+
+    sizes = lambda p, m: F.transform(m, lambda x, i: F.length(F.get(p, i)) + F.length(x))
+    found = _let(F.split(text, pattern, -1), lambda p: _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: _let(_running(sizes(p, m), lambda x, y: x + y), lambda ends: rows(p, m, ends))))
+    return F.when(text.rlike(hint), found.cast(_CANDIDATE)).otherwise(F.array().cast(_CANDIDATE))
 
 
 def _luhn(digits: Column) -> Column:
@@ -75,13 +106,13 @@ def _luhn(digits: Column) -> Column:
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
-def _votes(c: Column, text: Column) -> dict[str, Column]:
+def _votes(c: Column) -> dict[str, Column]:
     """Labelers' votes on a candidate: 1, -1, or 0 to abstain."""
     m, kind = c["match"], c["kind"]
     digits = F.regexp_replace(m, "[^0-9]", "")
     n = F.length(digits)
-    before = F.substring(text, F.greatest(c["start"] - 29, F.lit(1)), F.least(c["start"], F.lit(30)))
-    edges = F.concat(F.substring(text, c["start"], F.when(c["start"] > 0, 1).otherwise(0)), F.substring(text, c["start"] + F.length(m) + 1, F.lit(1)))
+    before = c["before"]
+    edges = F.concat(F.right(before, F.lit(1)), c["after"])
 
     def by_kind(**of: Column) -> Column:
         out = F.lit(0)
@@ -114,16 +145,17 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs
     for k in KINDS:
-        d = d.withColumn(f"v_{k}", F.concat(_matches(text, FORMS[k], HINTS[k], k, True), _matches(text, WIDER[k], WIDER_HINTS[k], k, False) if k != "card" else F.array().cast("array<struct<kind:string,strict:boolean,start:int,match:string>>")))
+        of = _matches(text, FORMS[k], HINTS[k], k, True)
+        d = d.withColumn(f"v_{k}", F.sort_array(F.concat(of, _matches(text, WIDER[k], WIDER_HINTS[k], k, False))) if k != "card" else of)
     # numbers too short or too long to be cards are no candidates
     d = d.withColumn("v_card", F.filter("v_card", lambda c: F.length(F.regexp_replace(c["match"], "[^0-9]", "")).between(13, 19)))
 
     def voted(c: Column) -> Column:
-        v = _votes(c, text)
+        v = _votes(c)
         base = c["strict"] & ((v["check"] == 1) | (c["kind"] == "email"))
         return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), (c["start"] + F.length(c["match"])).alias("end"), base.alias("base"), *[v[k].cast("int").alias(k) for k in LABELERS])
 
-    d = d.withColumn("v_found", F.transform(F.concat(*[F.array_sort(f"v_{k}", lambda a, b: F.signum(a["start"] - b["start"]).cast("int")) for k in KINDS]), voted))
+    d = d.withColumn("v_found", F.transform(F.concat(*[f"v_{k}" for k in KINDS]), voted))
     return d.drop(*[f"v_{k}" for k in KINDS])
 
 
@@ -190,10 +222,27 @@ def classified(found: DataFrame) -> DataFrame:
             out = out + of
         return out
 
-    base = F.filter("v_found", lambda x: x["base"])
-    apart = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    kept = F.filter("v_found", lambda x: x["base"] | ((score(x) > 0) & (x["check"] == 1) & apart(x))) if weights else base
-    return found.withColumn("v_spans", F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"))))
+    def kept(all_: Column, base: Column, ends: Column, heads: Column, step: Column) -> Column:
+        """``base``: base spans by start; ``ends``: their running greatest end; ``heads``: every ``step``-th start."""
+
+        def apart(x: Column) -> Column:
+            block = F.size(F.filter(heads, lambda h: h < x["end"]))
+            before = (block - 1) * step + F.size(F.filter(F.slice(base, F.greatest((block - 1) * step, F.lit(0)) + 1, step), lambda b: b["start"] < x["end"]))
+            return F.when(block == 0, True).otherwise(F.get(ends, before - 1) <= x["start"])
+
+        return F.filter(all_, lambda x: x["base"] | ((score(x) > 0) & (x["check"] == 1) & apart(x)))
+
+    def chosen(all_: Column) -> Column:
+        spans = F.sort_array(F.transform(F.filter(all_, lambda x: x["base"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+        step = lambda base: F.greatest(F.ceil(F.sqrt(F.size(base))).cast("int"), F.lit(1))
+        heads = lambda base: F.filter(F.transform(base, lambda b, i: F.when(i % step(base) == 0, b["start"])), lambda h: h.isNotNull())
+        ends = lambda base: _running(F.transform(base, lambda b: b["end"]), _larger)
+        return _let(spans, lambda base: _let(ends(base), lambda e: _let(heads(base), lambda h: _let(step(base), lambda n: kept(all_, base, e, h, n)))))
+
+    spans = F.filter("v_found", lambda x: x["base"])
+    if weights:  # most texts have base spans only
+        spans = F.when(F.exists("v_found", lambda x: ~x["base"]), chosen(F.col("v_found"))).otherwise(F.col("v_found"))
+    return found.withColumn("v_spans", F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"))))
 
 
 def found(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -203,20 +252,32 @@ def found(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> D
     return classified(written(d if keep_text else d.drop(text_col), "candidates"))
 
 
+#: Characters of a piece of text; places are found in pieces and not from the text's start.
+PIECE = 1024
+
+
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets."""
-    order = F.array_sort("v_spans", lambda a, b: F.coalesce(F.nullif(F.signum(a["start"] - b["start"]), F.lit(0.0)), F.signum(b["end"] - a["end"])).cast("int"))
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(acc["out"]).alias("out"),
-        )
-
-    done = F.aggregate(order, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    text, one = F.col(text_col), F.lit(1)
+
+    def part(pieces: Column, a: Column, b: Column) -> Column:
+        """The characters from place a to b."""
+        first, last = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        long = F.concat(F.substring(F.get(pieces, first), a % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(F.coalesce(F.get(pieces, last), F.lit("")), one, b % PIECE))
+        return F.when(first == last, F.substring(F.coalesce(F.get(pieces, first), F.lit("")), a % PIECE + 1, b - a)).otherwise(long)
+
+    def joined(pieces: Column, spans: Column, ends: Column, heads: Column) -> Column:
+        """``ends``: the spans' running greatest end; ``heads``: places of the spans that overlap none before them."""
+        until = lambda k: F.coalesce(F.get(ends, F.get(heads, k) - 1), F.lit(0))
+        at = lambda k: F.get(spans, F.get(heads, k))
+        shown = F.transform(heads, lambda _, k: F.concat(part(pieces, until(k), at(k)["start"]), F.lit("["), F.upper(at(k)["kind"]), F.lit("]")))
+        return F.concat(F.array_join(shown, ""), part(pieces, F.element_at(ends, -1), F.length(text)))
+
+    spans = F.sort_array(F.transform("v_spans", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
+    ends = lambda s: _running(F.transform(s, lambda x: -x["back"]), _larger)
+    heads = lambda s, e: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["start"] >= F.get(e, i - 1)), i)), lambda i: i.isNotNull())
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    done = _let(pieces, lambda p: _let(spans, lambda s: _let(ends(s), lambda e: _let(heads(s, e), lambda h: joined(p, s, e, h)))))
     d = found(docs, text_col, keep_text=True)
     return d.withColumn(text_col, F.when(F.size("v_spans") > 0, done).otherwise(text)).select(*docs.columns)
 
