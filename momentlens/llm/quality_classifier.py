@@ -1,15 +1,18 @@
 """Quality: positive-unlabelled learning with the non-negative unbiased risk.
 
 Trusted positives are labelled documents of quality 1; the unlabelled side is a sample of the documents
-themselves, whatever their label. With the class prior pi, estimated as the share of quality 1 among the
-usable labels, a small network g minimises
+themselves, whatever their label; negative labels are never used. With the class prior pi, a small network g minimises
 pi * E_p[l(g, +)] + max(0, E_u[l(g, -)] - pi * E_p[l(g, -)]), l the logistic loss; where the second part
 falls below zero, only its gradient is followed, upwards. sigmoid(g) is the score.
 
-Fitting uses at most ``MOST_ROWS`` positives and as many unlabelled documents (whole texts), of which only
-the measures below leave the tasks; scoring reads all rows.
+The prior is estimated from positives and unlabelled rows alone: one half of both fits a network that tells them apart, and on the other half
+pi is the least ratio, over thresholds, of the shares of unlabelled rows and of positives above a threshold, each with its
+sampling error (the best bin: above it, unlabelled rows are positives).
 
-Defined cases: a null or blank text has all measures 0 and is scored by them; repeated rows are scored
+Fitting uses at most ``MOST_ROWS`` positives and about as many unlabelled documents (whole texts), of which only
+the measures below leave the tasks; scoring reads all rows. Unlabelled rows are drawn row by row, without a shuffle; of a positive id one row is read.
+
+Defined cases: a null or blank text has all measures 0 and is scored by them; very long texts are measured whole; repeated rows are scored
 each; null labels and ids are not learnt from; with no usable positive every score is 0; an empty table gives an
 empty result; further columns of ``docs`` stay, one named ``c_score`` is replaced.
 """
@@ -78,7 +81,31 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(g, -500, 500)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Network:
+def apart(positive: np.ndarray, unlabelled: np.ndarray) -> Network:
+    """A network that tells positives from unlabelled rows, by the logistic loss."""
+    return fit(positive, unlabelled, 0.0, 1.0)
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
+    """The share of positives among unlabelled rows, by the best bin."""
+    if min(len(positive), len(unlabelled)) < 20:
+        return 0.5
+    net = apart(positive[::2], unlabelled[::2])
+    p, u = (np.sort(net.forward(x[1::2])[0]) for x in (positive, unlabelled))
+    above = lambda x: 1 - np.searchsorted(x, p, side="left") / len(x)
+    error = np.sqrt(np.log(4 / confidence) / 2 / len(u)) + np.sqrt(np.log(4 / confidence) / 2 / len(p))
+    best = int(np.argmin((above(u) + error) / above(p)))
+    return float(np.clip(above(u)[best] / above(p)[best], 0.05, 0.95))
+
+
+def risk(gp: np.ndarray, gu: np.ndarray, prior: float, weight: float) -> tuple[float, float]:
+    """Of outputs on positives and unlabelled rows: the part of the positives, which counts ``weight``, and that of the negatives, which the positives among the unlabelled are taken from."""
+    return weight * float(np.logaddexp(0, -gp).mean()), float(np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean())
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, weight: float | None = None) -> Network:
+    """``weight``: of the positives' loss, the prior unless given."""
+    weight = prior if weight is None else weight
     rng = np.random.default_rng(SEED)
     net = Network(unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-6, rng)
     first, second = [np.zeros_like(w) for w in net.w], [np.zeros_like(w) for w in net.w]
@@ -87,10 +114,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Network:
         p, u = (x[rng.integers(0, len(x), min(len(x), 1024))] for x in (positive, unlabelled))
         gp, hp, zp = net.forward(p)
         gu, hu, zu = net.forward(u)
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+        _, negative = risk(gp, gu, prior, weight)
         # derivatives of l(g, -) = log(1 + e^g) and l(g, +) = log(1 + e^-g)
         of_negative = [a - b for a, b in zip(net.gradient(sigmoid(gu) / len(gu), hu, zu), net.gradient(prior * sigmoid(gp) / len(gp), hp, zp), strict=True)]
-        of_positive = net.gradient(-prior * sigmoid(-gp) / len(gp), hp, zp)
+        of_positive = net.gradient(-weight * sigmoid(-gp) / len(gp), hp, zp)
         gradient = [a + b for a, b in zip(of_positive, of_negative, strict=True)] if negative >= 0 else [-x for x in of_negative]
         for k, g in enumerate(gradient):
             g = g + 1e-4 * net.w[k]
@@ -113,15 +140,13 @@ def scored(docs: DataFrame, labels: DataFrame, usable: F.Column, id_col: str = "
     """``docs`` with ``c_score``. ``usable``: which label rows may be learnt from."""
     docs = docs.drop("c_score")
     chosen = sample(labels, label_col, usable, most, id_col).where("label = 1")
-    good, all_ = labels.where(usable).agg(F.count_if(F.col(label_col) == 1), F.count_if(F.col(label_col).isin(0, 1))).first()
-    if not good:
-        return docs.withColumn("c_score", F.lit(0.0))
-    some = docs.select(id_col).where(usable & F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(F.lit("unlabelled"), id_col), id_col).limit(most)
-    positive = _measured(docs.join(F.broadcast(chosen), id_col, "left_semi"), text_col)
-    unlabelled = _measured(docs.join(F.broadcast(some), id_col, "left_semi"), text_col)
+    others = docs.where(usable & F.col(id_col).isNotNull())
+    some = others.where(F.rand(SEED) < most / max(1, others.count()))
+    positive = _measured(docs.join(F.broadcast(chosen), id_col, "left_semi").dropDuplicates([id_col]), text_col)
+    unlabelled = _measured(some, text_col)
     if not len(positive) or not len(unlabelled):
         return docs.withColumn("c_score", F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(positive, unlabelled, float(np.clip(good / all_, 0.05, 0.95))))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(positive, unlabelled, class_prior(positive, unlabelled)))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
