@@ -4,12 +4,13 @@ A shard is a bounded slice of documents, turned into word numbers. Words that no
 unique separators, so runs of them shrink to one. The suffix array comes from prefix doubling, its
 Burrows-Wheeler transform is kept as a wavelet matrix, windows are found by backward search through its
 ranks, and occurrences are located by walking back to sampled suffix positions. Overlapping occurrences
-merge into removal spans. Nothing is shuffled; the benchmark is sent to the tasks in blocks of at most
-``BLOCK_BYTES``, one pass each.
+merge into removal spans. Nothing is shuffled. The benchmark's texts go to the tasks in blocks of ``BLOCK_BYTES`` and at most one item more,
+one pass over the documents each, and one is held at a time; each worker process makes windows of a block once.
 
 Defined cases: null and blank texts have no words and no hits; an item without words has no window; an
 item of fewer words than a window is one window; items that share a window all count; repeated documents
-are judged row by row; repeated items count once by their id; empty tables give no rows or no hits.
+are judged row by row; repeated items count once by their id; items without an id are searched and count as one item, which no list of ids shows;
+very long texts are indexed whole, in pieces that overlap; empty tables give no rows or no hits.
 Input columns named like the operator's own (``d_*``) are replaced.
 """
 
@@ -17,14 +18,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from momentlens.llm.common import documents, in_arrow, text_chunks
+from momentlens.llm.common import documents, in_arrow, text_chunks, written
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -40,12 +43,17 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+def _in_order(items: set[str | None]) -> list[str | None]:
+    """Items by id; without one last."""
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
 class Windows:
     """The distinct windows of some items, as word numbers from 1."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.words: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        found: dict[tuple[int, ...], set[str | None]] = {}
         for item, text in items:
             ids = [self.words.setdefault(w, len(self.words) + 1) for w in words_of(text)]
             for i in range(max(1, len(ids) - window + 1)) if ids else ():
@@ -54,7 +62,7 @@ class Windows:
         self.symbols = np.zeros((len(found), window), np.int64)
         for row, k in zip(self.symbols, found, strict=True):
             row[: len(k)] = k
-        self.items = [sorted(v) for v in found.values()]
+        self.items = [_in_order(v) for v in found.values()]
 
 
 def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
@@ -207,28 +215,35 @@ _ADDED = T.StructType(
 )
 
 
-def _searcher(windows: Windows, names: list[str], text_col: str, found_before: bool):
+@lru_cache(maxsize=1)
+def _windows(items: tuple[tuple[str | None, str], ...], window: int) -> Windows:
+    """One for each worker process and block."""
+    return Windows([(item, text.encode()) for item, text in items], window)
+
+
+def _searcher(shared: Broadcast, window: int, names: list[str], text_col: str, found_before: bool):
     lists = pa.list_(pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _windows(shared.value, window)
         get = windows.words.get
         for batch, texts in text_chunks(batches, text_col):
             numbers = [np.array([get(w, 0) for w in words_of(t)], np.int64) for t in texts]
-            doc, place, window = occurrences(numbers, windows)
+            doc, place, found = occurrences(numbers, windows)
             words = batch.column("d_words").to_pylist() if found_before else [[] for _ in texts]
             items = [set(x) for x in batch.column("d_items").to_pylist()] if found_before else [set() for _ in texts]
             spans = batch.column("d_spans").to_pylist() if found_before else [[] for _ in texts]
             order = np.lexsort((place, doc))
-            doc, place, window = doc[order], place[order], window[order]
+            doc, place, found = doc[order], place[order], found[order]
             for d in np.unique(doc):
                 a, b = np.searchsorted(doc, [d, d + 1])
-                words[d] = merged([*map(tuple, words[d]), *zip(place[a:b].tolist(), (place[a:b] + windows.length[window[a:b]]).tolist(), strict=True)])
-                for w in np.unique(window[a:b]):
+                words[d] = merged([*map(tuple, words[d]), *zip(place[a:b].tolist(), (place[a:b] + windows.length[found[a:b]]).tolist(), strict=True)])
+                for w in np.unique(found[a:b]):
                     items[d].update(windows.items[w])
                 at = [m.span() for m in _WORD.finditer(texts[d].decode(errors="surrogateescape"))]
                 spans[d] = [(at[x][0], at[y - 1][1]) for x, y in words[d]]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in names), pa.array([len(x) for x in numbers], pa.int64()), pa.array(words, lists), pa.array(spans, lists), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                [*(batch.column(k) for k in names), pa.array([len(x) for x in numbers], pa.int64()), pa.array(words, lists), pa.array(spans, lists), pa.array([_in_order(x) for x in items], pa.list_(pa.string()))],
                 names=[*names, *_ADDED.names],
             )
 
@@ -239,14 +254,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     """``docs`` with ``d_n_words``, ``d_words`` and ``d_spans`` (merged hits in words and in code points) and ``d_items``."""
     docs = docs.drop(*_ADDED.names)
     names = docs.columns
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull())
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // BLOCK_BYTES) + 1
     block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     d = docs
     for k in range(blocks):
-        found = Windows([(r["item"], r["text"].encode()) for r in items.where(block == k).toLocalIterator()], window)
-        d = in_arrow(d, _searcher(found, names, text_col, k > 0), T.StructType([*docs.schema.fields, *_ADDED.fields]))
+        shared = docs.sparkSession.sparkContext.broadcast(tuple((r["item"], r["text"]) for r in items.where(block == k).toLocalIterator()))
+        d = in_arrow(d, _searcher(shared, window, names, text_col, k > 0), T.StructType([*docs.schema.fields, *_ADDED.fields]))
+        if k + 1 < blocks:  # a pass of its own, so that no task holds two blocks
+            d = written(d, "scanned")
     return d
 
 
