@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -37,17 +38,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """mapInArrow with this package at hand and batches of a bounded size."""
+    """mapInArrow with this package at hand and batches of a bounded size, which holds for the session from then on, as plans read it when they run."""
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; an own one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; an own one only where it is unset and driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="momentlens-"))
     return _fallback[0]
