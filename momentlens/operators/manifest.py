@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from momentlens.functions.scalars import segment_label
+from momentlens.functions.scalars import segment_label, side
 
 SEGMENT = T.StructType([T.StructField(n, t) for n, t in (("label", T.StringType()), ("source", T.StringType()), ("start", T.DoubleType()), ("end", T.DoubleType()), ("duration", T.DoubleType()), ("score", T.DoubleType()), ("focal_x", T.DoubleType()))])
 SINGLE = T.StructType([T.StructField("source", T.StringType()), T.StructField("segments", T.ArrayType(SEGMENT))])
@@ -39,6 +39,12 @@ def with_voiceover(segments: DataFrame, files: DataFrame) -> DataFrame:
     return segments.join(files.groupBy("label").agg(F.max_by("file", "pos").alias("file")), "label", "left")
 
 
+def enriched(segments: DataFrame, focal: DataFrame, default: float = 0.5) -> DataFrame:
+    """Segments with the ``focal_x`` of their label, or the default, and its ``side``; an older one is replaced. ``focal``: (label, focal_x), a row for each label."""
+    d = segments.drop("focal_x", "side").join(focal.select("label", "focal_x"), "label", "left").withColumn("focal_x", F.coalesce("focal_x", F.lit(default)))
+    return d.withColumn("side", side(F.col("focal_x")))
+
+
 def accepted(segments: DataFrame, files: DataFrame, order: list[str], least: int = 1000) -> DataFrame:
     """Ranked segments whose clip exists and is larger than ``least`` bytes, back in order of time. ``files``: (rank, length)."""
     return segments.join(files.where(F.col("length") > least).select("rank"), "rank", "left_semi").orderBy(*order)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from momentlens.functions.scalars import rating_tier
 
 
 def first_of_each(df: DataFrame, n: int, key: str = "asset", order: list[Column] | None = None) -> DataFrame:
@@ -32,7 +35,49 @@ def index_stats(chunks: DataFrame, source: str = "source_name") -> DataFrame:
     return chunks.groupBy(source).agg(F.count(F.lit(1)).alias("chunks"))
 
 
-def markdown(report: DataFrame, order: list[Column]) -> DataFrame:
-    """A line for each asset, in one order: name, duration, best score, rating, number of highlights. The report has a row for each asset."""
-    line = F.format_string("| %s | %.1f | %.3f | %s | %d |", F.right(F.col("name"), F.lit(25)), "duration", "hybrid_max", "rating", "n_highlights")
-    return report.orderBy(*order).select(line.alias("value"))
+def nested(stats: DataFrame, highlights: DataFrame, triggers: DataFrame, most: int = 10) -> DataFrame:
+    """A report for each asset, as ``REPORT``.
+
+    ``stats``: asset, file, duration, frames_analyzed, mean, max, min; ``highlights``: asset and the fields of a highlight;
+    ``triggers``: asset, name, peak, of which the highest ``most`` are shown, the highest first.
+    """
+    fields = [f.name for f in REPORT["highlights"].dataType.elementType]
+    h = highlights.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("peak_time", *[c for c in fields if c != "peak_time"]))).alias("h"))
+    h = h.select("asset", F.transform("h", lambda x: F.struct(*[x[c].alias(c) for c in fields])).alias("highlights"))
+    t = first_of_each(triggers, most, order=[F.desc("peak"), F.col("name")]).groupBy("asset").agg(F.array_sort(F.collect_list(F.struct((-F.col("peak")).alias("y"), F.col("name").alias("name")))).alias("t"))
+    t = t.select("asset", F.transform("t", lambda x: F.struct(x["name"].alias("name"), (-x["y"]).alias("peak"))).alias("audio_triggers"))
+    d = stats.join(h, "asset", "left").join(t, "asset", "left")
+    score = F.struct(*[F.round(c, 3).alias(f"hybrid_{c}") for c in ("mean", "max", "min")])
+    columns = {"name": F.col("asset"), "duration": F.round("duration", 1), "score_stats": score, "audio_triggers": F.coalesce("audio_triggers", F.array()), "highlights": F.coalesce("highlights", F.array()), "rating": rating_tier(F.col("max"))}
+    return d.withColumns(columns).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in REPORT])
+
+
+_HIGHLIGHT = T.StructType([*[T.StructField(n, T.DoubleType()) for n in ("start", "end", "duration", "peak_time", "hybrid_score", "clip_score", "panns_score", "flow_score")], T.StructField("primary_signal", T.StringType()), T.StructField("reasons", T.ArrayType(T.StringType()))])
+#: A report of one asset; its JSON form has these names.
+REPORT = T.StructType(
+    [
+        T.StructField("file", T.StringType()), T.StructField("name", T.StringType()), T.StructField("duration", T.DoubleType()), T.StructField("frames_analyzed", T.LongType()),
+        T.StructField("score_stats", T.StructType([T.StructField(f"hybrid_{n}", T.DoubleType()) for n in ("mean", "max", "min")])),
+        T.StructField("audio_triggers", T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("peak", T.DoubleType())]))),
+        T.StructField("highlights", T.ArrayType(_HIGHLIGHT)), T.StructField("rating", T.StringType()),
+    ]
+)
+
+
+def markdown(reports: DataFrame) -> DataFrame:
+    """(part, place, value) of the report as text: totals (part 0), a table by best score (1) and each asset's section by name (2). There is a row for each asset; parts and places give the order."""
+    names = lambda n: F.array_join(F.transform(F.slice("audio_triggers", 1, n) if n else F.col("audio_triggers"), lambda x: x["name"]), ", ")
+    n = F.size("highlights")
+    top = F.col("score_stats.hybrid_max")
+    totals = reports.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(n), F.lit(0)).alias("h")).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("place"), F.format_string("Assets: %d. Highlights: %d.", "n", "h").alias("value"))
+    ranked = reports.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(top), "name")).cast("long"))
+    line = F.format_string("| %d | %s | %.0fs | %s | %.3f | %d | %s |", "place", F.right("name", F.lit(15)), "duration", "rating", top, n, F.when(F.size("audio_triggers") > 0, names(3)).otherwise("none"))
+    shown = F.transform(
+        "highlights",
+        lambda x, k: F.format_string("%d. %.1fs - %.1fs (%.3f), %s; audio %.3f, visual %.3f, motion %.3f; %s", k + 1, x["start"], x["end"], x["hybrid_score"], x["primary_signal"], x["panns_score"], x["clip_score"], x["flow_score"], F.array_join(x["reasons"], "; ")),
+    )
+    head = F.format_string("### %s\n%.1fs, rated %s, scores %.3f to %.3f", "name", "duration", "rating", F.col("score_stats.hybrid_min"), top)
+    heard = F.when(F.size("audio_triggers") > 0, F.concat(F.lit("\nHeard: "), names(0))).otherwise("")
+    section = F.concat(head, heard, F.when(n > 0, F.concat(F.lit("\n"), F.array_join(shown, "\n"))).otherwise("\nNo highlights."))
+    sections = reports.select(F.lit(2).alias("part"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("name")).cast("long").alias("place"), section.alias("value"))
+    return totals.unionByName(ranked.select(F.lit(1).alias("part"), "place", line.alias("value"))).unionByName(sections)

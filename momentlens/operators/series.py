@@ -1,7 +1,8 @@
 """Series: smoothing, peaks and runs within each asset.
 
 Smoothing deals an asset's places out in blocks with a halo, so that an asset of any length spreads over
-tasks. Peaks and runs order an asset's rows in one window, after their rows are cut down to runs.
+tasks. Maxima and runs are found in blocks, too; of each block only the runs that touch its ends, two at most, meet
+those of the asset's other blocks.
 """
 
 from __future__ import annotations
@@ -42,14 +43,23 @@ def running_median(df: DataFrame, size: int, key: str = "asset", idx: str = "idx
     return _core(_haloed(df, size, key, idx, value, block), value, middle, key, idx, block)
 
 
-def local_maxima(df: DataFrame, key: str = "asset", idx: str = "idx", value: str = "value") -> DataFrame:
+def local_maxima(df: DataFrame, key: str = "asset", idx: str = "idx", value: str = "value", block: int = BLOCK) -> DataFrame:
     """Runs of equal values that are higher than both neighbours, at their middle (rounded down); ends of a series are none."""
-    w = Window.partitionBy(key).orderBy(idx)
+    w = Window.partitionBy(key, "_b").orderBy(idx)
     changed = F.coalesce((F.col(value) != F.lag(value).over(w)).cast("int"), F.lit(1))
-    runs = df.withColumn("_run", F.sum(changed).over(w)).groupBy(key, "_run").agg(F.min(idx).alias("_l"), F.max(idx).alias("_r"), F.first(value).alias(value))
-    r = Window.partitionBy(key).orderBy("_run")
-    high = (F.lag(value).over(r) < F.col(value)) & (F.lead(value).over(r) < F.col(value))
-    return runs.withColumn("_high", high).where("_high").select(key, F.floor((F.col("_l") + F.col("_r")) / 2).cast("long").alias(idx), value)
+    d = df.select(key, idx, value, F.floor(F.col(idx) / block).alias("_b"))
+    runs = d.withColumn("_run", F.sum(changed).over(w)).groupBy(key, "_b", "_run").agg(F.min(idx).alias("_l"), F.max(idx).alias("_r"), F.first(value).alias(value))
+    r = Window.partitionBy(key, "_b").orderBy("_run")
+    runs = runs.withColumns({"_before": F.lag(value).over(r), "_after": F.lead(value).over(r)})
+    middle = F.floor((F.col("_l") + F.col("_r")) / 2).cast("long").alias(idx)
+    high = (F.col("_before") < F.col(value)) & (F.col("_after") < F.col(value))
+    # runs at the ends of blocks: the last of one and the first of the next may be one run, and are neighbours else
+    ends, a = runs.where("_before IS NULL OR _after IS NULL"), Window.partitionBy(key).orderBy("_l")
+    meets = F.lag("_after").over(a).isNull() & F.col("_before").isNull()
+    ends = ends.withColumns({"_left": F.coalesce("_before", F.when(meets, F.lag(value).over(a))), "_same": F.coalesce(meets & (F.lag(value).over(a) == F.col(value)), F.lit(False))})
+    ends = ends.withColumn("_right", F.coalesce("_after", F.lead(value).over(a))).withColumn("_run", F.sum((~F.col("_same")).cast("int")).over(a))
+    whole = ends.groupBy(key, "_run").agg(F.min("_l").alias("_l"), F.max("_r").alias("_r"), F.first(value).alias(value), F.min_by("_left", "_l").alias("_before"), F.max_by("_right", "_l").alias("_after"))
+    return runs.where(high).select(key, middle, value).unionByName(whole.where(high).select(key, middle, value))
 
 
 def above_percentile(df: DataFrame, of: DataFrame, p: float, key: str = "asset", value: str = "value", where: Column | None = None) -> DataFrame:
@@ -103,9 +113,19 @@ def prominent(peaks: DataFrame, series: DataFrame, least: Column, key: str = "as
     return low.withColumn("prominence", y - F.greatest("_ll", "_lr")).where(F.col("prominence") >= least).drop("_ll", "_lr")
 
 
-def low_runs(df: DataFrame, below: float, shortest: float, key: str = "asset", t: str = "t", value: str = "value") -> DataFrame:
-    """Intervals in which the value stays below a threshold: to the first time that it doesn't, or to the last time; short ones go."""
-    w = Window.partitionBy(key).orderBy(t)
-    d = df.withColumn("_low", F.col(value) < below).withColumn("_next", F.coalesce(F.lead(t).over(w), F.col(t)))
-    d = d.withColumn("_run", F.row_number().over(w) - F.row_number().over(Window.partitionBy(key, "_low").orderBy(t)))
-    return d.where("_low").groupBy(key, "_run").agg(F.min(t).alias("start"), F.max("_next").alias("end")).where(F.col("end") - F.col("start") >= shortest).drop("_run")
+def low_runs(df: DataFrame, below: float, shortest: float, key: str = "asset", t: str = "t", value: str = "value", span: float = BLOCK) -> DataFrame:
+    """Intervals in which the value stays below a threshold: to the first time that it doesn't, or to the last time; short ones go. Times are dealt into blocks of ``span``."""
+    w, block = Window.partitionBy(key, "_b").orderBy(t), Window.partitionBy(key, "_b")
+    d = df.select(key, t, (F.col(value) < below).alias("_low"), F.floor(F.col(t) / span).alias("_b"))
+    d = d.withColumns({"_next": F.lead(t).over(w), "_first": F.min(t).over(block), "_run": F.row_number().over(w) - F.row_number().over(Window.partitionBy(key, "_b", "_low").orderBy(t))})
+    runs = d.where("_low").groupBy(key, "_b", "_run").agg(F.min(t).alias("start"), F.max(t).alias("_last"), F.max_by("_next", t).alias("_next"), F.first("_first").alias("_first"))
+    # the time after a block is the first one of the asset's next block
+    a = Window.partitionBy(key).orderBy("_b")
+    blocks = df.select(key, t).groupBy(key, F.floor(F.col(t) / span).alias("_b")).agg(F.min(t).alias("_t")).select(key, "_b", F.lead("_t").over(a).alias("_then"))
+    open_ = F.col("_next").isNull()
+    touching = runs.where(open_ | (F.col("start") == F.col("_first"))).join(blocks, [key, "_b"]).withColumn("end", F.coalesce("_next", "_then", "_last"))
+    b = Window.partitionBy(key).orderBy("start")
+    goes_on = F.coalesce(F.lag("_next").over(b).isNull() & (F.lag("end").over(b) == F.col("start")), F.lit(False))
+    touching = touching.withColumn("_g", F.sum((~goes_on).cast("int")).over(b)).groupBy(key, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g")
+    inside = runs.where(~open_ & (F.col("start") != F.col("_first"))).select(key, "start", F.col("_next").alias("end"))
+    return inside.unionByName(touching).where(F.col("end") - F.col("start") >= shortest)

@@ -59,10 +59,21 @@ def window_bounds(duration: Column, step: Column, seconds: float = 2.0, hop: flo
     return start, F.least(duration, start + seconds)
 
 
-def hopping_max(windows: DataFrame, size: int, hop: int, key: str = "asset", start: str = "start", value: str = "score") -> DataFrame:
-    """Each sample's highest score among the windows that cover it. ``windows``: one row for each start, a multiple of ``hop``."""
-    d = windows.withColumn("idx", F.explode(F.sequence(F.col(start), F.col(start) + size - 1)))
-    return d.groupBy(key, "idx").agg(F.max(value).alias(value))
+def action_windows(lengths: DataFrame, size: int = 16, hop: int = 8, least: int = 4, key: str = "asset") -> DataFrame:
+    """(key, start, end, places) of the windows that start at each hop of a series of ``n`` samples.
+
+    A window ends with the series at most; one of fewer than ``least`` samples goes; ``places`` are ``size``, the last one repeated.
+    """
+    d = lengths.where("n > 0").select(key, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1, F.lit(hop).cast("long"))).alias("start"))
+    d = d.withColumn("end", F.least(F.col("start") + size, F.col("n"))).where(F.col("end") - F.col("start") >= least)
+    return d.select(key, "start", "end", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.least(F.col("start") + k, F.col("end") - 1)).alias("places"))
+
+
+def hopping_max(windows: DataFrame, lengths: DataFrame, key: str = "asset", value: str = "score") -> DataFrame:
+    """Each of a series' ``n`` samples with its highest score among the windows (key, start, end, score) that cover it, and at least 0."""
+    every = lengths.where("n > 0").select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("idx"), F.lit(0.0).alias(value))
+    covered = windows.where(F.col("end") > F.col("start")).select(key, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("idx"), value)
+    return every.unionByName(covered).groupBy(key, "idx").agg(F.max(value).alias(value))
 
 
 def batches(df: DataFrame, size: int, key: str = "asset", idx: str = "idx", value: str = "value", least: int = 2) -> DataFrame:

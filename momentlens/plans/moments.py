@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from momentlens.functions.scalars import reasons, strongest
 from momentlens.operators import intervals, manifest, series, signals
 from momentlens.operators.vectors import nearest
 
@@ -101,6 +102,20 @@ def searched(index: DataFrame, durations: DataFrame, query: list[float], n: int,
     return manifest.labelled(best, [F.desc("score"), F.col("source"), F.col("start")])
 
 
+def reported(wide: DataFrame, profile: Profile, n: int, triggers: DataFrame, width: float = 15.0) -> DataFrame:
+    """Each asset's report: its first ``n`` peaks with their windows, signals and reasons, and the labels heard (asset, name, peak)."""
+    from momentlens.operators import report
+
+    stats = smoothed(wide, profile).groupBy("asset").agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"), (F.max("idx") + 1).alias("frames_analyzed"))
+    stats = stats.withColumns({"duration": F.col("frames_analyzed") / profile.fps, "file": F.col("asset")})
+    named = [("audio", F.col("panns")), ("visual", F.col("clip")), ("motion", F.col("flow"))]
+    d = rated(wide, profile, n).join(stats.select("asset", F.col("duration").alias("_d")), "asset").withColumn("peak_time", F.col("idx") / profile.fps)
+    start, end = intervals.around_within(F.col("peak_time"), width / 2, width / 2, F.col("_d"))
+    why = reasons(named, F.concat(F.lit("combined signals ("), strongest(named), F.lit(" dominant)")))
+    highlights = d.select("asset", F.round(start, 2).alias("start"), F.round(end, 2).alias("end"), F.round(end - start, 2).alias("duration"), F.round("peak_time", 2).alias("peak_time"), F.round("value", 3).alias("hybrid_score"), *[F.round(c, 3).alias(f"{c}_score") for c in ("clip", "panns", "flow")], strongest(named).alias("primary_signal"), why.alias("reasons"))
+    return report.nested(stats, highlights, triggers)
+
+
 def rated(wide: DataFrame, profile: Profile, n: int, length: Column | None = None) -> DataFrame:
     """Each asset's first ``n`` peaks with the signals at them."""
     from momentlens.operators.report import first_of_each

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from momentlens.functions import scalars as fn
-from momentlens.operators import intervals, manifest, report, signals
+from momentlens.operators import intervals, manifest, report, signals, vectors
 from momentlens.operators.vectors import still
 from momentlens.plans import moments as plans
 from momentlens.queries import sql
@@ -71,14 +71,27 @@ def p09_overlay(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _reports(spark: SparkSession, sf: str) -> DataFrame:
+    d = src.table(spark, sf, "events").select(F.col("event_type").alias("asset"), F.concat(F.lit("class"), F.get_json_object("props", "$.k")).alias("name"), (F.col("value") / 500).alias("prob"))
+    return plans.reported(src.hourly(spark, sf), plans.THREE, 5, d.where("name IS NOT NULL").groupBy("asset", "name").agg(F.max("prob").alias("peak")))
+
+
 def k06_report(spark: SparkSession, sf: str) -> DataFrame:
-    """The report's table, a line for each asset."""
-    smooth = plans.smoothed(src.hourly(spark, sf), plans.THREE)
-    peaks = plans.moments(src.hourly(spark, sf), plans.THREE)
-    stats = smooth.groupBy(F.col("asset").alias("name")).agg(F.max("value").alias("hybrid_max"), ((F.max("idx") + 1) / 2.0).alias("duration"))
-    n = report.first_of_each(peaks, 5).groupBy(F.col("asset").alias("name")).agg(F.count(F.lit(1)).cast("int").alias("n_highlights"))
-    d = stats.join(n, "name", "left").fillna(0, ["n_highlights"]).withColumn("rating", fn.rating_tier(F.col("hybrid_max")))
-    return report.markdown(d, [F.desc("hybrid_max"), F.col("name")])
+    """The whole report as text: totals, the table, each asset's section."""
+    return report.markdown(_reports(spark, sf)).select(F.col("part").cast("long").alias("part"), "place", "value")
+
+
+def s12_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The reports' highlights, one row each, as a reader of the nested file sees them."""
+    d = manifest.flattened(_reports(spark, sf).select("name", "duration", "frames_analyzed", "rating", "highlights"))
+    return d.select("name", "duration", "frames_analyzed", "rating", F.col("pos").cast("long").alias("pos"), "item.start", "item.end", "item.peak_time", "item.hybrid_score", "item.primary_signal", F.array_join("item.reasons", "; ").alias("why"))
+
+
+def k05_enriched(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as segments with the focal points of their lines' grids; a segment without frames has the middle."""
+    segments = src.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("label"), (F.col("o_totalprice") / 1000).alias("start"), F.lit(0.9).alias("focal_x"))
+    frames = src.table(spark, sf, "lineitem").where("l_quantity > 10").select(F.col("l_orderkey").cast("string").alias("label"), F.array("l_quantity", F.col("l_discount") * 100, F.col("l_tax") * 100, F.col("l_extendedprice") / 1000, "l_linenumber").alias("grid"))
+    return manifest.enriched(segments, vectors.focal_point(frames)).select("label", R("start"), "focal_x", "side")
 
 
 def t10_label_orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,10 +130,18 @@ def x03_top_orders(spark: SparkSession, sf: str) -> DataFrame:
     return d.withColumn("r", F.row_number().over(w).cast("long")).where("r <= 3").select("o_custkey", "o_orderkey", "o_totalprice", "r")
 
 
-QUERIES = {f.__name__: f for f in (w04_transients, w11_audio_windows, w15_adaptive_clips, j03_complete_assets, j10_files, j15_frames, f05_still, p09_overlay, k06_report, t10_label_orders, m02_spring, o10_grid, x01_pricing_summary, x02_rollup, x03_top_orders)}
+QUERIES = {f.__name__: f for f in (w04_transients, w11_audio_windows, w15_adaptive_clips, j03_complete_assets, j10_files, j15_frames, f05_still, p09_overlay, k06_report, s12_report, k05_enriched, t10_label_orders, m02_spring, o10_grid, x01_pricing_summary, x02_rollup, x03_top_orders)}
 
 _THREE = dict(plans.THREE.weights)
 _FIVE = f"{sql.peaks(_THREE, 4, 0.45, 1)}, fp AS (SELECT * FROM pk QUALIFY row_number() OVER (PARTITION BY asset ORDER BY idx) <= 5)"
+_REPORT = f"""{_FIVE}, st AS (SELECT asset, max(value) AS top, min(value) AS low, max(idx) + 1 AS frames, ((max(idx) + 1) / 2.0)::DOUBLE AS d, CASE WHEN max(value) > 0.6 THEN 'high' WHEN max(value) > 0.4 THEN 'medium' ELSE 'low' END AS rating FROM smo GROUP BY 1),
+hl AS (SELECT fp.asset, fp.idx, row_number() OVER (PARTITION BY fp.asset ORDER BY fp.idx) - 1 AS pos, greatest(0.0, fp.idx / 2.0 - 7.5)::DOUBLE AS start, least(d, fp.idx / 2.0 + 7.5)::DOUBLE AS "end", value, panns, clip, flow, d, frames, rating,
+  CASE WHEN panns >= clip AND panns >= flow THEN 'audio' WHEN clip >= flow THEN 'visual' ELSE 'motion' END AS best,
+  CASE WHEN panns > 0.5 OR clip > 0.5 OR flow > 0.5 THEN concat_ws('; ', CASE WHEN panns > 0.5 THEN printf('audio (%.2f)', round(panns, 2)) END, CASE WHEN clip > 0.5 THEN printf('visual (%.2f)', round(clip, 2)) END, CASE WHEN flow > 0.5 THEN printf('motion (%.2f)', round(flow, 2)) END)
+    ELSE 'combined signals (' || CASE WHEN panns >= clip AND panns >= flow THEN 'audio' WHEN clip >= flow THEN 'visual' ELSE 'motion' END || ' dominant)' END AS why
+  FROM fp JOIN nrm ON nrm.asset = fp.asset AND nrm.idx = fp.idx JOIN st ON st.asset = fp.asset),
+trg AS (SELECT asset, name, peak, row_number() OVER (PARTITION BY asset ORDER BY peak DESC, name) AS r FROM (SELECT event_type AS asset, 'class' || json_extract_string(props, '$.k') AS name, max(value / 500) AS peak FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1, 2)),
+heard AS (SELECT asset, string_agg(name, ', ' ORDER BY r) FILTER (WHERE r <= 3) AS t3, string_agg(name, ', ' ORDER BY r) FILTER (WHERE r <= 10) AS t10 FROM trg GROUP BY 1)"""
 ORACLES = {
     "w04_transients": f"""WITH RECURSIVE {sql.SIGNALS}, ris AS (SELECT asset, idx, greatest(d, 0) AS value FROM (SELECT asset, idx, lead(clip) OVER (PARTITION BY asset ORDER BY idx) - clip AS d FROM sig) WHERE d IS NOT NULL),
 {sql.taps('ris', -5, 5, 'm')}, med AS (SELECT asset, idx, list_sort(list(v))[6] AS md FROM m GROUP BY 1, 2), onset AS (SELECT asset, idx, greatest(value - md, 0) AS value FROM ris JOIN med USING (asset, idx)),
@@ -140,8 +161,15 @@ c AS (SELECT asset, t, d, value / top AS score, 0.2 + value / top * (0.8 - 0.2)
 SELECT source, s AS start, b - a AS n, a AS first, b - 1 AS last FROM g WHERE b > a""",
     "f05_still": "SELECT l_orderkey, count(*) < 2 OR min(l_quantity) / max(l_quantity) >= 0.9 AS still FROM lineitem GROUP BY 1",
     "p09_overlay": f"""SELECT page_id, '[' || {sql.label('(page_id % 702)')} || '] Score: ' || printf('%.2f', page_id % 100 / 100) AS line1, 'Source: ' || right(url, 20) AS line2, 'Why: ' || left(url, 40) AS line3, regexp_replace(url, '\\.[^./]+$', '') || '_moments.mp4' AS output FROM pages""",
-    "k06_report": f"""WITH RECURSIVE {_FIVE}, st AS (SELECT asset, max(value) AS top, (max(idx) + 1) / 2.0 AS d FROM smo GROUP BY 1), n AS (SELECT asset, count(*) AS n FROM fp GROUP BY 1)
-SELECT printf('| %s | %.1f | %.3f | %s | %d |', right(asset, 25), d::DOUBLE, top, CASE WHEN top > 0.6 THEN 'high' WHEN top > 0.4 THEN 'medium' ELSE 'low' END, coalesce(n, 0)) AS value FROM st LEFT JOIN n USING (asset)""",
+    "k06_report": f"""WITH RECURSIVE {_REPORT}, lines AS (SELECT asset, count(*) AS n, string_agg(printf('%d. %.1fs - %.1fs (%.3f), %s; audio %.3f, visual %.3f, motion %.3f; %s', pos + 1, round(start, 2), round("end", 2), round(value, 3), best, round(panns, 3), round(clip, 3), round(flow, 3), why), chr(10) ORDER BY pos) AS txt FROM hl GROUP BY 1),
+allof AS (SELECT st.*, coalesce(n, 0) AS n, txt, t3, t10 FROM st LEFT JOIN lines USING (asset) LEFT JOIN heard USING (asset))
+SELECT 0::BIGINT AS part, 0::BIGINT AS place, printf('Assets: %d. Highlights: %d.', count(*), coalesce(sum(n), 0)::BIGINT) AS value FROM allof
+UNION ALL SELECT 1, row_number() OVER w, printf('| %d | %s | %.0fs | %s | %.3f | %d | %s |', row_number() OVER w, right(asset, 15), d, rating, round(top, 3), n, coalesce(t3, 'none')) FROM allof WINDOW w AS (ORDER BY round(top, 3) DESC, asset)
+UNION ALL SELECT 2, row_number() OVER (ORDER BY asset), printf('### %s' || chr(10) || '%.1fs, rated %s, scores %.3f to %.3f', asset, d, rating, round(low, 3), round(top, 3)) || coalesce(chr(10) || 'Heard: ' || t10, '') || chr(10) || coalesce(txt, 'No highlights.') FROM allof""",
+    "s12_report": f"""WITH RECURSIVE {_REPORT} SELECT asset AS name, round(d, 1) AS duration, CAST(frames AS BIGINT) AS frames_analyzed, rating, pos, round(start, 2) AS start, round("end", 2) AS "end", round(idx / 2.0, 2)::DOUBLE AS peak_time, round(value, 3) AS hybrid_score, best AS primary_signal, why FROM hl""",
+    "k05_enriched": """WITH m AS (SELECT CAST(l_orderkey AS VARCHAR) AS label, avg(l_quantity) AS a, avg(l_discount * 100) AS b, avg(l_tax * 100) AS c, avg(l_extendedprice / 1000) AS d, avg(l_linenumber) AS e FROM lineitem WHERE l_quantity > 10 GROUP BY 1),
+f AS (SELECT label, round(greatest(0.2, least(0.8, CASE WHEN a + b + c + d + e < 1e-6 THEN 0.5 ELSE (b * 0.25 + c * 0.5 + d * 0.75 + e) / (a + b + c + d + e) END)), 3) AS x FROM m)
+SELECT CAST(o_orderkey AS VARCHAR) AS label, round(o_totalprice / 1000, 6) AS start, coalesce(x, 0.5) AS focal_x, CASE WHEN coalesce(x, 0.5) < 0.4 THEN 'left' WHEN coalesce(x, 0.5) > 0.6 THEN 'right' ELSE 'center' END AS side FROM orders LEFT JOIN f ON label = CAST(o_orderkey AS VARCHAR)""",
     "t10_label_orders": f"""WITH RECURSIVE {_FIVE}, r AS (SELECT asset, idx, row_number() OVER (ORDER BY asset, idx) - 1 AS a, row_number() OVER (ORDER BY value DESC, asset, idx) - 1 AS b FROM fp)
 SELECT asset, idx, {sql.label('a')} AS before, {sql.label('b')} AS after FROM r""",
     "m02_spring": """WITH t AS (SELECT o_orderkey, o_orderkey % 60 / 30 AS t, sqrt(100 / 0.6) AS o, 12 / (2 * sqrt(100 * 0.6)) AS z FROM orders), w AS (SELECT *, o * sqrt(1 - z * z) AS w FROM t)

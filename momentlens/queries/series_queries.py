@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from momentlens import profiles
 from momentlens.functions.scalars import rating_tier, reasons, strongest
 from momentlens.operators import report, series, signals
 from momentlens.plans import moments as plans
@@ -27,11 +28,15 @@ def a04_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return report.statistics(src.hourly(spark, sf), "clip").select("asset", R("mean"), R("max"), R("min"), R("median"))
 
 
+def _label_id(step: int, of: int) -> Column:
+    """Class numbers of events, spread over the classes of a model."""
+    return (F.get_json_object("props", "$.k").cast("int") + step * (F.col("event_id") % of)).cast("int").alias("label_id")
+
+
 def a06_triggers(spark: SparkSession, sf: str) -> DataFrame:
-    d = src.table(spark, sf, "events").select(F.col("event_type").alias("asset"), src.hour_of(F.col("ts")).alias("idx"), F.get_json_object("props", "$.k").cast("int").alias("label_id"), (F.col("value") / 500).alias("prob"))
+    d = src.table(spark, sf, "events").select(F.col("event_type").alias("asset"), src.hour_of(F.col("ts")).alias("idx"), _label_id(400, 2), (F.col("value") / 500).alias("prob"))
     d = d.groupBy("asset", "idx", "label_id").agg(F.max("prob").alias("prob"))
-    labels = spark.createDataFrame([(k, f"class{k}") for k in src.CLASSES], "label_id int, name string")
-    return signals.triggers(d, labels).select("asset", "name", R("peak"))
+    return signals.triggers(d, profiles.labels(spark, profiles.AUDIO_LABELS | profiles.MORE_AUDIO_LABELS)).select("asset", "name", R("peak"))
 
 
 def j01_aligned(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,9 +46,8 @@ def j01_aligned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j02_labelled_sum(spark: SparkSession, sf: str) -> DataFrame:
-    d = src.table(spark, sf, "events").select(F.col("event_type").alias("asset"), src.hour_of(F.col("ts")).alias("idx"), F.get_json_object("props", "$.k").cast("int").alias("label_id"), F.col("value").alias("prob"))
-    labels = spark.createDataFrame([(k,) for k in src.CLASSES], "label_id int")
-    return signals.labelled_sum(d, labels, ["asset", "idx"]).select("asset", "idx", R("total"))
+    d = src.table(spark, sf, "events").select(F.col("event_type").alias("asset"), src.hour_of(F.col("ts")).alias("idx"), _label_id(100, 4), F.col("value").alias("prob"))
+    return signals.labelled_sum(d, profiles.labels(spark, profiles.ACTION_LABELS), ["asset", "idx"]).select("asset", "idx", R("total"))
 
 
 def p04_fused(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,9 +76,13 @@ def w05_low_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def w12_hopping_max(spark: SparkSession, sf: str) -> DataFrame:
-    d = src.hourly(spark, sf)
-    starts = d.groupBy("asset", (F.floor(F.col("idx") / 8) * 8).cast("long").alias("start")).agg(F.max("clip").alias("score"))
-    return signals.hopping_max(starts, 16, 8).select("asset", "idx", R("score"))
+    """Scores of 16 samples every 8, of series of several lengths; a window's score is the mean of its samples, the last one repeated."""
+    d = src.hourly(spark, sf).select("asset", "idx", (F.col("clip") - 50).alias("value"))
+    lengths = d.groupBy("asset").agg((F.max("idx") + 1 - F.length("asset")).alias("n"))
+    windows = signals.action_windows(lengths)
+    at = windows.select("asset", "start", "end", F.explode("places").alias("idx")).join(d, ["asset", "idx"])
+    scores = at.groupBy("asset", "start", "end").agg(F.avg("value").alias("score"))
+    return signals.hopping_max(scores, lengths).select("asset", "idx", R("score"))
 
 
 def w13_batches(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,16 +115,17 @@ _FOUR, _THREE = dict(plans.FOUR.weights), dict(plans.THREE.weights)
 _TAPS = """len AS (SELECT asset, count(*) AS n FROM sig GROUP BY 1),
 tap AS (SELECT asset, idx, (((idx + k) % (2 * n)) + 2 * n) % (2 * n) AS j0, n FROM sig JOIN len USING (asset), (SELECT unnest(range({a}, {b})) AS k)),
 val AS (SELECT t.asset, t.idx, f.clip AS v FROM tap t JOIN sig f ON f.asset = t.asset AND f.idx = CASE WHEN j0 < n THEN j0 ELSE 2 * n - 1 - j0 END)"""
-_EVENTS = f"ev AS (SELECT event_type AS asset, {sql.HOUR} AS idx, CAST(json_extract_string(props, '$.k') AS INTEGER) AS label_id, value FROM events)"
+_EVENTS = f"ev AS (SELECT event_type AS asset, {sql.HOUR} AS idx, CAST(json_extract_string(props, '$.k') AS INTEGER) + {{step}} * (event_id % {{of}}) AS label_id, value FROM events)"
+_NAMES = ", ".join("({}, '{}')".format(k, v.replace("'", "''")) for k, v in (profiles.AUDIO_LABELS | profiles.MORE_AUDIO_LABELS).items())
 ORACLES = {
     "a01_block_rms": f"WITH {sql.LEVELS} SELECT asset, CAST(floor(t / 8) AS BIGINT) AS idx, round(sqrt(avg(value * value)), 6) AS value FROM lev GROUP BY 1, 2 HAVING count(*) = 8",
     "a02_minmax": f"WITH {sql.SIGNALS}, {sql.normal(['clip', 'panns', 'flow', 'mae'])} SELECT asset, idx, round(clip, 6) AS clip, round(panns, 6) AS panns, round(flow, 6) AS flow, round(mae, 6) AS mae FROM nrm",
     "a04_statistics": f"WITH {sql.SIGNALS} SELECT asset, round(avg(clip), 6) AS mean, round(max(clip), 6) AS max, round(min(clip), 6) AS min, round(median(clip), 6) AS median FROM sig GROUP BY 1",
-    "a06_triggers": f"""WITH {_EVENTS}, p AS (SELECT asset, idx, label_id, max(value / 500) AS prob FROM ev WHERE label_id IN {src.CLASSES} GROUP BY 1, 2, 3),
-s AS (SELECT asset, idx FROM p GROUP BY 1, 2 HAVING sum(prob) > 0.5) SELECT asset, 'class' || label_id AS name, round(max(prob), 6) AS peak FROM p JOIN s USING (asset, idx) WHERE prob > 0.1 GROUP BY 1, 2""",
+    "a06_triggers": f"""WITH {_EVENTS.format(step=400, of=2)}, lab AS (SELECT * FROM (VALUES {_NAMES}) AS l(label_id, name)), p AS (SELECT asset, idx, label_id, max(value / 500) AS prob FROM ev SEMI JOIN lab USING (label_id) GROUP BY 1, 2, 3),
+s AS (SELECT asset, idx FROM p GROUP BY 1, 2 HAVING sum(prob) > 0.5) SELECT asset, name, round(max(prob), 6) AS peak FROM p JOIN s USING (asset, idx) JOIN lab USING (label_id) WHERE prob > 0.1 GROUP BY 1, 2""",
     "j01_aligned": """WITH d AS (SELECT user_id AS asset, CAST(day(ts) AS BIGINT) AS idx, event_type, sum(value) AS v FROM events GROUP BY 1, 2, 3)
 SELECT c.asset, c.idx, round(c.v, 6) AS click, round(w.v, 6) AS "view", round(p.v, 6) AS purchase FROM d c JOIN d w USING (asset, idx) JOIN d p USING (asset, idx) WHERE c.event_type = 'click' AND w.event_type = 'view' AND p.event_type = 'purchase'""",
-    "j02_labelled_sum": f"WITH {_EVENTS} SELECT asset, idx, round(sum(value), 6) AS total FROM ev WHERE label_id IN {src.CLASSES} GROUP BY 1, 2",
+    "j02_labelled_sum": f"WITH {_EVENTS.format(step=100, of=4)} SELECT asset, idx, round(sum(value), 6) AS total FROM ev WHERE label_id IN {tuple(profiles.ACTION_LABELS)} GROUP BY 1, 2",
     "p04_fused": f"WITH {sql.fused(_FOUR)} SELECT asset, idx, round(value, 6) AS score FROM fus",
     "w01_moving_average": f"WITH {sql.SIGNALS}, {_TAPS.format(a=-3, b=3)} SELECT asset, idx, round(avg(v), 6) AS value FROM val GROUP BY 1, 2",
     "w02_running_median": f"WITH {sql.SIGNALS}, {_TAPS.format(a=-5, b=5)} SELECT asset, idx, round(list_sort(list(v))[6], 6) AS value FROM val GROUP BY 1, 2",
@@ -125,8 +134,10 @@ SELECT c.asset, c.idx, round(c.v, 6) AS click, round(w.v, 6) AS "view", round(p.
     "w05_low_runs": f"""WITH {sql.LEVELS}, f AS (SELECT *, value < 100 AS low, coalesce(lead(t) OVER (PARTITION BY asset ORDER BY t), t) AS nt FROM lev),
 g AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY t) - row_number() OVER (PARTITION BY asset, low ORDER BY t) AS run FROM f)
 SELECT asset, min(t) AS start, max(nt) AS "end" FROM g WHERE low GROUP BY asset, run HAVING max(nt) - min(t) >= 2""",
-    "w12_hopping_max": f"""WITH {sql.SIGNALS}, st AS (SELECT asset, idx // 8 * 8 AS start, max(clip) AS score FROM sig GROUP BY 1, 2)
-SELECT asset, start + k AS idx, round(max(score), 6) AS score FROM st, (SELECT unnest(range(0, 16)) AS k) GROUP BY 1, 2""",
+    "w12_hopping_max": f"""WITH {sql.SIGNALS}, len AS (SELECT asset, max(idx) + 1 - length(asset) AS n FROM sig GROUP BY 1),
+w AS (SELECT asset, n, s, least(s + 16, n) AS e FROM (SELECT asset, n, unnest(range(0, n, 8)) AS s FROM len) WHERE least(s + 16, n) - s >= 4),
+sc AS (SELECT w.asset, s, e, (sum(clip - 50) + (16 - (e - s)) * max(CASE WHEN idx = e - 1 THEN clip - 50 END)) / 16 AS score FROM w JOIN sig ON sig.asset = w.asset AND idx >= s AND idx < e GROUP BY 1, 2, 3)
+SELECT i.asset, i.idx, round(greatest(0.0, coalesce(max(score), 0.0)), 6) AS score FROM (SELECT asset, unnest(range(0, n)) AS idx FROM len) i LEFT JOIN sc ON sc.asset = i.asset AND i.idx >= s AND i.idx < e GROUP BY 1, 2""",
     "w13_batches": f"""WITH {sql.LEVELS}, b AS (SELECT asset, CAST(floor(t / 4) AS BIGINT) AS batch, list(value ORDER BY t) AS v FROM lev GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT asset, batch, {", ".join(f"round(v[least({k + 1}, len(v))], 6) AS v{k}" for k in range(4))} FROM b""",
     "a17_energy": f"""WITH {sql.SIGNALS}, h AS (SELECT asset, unnest(range(0, CAST((max(idx) + 1 - 21) // 10 + 1 AS BIGINT))) AS hop FROM sig GROUP BY asset)

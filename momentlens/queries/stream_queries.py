@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from momentlens.sources import adapters as src
+from momentlens.sources.files import scratch
 from momentlens.streaming import streams
 
 
-def _drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def _drained(stream: DataFrame) -> DataFrame:
+    """Each batch's whole result replaces the last one in the shared folder; nothing of it comes to the driver."""
+    spark = stream.sparkSession
+    out = f"{scratch(spark)}/drained-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(out)
+    written = stream.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    written.option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:

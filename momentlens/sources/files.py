@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from momentlens.functions.scalars import chunk_id, file_name, suffix
 from momentlens.operators.manifest import MULTI, SINGLE
+from momentlens.operators.report import REPORT
 from momentlens.operators.vectors import fresh
 
 EXTENSIONS = (".mp4", ".mkv", ".avi", ".mov", ".webm")
@@ -53,21 +57,55 @@ def write_manifest(segments: DataFrame, path: str, key: str, columns: list[str],
     nested(segments, key, columns, order).write.mode("overwrite").json(path)
 
 
+def enrich_manifest(spark: SparkSession, path: str, focal: DataFrame, out: str) -> None:
+    """The manifest with focal points, written to another path, so that a failed job leaves the old one whole."""
+    from momentlens.operators.manifest import enriched
+
+    columns = [f.name for f in SINGLE["segments"].dataType.elementType if f.name != "source"]
+    write_manifest(enriched(read_manifest(spark, path), focal), out, "source", columns, "pos")
+
+
+def write_report(reports: DataFrame, path: str) -> None:
+    """One JSON line for each asset's report."""
+    reports.write.mode("overwrite").json(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """Reports with their nested highlights; a broken file fails the read."""
+    return spark.read.schema(REPORT).option("mode", "FAILFAST").json(path)
+
+
 def concat_list(files: DataFrame, path: str, order: str = "rank") -> None:
     """The list file of a concatenation: one line for each clip of one timeline, in order."""
     line = F.concat(F.lit("file '"), F.regexp_replace("file", "'", "'\\\\\\\\''"), F.lit("'"))
     files.orderBy(order).select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; an own one only where it is unset and driver and executors are one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="momentlens-")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder that only Spark may be able to read is there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def cache_signals(signals: DataFrame, path: str) -> int:
-    """Append signals (asset, signal, idx, value) that the cache lacks, partitioned by signal; returns how many series are new."""
+    """Append signals (asset, signal, idx, value) that the cache lacks, partitioned by signal; returns how many series are new.
+
+    One writer at a time: two may append the same series.
+    """
     spark = signals.sparkSession
     keys = signals.select("signal", "asset").distinct()
-    try:
+    if exists(spark, path):
         keys = keys.join(spark.read.parquet(path).select("signal", "asset").distinct(), ["signal", "asset"], "left_anti")
-    except Exception as e:  # the first write
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
     n = keys.count()
     if n:
         signals.join(keys, ["signal", "asset"], "left_semi").write.mode("append").partitionBy("signal").parquet(path)
@@ -80,14 +118,15 @@ def cached_signals(spark: SparkSession, path: str, names: list[str]) -> DataFram
 
 
 def add_chunks(chunks: DataFrame, path: str, model: str) -> int:
-    """Append chunks (source, start, end, embedding) that the index lacks for a model; returns how many."""
+    """Append chunks (source, start, end, embedding) that the index lacks for a model, with their ``source_name`` and ``duration``; returns how many.
+
+    One writer at a time: two may append the same chunk.
+    """
     spark = chunks.sparkSession
-    new = chunks.withColumn("chunk_id", chunk_id(F.col("source"), F.col("start"))).dropDuplicates(["chunk_id"]).withColumns({"model": F.lit(model), "indexed_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")})
-    try:
+    new = chunks.withColumn("chunk_id", chunk_id(F.col("source"), F.col("start"))).dropDuplicates(["chunk_id"])
+    new = new.withColumns({"source_name": file_name(F.col("source")), "duration": F.col("end") - F.col("start"), "model": F.lit(model), "indexed_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")})
+    if exists(spark, path):
         new = fresh(new, spark.read.parquet(path).where(F.col("model") == model))
-    except Exception as e:  # the first write
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
     new = new.persist()
     n = new.count()
     if n:

@@ -1,5 +1,7 @@
 """Series operators against loops over small inputs."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +95,37 @@ def test_batches_pad_and_drop(spark):
     got = {r["batch"]: r["values"] for r in signals.batches(frame(spark, [1, 2, 3, 4, 5, 6]), 4).collect()}
     assert got == {0: [1.0, 2.0, 3.0, 4.0], 1: [5.0, 6.0, 6.0, 6.0]}
     assert signals.batches(frame(spark, [1, 2, 3, 4, 5]), 4).count() == 1
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
+def test_blocks_agree(spark, block):
+    """Maxima and low runs are the same however short the blocks are."""
+    rng = random.Random(block)
+    for n in (1, 2, 40):
+        x = [float(rng.randint(0, 3)) for _ in range(n)]
+        assert sorted(r["idx"] for r in series.local_maxima(frame(spark, x), block=block).collect()) == maxima(x)
+        t = sorted(rng.sample(range(100), n))
+        d = spark.createDataFrame([("a", float(a), v) for a, v in zip(t, x, strict=True)], "asset string, t double, value double")
+        want, start = [], None
+        for k, v in enumerate(x):
+            if v < 2 and start is None:
+                start = t[k]
+            if v >= 2 and start is not None:
+                want.append((start, t[k]))
+                start = None
+        if start is not None:
+            want.append((start, t[-1]))
+        got = [(r["start"], r["end"]) for r in series.low_runs(d, 2, 1.0, span=block).orderBy("start").collect()]
+        assert got == [(a, b) for a, b in want if b - a >= 1]
+
+
+def test_action_windows(spark):
+    """Samples of 16 every 8, the last one repeated, none of fewer than four; what none covers is 0."""
+    lengths = spark.createDataFrame([("a", 19), ("b", 3), ("c", 12), ("d", 11), ("e", 0)], "asset string, n long")
+    w = signals.action_windows(lengths)
+    got = {(r["asset"], r["start"]): (r["end"], r["places"]) for r in w.collect()}
+    assert set(got) == {("a", 0), ("a", 8), ("c", 0), ("c", 8), ("d", 0)}
+    assert got["a", 8] == (19, [*range(8, 19), *[18] * 5]) and got["c", 8] == (12, [8, 9, 10, 11, *[11] * 12])
+    scores = w.select("asset", "start", "end", F.when(F.col("start") == 8, -1.0).otherwise(0.5).alias("score"))
+    top = {(r["asset"], r["idx"]): r["score"] for r in signals.hopping_max(scores, lengths).collect()}
+    assert len(top) == 19 + 3 + 12 + 11 and top["a", 15] == 0.5 and top["a", 18] == 0.0 and top["b", 2] == 0.0

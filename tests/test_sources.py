@@ -45,3 +45,27 @@ def test_concat_list(spark, tmp_path):
     files.concat_list(d, str(tmp_path / "list"))
     lines = next((tmp_path / "list").glob("part-*")).read_text().splitlines()
     assert len(lines) == 2 and lines[1] == "file 'b.mp4'" and lines[0].startswith("file 'a'")
+
+
+def test_enriched_manifest(spark, tmp_path):
+    d = spark.createDataFrame([("v", "B", 5.0, 9.0), ("v", "A", 0.0, 4.0)], "source string, label string, start double, end double")
+    files.write_manifest(d, str(tmp_path / "m"), "source", ["label", "start", "end"], "start")
+    files.enrich_manifest(spark, str(tmp_path / "m"), spark.createDataFrame([("B", 0.25)], "label string, focal_x double"), str(tmp_path / "out"))
+    got = files.read_manifest(spark, str(tmp_path / "out")).orderBy("pos").collect()
+    assert [(r["label"], r["start"], r["focal_x"]) for r in got] == [("A", 0.0, 0.5), ("B", 5.0, 0.25)]
+
+
+def test_report_round_trip(spark, sf, tmp_path):
+    from momentlens.queries.report_queries import _reports
+
+    d = _reports(spark, sf)
+    files.write_report(d, str(tmp_path / "report"))
+    back = files.read_report(spark, str(tmp_path / "report"))
+    assert back.schema.simpleString() == d.schema.simpleString() and sorted(map(str, back.collect())) == sorted(map(str, d.collect()))
+
+
+def test_index_rows_name_their_source(spark, tmp_path):
+    d = backends.embedded(spark.createDataFrame([("/films/v.mp4", 0.0, 30.0)], "source string, start double, end double"), "source", backends.HashBackend(8))
+    files.add_chunks(d, str(tmp_path / "index"), "m")
+    r = spark.read.parquet(str(tmp_path / "index")).first()
+    assert (r["source_name"], r["duration"], r["model"]) == ("v.mp4", 30.0, "m")
