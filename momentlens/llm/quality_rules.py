@@ -71,18 +71,18 @@ def measured(docs: DataFrame, text_col: str = "text", n: int = 5) -> DataFrame:
     d = d.withColumn("q_places", F.when(F.col("q_twice"), places))
     p = F.col("q_places")
     covered = F.aggregate(F.sequence(F.lit(1), F.size(p) - 1), F.lit(n), lambda acc, k: acc + F.least(F.lit(n), F.get(p, k) - F.get(p, k - 1)))
-    return d.withColumns(
-        {
-            "q_repeat": F.when(F.col("q_twice"), covered).otherwise(0).cast("long"),
-            "q_chars": F.length(F.array_join("q_words", "")).cast("long"),
-            "q_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-            "q_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
-            "q_line_count": F.size("q_lines").cast("long"),
-            "q_stop": F.size(F.array_intersect(F.array(*map(F.lit, stops)), w)),
-            "q_capitals": F.regexp_count(text, F.lit("[A-Z]")).cast("long"),
-            "q_row": F.monotonically_increasing_id(),  # a filter that names it isn't pushed below this projection and evaluated again
-        }
-    ).drop("q_words", "q_lines", "q_grams", "q_order", "q_places", "q_twice")
+    found = {
+        "q_n": F.col("q_n"),
+        "q_repeat": F.when(F.col("q_twice"), covered).otherwise(0).cast("long"),
+        "q_chars": F.length(F.array_join("q_words", "")).cast("long"),
+        "q_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+        "q_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
+        "q_line_count": F.size("q_lines").cast("long"),
+        "q_stop": F.size(F.array_intersect(F.array(*map(F.lit, stops)), w)),
+        "q_capitals": F.regexp_count(text, F.lit("[A-Z]")).cast("long"),
+    }
+    # a number of the row in each, so that filters on measures aren't pushed below this projection, where they would be evaluated again for each use
+    return d.withColumns({k: F.when(F.monotonically_increasing_id() >= 0, c) for k, c in found.items()}).drop("q_words", "q_lines", "q_grams", "q_order", "q_places", "q_twice")
 
 
 def _metrics() -> dict[str, Column]:
@@ -123,7 +123,7 @@ def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
 
 def kept(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only."""
-    return judge(docs, text_col, rules).where(F.col("q_kept") & (F.col("q_row") >= 0)).select(*docs.columns)
+    return judge(docs, text_col, rules).where("q_kept").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

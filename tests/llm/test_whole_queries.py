@@ -155,3 +155,16 @@ def test_packing_is_near_the_bound(spark, sf):
     got = registry.queries()["op5_packing"](spark, sf).toPandas()
     assert got["sequence_id"].nunique() <= math.ceil(got["length"].sum() / 4096) + 2
     assert Counter(got.groupby("doc_id")["piece"].min()) == {0: got["doc_id"].nunique()}
+
+
+def test_measures_can_be_filtered(spark, sf):
+    """A filter on measures above a join doesn't evaluate them again and again."""
+    import time
+
+    from momentlens.llm import quality_rules
+
+    docs, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    began = time.perf_counter()
+    d = quality_rules.judge(docs).select("doc_id", "q_broken", "q_base_failed").join(known, "doc_id").where("not q_base_failed AND quality = 1")
+    assert d.groupBy("q_broken").count().collect()
+    assert time.perf_counter() - began < 30
