@@ -69,18 +69,32 @@ def above_percentile(df: DataFrame, of: DataFrame, p: float, key: str = "asset",
     return df.join(floors, key).where(F.col(value) >= F.col("_floor"))
 
 
-def spaced(peaks: DataFrame, distance: int, key: str = "asset", idx: str = "idx", value: str = "value") -> DataFrame:
+def spaced(peaks: DataFrame, distance: int, key: str = "asset", idx: str = "idx", value: str = "value", block: int = BLOCK, rounds: int = 3) -> DataFrame:
     """Peaks that no higher kept peak is nearer to than ``distance``; of equal ones the later goes first.
 
-    Peaks further apart than ``distance`` never meet, so each chain of near ones is settled alone.
+    In blocks with a halo of what ``rounds`` reach, each round keeps the peaks that are highest within ``distance`` of those left, and
+    drops the others there. Only what the rounds leave undecided is ordered by asset; there, peaks further apart than ``distance``
+    never meet, so each chain of near ones is settled alone.
     """
+    if distance <= 1:
+        return peaks.select(key, idx, value)
+    halo = 2 * rounds * distance
+    size = max(block, 2 * halo)
+    d = peaks.select(key, idx, value, F.explode(F.sequence(F.floor((F.col(idx) - halo) / size), F.floor((F.col(idx) + halo) / size))).alias("_b")).withColumn("_kept", F.lit(None).cast("boolean"))
+    w = Window.partitionBy(key, "_b").orderBy(idx).rangeBetween(1 - distance, distance - 1)
+    for _ in range(rounds):
+        open_ = F.col("_kept").isNull()
+        d = d.withColumn("_won", open_ & (F.max(F.when(open_, F.struct(value, idx))).over(w)[idx] == F.col(idx)))
+        d = d.withColumn("_kept", F.when(F.col("_won"), True).when(open_ & F.max("_won").over(w), False).otherwise(F.col("_kept"))).drop("_won")
+    d = d.where(F.floor(F.col(idx) / size) == F.col("_b")).drop("_b")
     w = Window.partitionBy(key).orderBy(idx)
     fresh = F.coalesce((F.col(idx) - F.lag(idx).over(w) >= distance).cast("int"), F.lit(0))
-    chains = peaks.withColumn("_chain", F.sum(fresh).over(w)).groupBy(key, "_chain")
+    chains = d.where("_kept IS NULL").withColumn("_chain", F.sum(fresh).over(w)).groupBy(key, "_chain")
     ranked = chains.agg(F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("y"), (-F.col(idx)).alias("i")))).alias("_all"))
     none = F.filter("_all", lambda x: F.lit(False))
     kept = F.aggregate("_all", none, lambda acc, x: F.when(F.exists(acc, lambda z: F.abs(z["i"] - x["i"]) < distance), acc).otherwise(F.concat(acc, F.array(x))))
-    return ranked.select(key, F.explode(kept).alias("_k")).select(key, (-F.col("_k.i")).alias(idx), (-F.col("_k.y")).alias(value))
+    rest = ranked.select(key, F.explode(kept).alias("_k")).select(key, (-F.col("_k.i")).alias(idx), (-F.col("_k.y")).alias(value))
+    return d.where("_kept").select(key, idx, value).unionByName(rest)
 
 
 def prominent(peaks: DataFrame, series: DataFrame, least: Column, key: str = "asset", idx: str = "idx", value: str = "value", block: int = 512) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from momentlens.functions.scalars import reasons, strongest
 from momentlens.operators import intervals, manifest, series, signals
 from momentlens.operators.vectors import nearest
+from momentlens.sources.files import written
 
 
 @dataclass(frozen=True)
@@ -52,9 +53,13 @@ def smoothed(wide: DataFrame, profile: Profile) -> DataFrame:
 
 def moments(wide: DataFrame, profile: Profile) -> DataFrame:
     """(asset, idx, value) of the spaced peaks above each asset's percentile."""
-    smooth = smoothed(wide, profile)
+    smooth = written(smoothed(wide, profile), "smoothed")
+    return series.spaced(_peaks(smooth, profile), profile.distance)
+
+
+def _peaks(smooth: DataFrame, profile: Profile) -> DataFrame:
     peaks = series.above_percentile(series.local_maxima(smooth), smooth, profile.percentile)
-    return series.spaced(peaks, profile.distance)
+    return written(peaks, "peaks") if profile.distance > 1 else peaks
 
 
 def top(found: DataFrame, n: int, fps: float = 2.0, width: float = 15.0) -> DataFrame:
@@ -66,8 +71,8 @@ def top(found: DataFrame, n: int, fps: float = 2.0, width: float = 15.0) -> Data
 def condensed(wide: DataFrame, c: Condense) -> DataFrame:
     """(asset, rank, label, start, end, score): segments that follow each peak's decay, merged, within the budget, in order of time."""
     fps = c.profile.fps
-    smooth = smoothed(wide, c.profile)
-    peaks = series.spaced(series.above_percentile(series.local_maxima(smooth), smooth, c.profile.percentile), c.profile.distance)
+    smooth = written(smoothed(wide, c.profile), "smoothed")
+    peaks = series.spaced(_peaks(smooth, c.profile), c.profile.distance)
     grown = intervals.decay_end(peaks, smooth, c.decay, int(c.longest * fps))
     length = smooth.groupBy("asset").agg(((F.max("idx") + 1) / fps).alias("duration"))
     d = grown.join(length, "asset")
@@ -84,10 +89,10 @@ def transients(energy: DataFrame, median: int = 100, smooth: int = 4, distance:
     rise = signals.rises(energy)
     background = series.running_median(rise, median).withColumnRenamed("value", "_m")
     d = rise.join(background, ["asset", "idx"]).select("asset", "idx", F.greatest(F.col("value") - F.col("_m"), F.lit(0.0)).alias("value"))
-    d = series.moving_average(d, smooth).withColumn("value", F.round("value", 9))
+    d = written(series.moving_average(d, smooth).withColumn("value", F.round("value", 9)), "onsets")
     floors = d.where("value > 0").groupBy("asset").agg(F.percentile("value", F.lit(percentile)).alias("floor"))
     peaks = series.local_maxima(d).join(floors, "asset").where("value >= floor").select("asset", "idx", "value")
-    kept = series.spaced(peaks, distance).join(floors, "asset")
+    kept = written(series.spaced(written(peaks, "peaks"), distance).join(floors, "asset"), "spaced-peaks")
     return series.prominent(kept, d, F.col("floor") * 0.5).drop("floor")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +92,13 @@ def scratch(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="momentlens-")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written to the shared folder and read back: what several branches of a plan read is computed once and survives lost executors."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder that only Spark may be able to read is there."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

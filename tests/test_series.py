@@ -129,3 +129,18 @@ def test_action_windows(spark):
     scores = w.select("asset", "start", "end", F.when(F.col("start") == 8, -1.0).otherwise(0.5).alias("score"))
     top = {(r["asset"], r["idx"]): r["score"] for r in signals.hopping_max(scores, lengths).collect()}
     assert len(top) == 19 + 3 + 12 + 11 and top["a", 15] == 0.5 and top["a", 18] == 0.0 and top["b", 2] == 0.0
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+@pytest.mark.parametrize("block", [1, 50])
+def test_spacing_by_rounds(spark, rounds, block):
+    """Rounds in short blocks keep what one greedy pass over the peaks keeps."""
+    rng = random.Random(rounds + block)
+    at = sorted(rng.sample(range(400), 150))
+    peaks = [(float(rng.randint(0, 12)), i) for i in at] + [(float(i), i) for i in range(400, 440)]  # rising ones make a long chain
+    kept = []
+    for v, i in sorted(peaks, key=lambda x: (-x[0], -x[1])):
+        if all(abs(i - k) >= 5 for k in kept):
+            kept.append(i)
+    d = spark.createDataFrame([("a", i, v) for v, i in peaks], "asset string, idx long, value double")
+    assert sorted(r["idx"] for r in series.spaced(d, 5, block=block, rounds=rounds).collect()) == sorted(kept)
