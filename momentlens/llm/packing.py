@@ -37,7 +37,7 @@ CAPACITY = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 _BATCH = 20_000
 
 
