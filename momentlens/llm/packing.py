@@ -21,7 +21,6 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heappop, heappush
 from pathlib import Path
 
@@ -124,12 +123,6 @@ class Encoder:
             yield b"".join(map(self.known.__getitem__, words))
 
 
-@lru_cache(maxsize=1)
-def _encoder(tokenizer: str) -> Encoder:
-    """One for each worker process, whatever tasks it runs."""
-    return Encoder(tokenizer)
-
-
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """A row for each piece: id, piece, start, length, ids_crc32, and its number ``p_rank`` among those of its length in task ``p_task``.
 
@@ -140,7 +133,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, seen = _encoder(shared.value), TaskContext.get().partitionId(), Counter()
+        encoder, task, seen = Encoder(shared.value), TaskContext.get().partitionId(), Counter()
         for batch, texts in text_chunks(batches, text_col):
             row, out = [], []
             for i, ids in enumerate(encoder.encode(texts)):
