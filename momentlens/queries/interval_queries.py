@@ -70,7 +70,7 @@ def j13_condensed(spark: SparkSession, sf: str) -> DataFrame:
 
 def p19_trims(spark: SparkSession, sf: str) -> DataFrame:
     """Trim texts made of orders, applied to merged shipments by label."""
-    specs = src.table(spark, sf, "orders").where("o_orderkey <= 60").select(F.concat_ws(":", segment_label(F.col("o_orderkey") % 30), F.when(F.col("o_orderkey") % 3 > 0, (F.col("o_orderkey") % 7).cast("string")).otherwise(""), F.when(F.col("o_orderkey") % 4 > 0, (F.col("o_orderkey") % 11).cast("string")).otherwise("")).alias("spec"), F.col("o_orderkey").alias("pos"))
+    specs = src.table(spark, sf, "orders").select(F.concat_ws(":", segment_label(F.col("o_orderkey") % 30), F.when(F.col("o_orderkey") % 3 > 0, (F.col("o_orderkey") % 7).cast("string")).otherwise(""), F.when(F.col("o_orderkey") % 4 > 0, (F.col("o_orderkey") % 11).cast("string")).otherwise("")).alias("spec"), F.col("o_orderkey").alias("pos"))
     m = manifest.labelled(intervals.merged(src.shipments(spark, sf), "source", 2.0, span=SPAN), [F.desc("score"), F.col("start")], "source")
     return intervals.trimmed(m, intervals.trims(specs)).select("source", "label", R("start"), R("end"), R("duration"))
 
@@ -106,7 +106,7 @@ g2 AS (SELECT asset, s, CASE WHEN e - s > 10 THEN s + 10.0 ELSE e END AS e, scor
 b AS (SELECT *, sum(e - s) OVER (PARTITION BY asset) AS total, coalesce(sum(e - s) OVER (PARTITION BY asset ORDER BY score DESC, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM mrg),
 r AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY s) - 1 AS rank FROM b WHERE total <= 240 OR before < 120)
 SELECT asset, rank, {sql.label('rank')} AS label, {_SE}, round(score, 6) AS score FROM r""",
-    "p19_trims": f"""WITH {_M2}, {_RANK}, sp AS (SELECT o_orderkey AS pos, {sql.label('(o_orderkey % 30)')} AS label, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey % 7 AS DOUBLE) END AS ts, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey % 11 AS DOUBLE) END AS te FROM orders WHERE o_orderkey <= 60),
+    "p19_trims": f"""WITH {_M2}, {_RANK}, sp AS (SELECT o_orderkey AS pos, {sql.label('(o_orderkey % 30)')} AS label, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey % 7 AS DOUBLE) END AS ts, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey % 11 AS DOUBLE) END AS te FROM orders),
 tr AS (SELECT * FROM sp QUALIFY row_number() OVER (PARTITION BY label ORDER BY pos DESC) = 1),
 j AS (SELECT rk.source, {sql.label('rk.rank')} AS label, s, e FROM rk),
 c AS (SELECT source, j.label, s, e, tr.label IS NOT NULL AS cut, te, CASE WHEN tr.label IS NOT NULL THEN greatest(s, least(s + coalesce(ts, 0), e)) ELSE s END AS ns FROM j LEFT JOIN tr USING (label)),

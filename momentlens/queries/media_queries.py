@@ -41,7 +41,7 @@ def j04_fresh(spark: SparkSession, sf: str) -> DataFrame:
 
 def p05_contrast(spark: SparkSession, sf: str) -> DataFrame:
     d = src.table(spark, sf, "embeddings")
-    prompts = d.where("vec_id < 20").select(F.when(F.col("vec_id") % 2 == 0, 1).otherwise(-1).alias("polarity"), F.expr("transform(embedding, x -> cast(x as double))").alias("vec"))
+    prompts = d.select(F.when(F.col("vec_id") % 2 == 0, 1).otherwise(-1).alias("polarity"), F.expr("transform(embedding, x -> cast(x as double))").alias("vec"))
     return vectors.contrast(d, prompts, ["vec_id"]).select("vec_id", R("score"))
 
 
@@ -207,8 +207,8 @@ ORACLES = {
     "s15_chunks": """WITH a AS (SELECT CAST(o_orderkey AS VARCHAR) AS source, o_totalprice / 1000 AS d FROM orders), c AS (SELECT source, d, CAST(unnest(range(0, CAST(floor(d) AS BIGINT), 25)) AS DOUBLE) AS start FROM a WHERE floor(d) >= 1)
 SELECT source, start, round(least(start + 30, d), 6) AS "end", substr(sha256(source || ':' || printf('%.1f', start)), 1, 16) AS chunk_id FROM c WHERE least(start + 30, d) - start >= 2""",
     "j04_fresh": "SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01')",
-    "p05_contrast": f"""WITH p AS (SELECT vec_id % 2 = 0 AS pos, embedding AS v FROM embeddings WHERE vec_id < 20), u AS (SELECT vec_id, {_U.format(v='embedding')} AS w FROM embeddings),
-x AS (SELECT vec_id, pos, {_SIM.format(a='w', b='v')} AS d FROM u, p) SELECT vec_id, round(avg(d) FILTER (WHERE pos) - avg(d) FILTER (WHERE NOT pos), 6) AS score FROM x GROUP BY 1""",
+    "p05_contrast": f"""WITH p AS (SELECT vec_id % 2 = 0 AS pos, embedding AS v FROM embeddings), u AS (SELECT vec_id, {_U.format(v='embedding')} AS w FROM embeddings),
+x AS (SELECT vec_id, pos, {_SIM.format(a='w', b='v')} AS d FROM u, p) SELECT vec_id, round(avg(d) FILTER (WHERE pos) - avg(d) FILTER (WHERE NOT pos), 6) + 0.0 AS score FROM x GROUP BY 1""",
     "p07_truncated": f"WITH t AS (SELECT vec_id, {_U.format(v='embedding[1:16]')} AS w FROM embeddings) SELECT vec_id, unnest(range(0, 16)) AS pos, round(unnest(w), 6) AS x FROM t",
     "j12_nearest": f"WITH {sql.CHUNKS}, {_Q}, s AS (SELECT chunk_id, source, {_COS.format(a='embedding', b='qv')} AS sim FROM chk, q) SELECT chunk_id, source, round(sim, 6) AS similarity FROM s ORDER BY sim DESC, chunk_id LIMIT 25",
     "j12_search": f"WITH s AS (SELECT b.vec_id AS query_id, a.vec_id, {_COS.format(a='a.embedding', b='b.embedding')} AS sim FROM embeddings a JOIN embeddings b ON b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT query_id, vec_id, round(sim, 6) AS similarity FROM s WHERE sim >= 0.1",
