@@ -27,9 +27,15 @@ def merged(df: DataFrame, key: str, gap: float = 0.0, strict: bool = False, span
     return _merged(d, [key], gap, strict, both)
 
 
-def complement(df: DataFrame, durations: DataFrame, key: str, shortest: float = 0.1) -> DataFrame:
-    """What the intervals leave of [0, duration]; remnants up to ``shortest`` go. ``durations``: (key, duration)."""
-    covered = _merged(df.select(key, "start", "end"), [key], 0.0, False, [])
+def complement(df: DataFrame, durations: DataFrame, key: str, shortest: float = 0.1, span: float | None = None) -> DataFrame:
+    """What the intervals leave of [0, duration]; remnants up to ``shortest`` go. ``durations``: (key, duration).
+
+    With ``span`` intervals are merged within stretches first, as by ``merged``.
+    """
+    covered = df.select(key, "start", "end")
+    if span:
+        covered = _merged(covered.withColumn("_s", F.floor(F.col("start") / span)), [key, "_s"], 0.0, False, []).drop("_s")
+    covered = _merged(covered, [key], 0.0, False, [])
     w = Window.partitionBy(key).orderBy("start")
     gaps = covered.select(key, F.coalesce(F.lag("end").over(w), F.lit(0.0)).alias("_a"), F.col("start").alias("_b"))
     tails = durations.join(covered.groupBy(key).agg(F.max("end").alias("_last")), key, "left").select(key, F.coalesce("_last", F.lit(0.0)).alias("_a"), F.col("duration").alias("_b"))
@@ -43,10 +49,20 @@ def offsets(df: DataFrame, key: str, order: list[Column], duration: str = "durat
 
 
 def within_budget(df: DataFrame, key: str, target: float, ratio: float = 2.0) -> DataFrame:
-    """The best-scored rows until their durations reach ``target``, with the one that crosses it; all rows if the total is at most ``ratio * target``."""
+    """The best-scored rows until their durations reach ``target``, with the one that crosses it; all rows if the total is at most ``ratio * target``.
+
+    Durations aren't negative. A key's rows are dealt out, and of each part go first those that come after more than both limits in their part
+    alone: the budget doesn't reach them, and what stays of the part still exceeds the total. So a key of any size is ordered by many tasks.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = max(ratio, 1.0) * target * (1 + 1e-9)
+    best, until = [F.desc("score"), F.col("start")], (Window.unboundedPreceding, -1)
+    own = Window.partitionBy(key, "_part").orderBy(*best).rowsBetween(*until)
+    d = df.withColumn("_part", F.pmod(F.xxhash64("score", "start"), F.lit(parts)))
+    d = d.withColumn("_before", F.coalesce(F.sum("duration").over(own), F.lit(0.0))).where(F.col("_before") <= limit)
     total = F.sum("duration").over(Window.partitionBy(key))
-    before = F.coalesce(F.sum("duration").over(Window.partitionBy(key).orderBy(F.desc("score"), "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return df.withColumns({"_total": total, "_before": before}).where((F.col("_total") <= ratio * target) | (F.col("_before") < target)).drop("_total", "_before")
+    before = F.coalesce(F.sum("duration").over(Window.partitionBy(key).orderBy(*best).rowsBetween(*until)), F.lit(0.0))
+    return d.withColumns({"_total": total, "_before": before}).where((F.col("_total") <= ratio * target) | (F.col("_before") < target)).drop("_total", "_before", "_part")
 
 
 def decay_end(peaks: DataFrame, series: DataFrame, factor: float, reach: int, key: str = "asset", idx: str = "idx", value: str = "value") -> DataFrame:

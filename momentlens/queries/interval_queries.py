@@ -26,7 +26,7 @@ def w07_strict_merge(spark: SparkSession, sf: str) -> DataFrame:
 def w08_complement(spark: SparkSession, sf: str) -> DataFrame:
     d = src.shipments(spark, sf)
     ends = d.groupBy("source").agg((F.max("end") + 10).alias("duration"))
-    return intervals.complement(d, ends, "source").select("source", R("start"), R("end"))
+    return intervals.complement(d, ends, "source", span=SPAN).select("source", R("start"), R("end"))
 
 
 def w09_offsets(spark: SparkSession, sf: str) -> DataFrame:

@@ -97,8 +97,8 @@ def k05_enriched(spark: SparkSession, sf: str) -> DataFrame:
 def t10_label_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Labels given before the ranking and after it."""
     d = plans.rated(src.hourly(spark, sf), plans.THREE, 5).select("asset", "idx", "value")
-    first = manifest.labelled(d, [F.col("asset"), F.col("idx")]).withColumnRenamed("label", "before").drop("rank")
-    return manifest.labelled(first, [F.desc("value"), F.col("asset"), F.col("idx")]).select("asset", "idx", "before", F.col("label").alias("after"))
+    first = plans.numbered(d, [F.col("asset"), F.col("idx")]).withColumnRenamed("label", "before").drop("rank")
+    return plans.numbered(first, [F.desc("value"), F.col("asset"), F.col("idx")]).select("asset", "idx", "before", F.col("label").alias("after"))
 
 
 def m02_spring(spark: SparkSession, sf: str) -> DataFrame:

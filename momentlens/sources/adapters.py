@@ -32,9 +32,13 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """asset (user), t (number of the event in time), value."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("asset"), (F.row_number().over(w) - 1).cast("double").alias("t"), "value")
+    """asset (user), t (number of the event in time), value. Events are numbered within a user's day; only days' counts meet for all of a user."""
+    d = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "value")
+    before = Window.partitionBy("_user").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = d.groupBy(F.col("user_id").alias("_user"), F.col("day").alias("_day")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_earlier", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    d = d.join(days, F.col("user_id").eqNullSafe(F.col("_user")) & F.col("day").eqNullSafe(F.col("_day")))
+    w = Window.partitionBy("user_id", "day").orderBy("ts", "event_id")
+    return d.select(F.col("user_id").alias("asset"), (F.col("_earlier") + F.row_number().over(w) - 1).cast("double").alias("t"), "value")
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from momentlens.functions import scalars as fn
 from momentlens.operators import intervals, manifest, vectors
+from momentlens.plans import moments as plans
 
 
 def frame(spark, rows):
@@ -44,6 +45,35 @@ def test_budget_keeps_the_crossing_segment(spark):
     assert len(pairs(intervals.within_budget(d, "source", 6.0))) == 3
 
 
+@pytest.mark.parametrize("target", [0.0, 7.0, 90.0, 100000.0])
+def test_budget_of_a_large_key_matches_a_loop(spark, target):
+    rng = np.random.default_rng(5)
+    rows = [(10 * k, 10 * k + n, s) for k, (n, s) in enumerate(zip(rng.integers(0, 6, 800).tolist(), rng.integers(0, 9, 800).tolist(), strict=True))]
+    total, kept, spent = sum(b - a for a, b, _ in rows), [], 0.0
+    for a, b, _ in sorted(rows, key=lambda r: (-r[2], r[0])):
+        if total <= 2 * target or spent < target:
+            kept.append((a, b))
+        spent += b - a
+    d = frame(spark, rows).withColumn("duration", F.col("end") - F.col("start"))
+    assert pairs(intervals.within_budget(d, "source", target)) == sorted(kept)
+
+
+def test_complement_by_stretches_is_the_same(spark):
+    rng = np.random.default_rng(6)
+    d = frame(spark, [(a, a + n, 0) for a, n in zip(rng.integers(0, 300, 80).tolist(), rng.integers(1, 9, 80).tolist(), strict=True)])
+    length = spark.createDataFrame([("k", 320.0)], "source string, duration double")
+    assert pairs(intervals.complement(d, length, "source", span=20.0)) == pairs(intervals.complement(d, length, "source"))
+
+
+def test_numbers_over_all_rows(spark):
+    values = np.random.default_rng(7).permutation(3000).tolist()
+    d = spark.createDataFrame([(v, v % 7) for v in values], "v long, k long").repartition(5)
+    order = sorted(values, key=lambda v: (-(v % 7), v))
+    got = plans.numbered(d, [F.desc("k"), F.col("v")]).orderBy("rank").collect()
+    assert [(r["v"], r["rank"]) for r in got] == list(zip(order, range(3000), strict=True))
+    assert plans.numbered(d.limit(0), [F.col("v")]).count() == 0
+
+
 def test_trims(spark):
     specs = spark.createDataFrame([("d:0:3", 0), ("F:2:", 1), ("A::1", 2), ("B", 3), ("d:1:2", 4)], "spec string, pos int")
     segments = spark.createDataFrame([(x, 10.0, 14.0) for x in "ABCDF"], "label string, start double, end double")
