@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from momentlens.llm import decontaminate, near_duplicates, ngram_score, packing, personal_data, quality_classifier, quality_rules, secrets, token_counts, toxicity
+from momentlens.llm import decontaminate, line_dedup, merkle_manifest, near_duplicates, ngram_score, packing, personal_data, quality_classifier, quality_rules, secrets, token_counts, toxicity, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_secrets": secrets.query,
         "op9_decontamination": decontaminate.query,
         "op10_quality_rules": quality_rules.query,
+        "op11_whitening": whitening.query,
+        "op12_line_dedup": line_dedup.query,
+        "op13_merkle_manifest": merkle_manifest.query,
     }
 
 
@@ -24,4 +27,6 @@ def oracle_sql() -> dict:
     return {
         "op9_decontamination": decontaminate.ORACLE,
         "op10_quality_rules": quality_rules.oracle(),
+        "op12_line_dedup": line_dedup.ORACLE,
+        "op13_merkle_manifest": merkle_manifest.ORACLE,
     }
