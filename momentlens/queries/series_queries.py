@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,11 @@ from momentlens.operators import report, series, signals
 from momentlens.plans import moments as plans
 from momentlens.queries import sql
 from momentlens.sources import adapters as src
+from momentlens.sources import wav
+from momentlens.sources.files import scratch
 
+#: Samples of a WAV file of the queries.
+RECORDING = 4096
 R = lambda c, n=6: F.round(c, n).alias(c)
 
 
@@ -20,6 +26,15 @@ def a01_block_rms(spark: SparkSession, sf: str) -> DataFrame:
     return signals.block_rms(d, 8).select("asset", "idx", R("value"))
 
 
+def s06_wav_energy(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of each type as samples of recordings: written as WAV files, read back in ranges of bytes, and their energy in blocks."""
+    d = src.levels(spark, sf, "event_type").select("asset", F.col("t").alias("idx"), (F.col("value") / 1000 - 0.25).alias("value"))
+    path = f"{scratch(spark)}/recordings-{uuid.uuid4().hex}"
+    wav.write_recordings(d, path, 8000, RECORDING)
+    back = wav.continued(wav.samples(spark, path, mono=True, split_bytes=RECORDING), RECORDING)
+    return signals.block_rms(back, 64).select("asset", "idx", R("value", 5))
+
+
 def a02_minmax(spark: SparkSession, sf: str) -> DataFrame:
     return signals.normalized(src.hourly(spark, sf), ["clip", "panns", "flow", "mae"]).select("asset", "idx", R("clip"), R("panns"), R("flow"), R("mae"))
 
@@ -109,7 +124,7 @@ def t02_first_peaks(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("asset", "idx", F.round("value", 6).alias("score"), strongest(named).alias("primary_signal"), F.size(why).cast("long").alias("n_reasons"), rating_tier(F.col("value")).alias("rating"))
 
 
-QUERIES = {f.__name__: f for f in (a01_block_rms, a02_minmax, a04_statistics, a06_triggers, j01_aligned, j02_labelled_sum, p04_fused, w01_moving_average, w02_running_median, w03_rises, w04_peaks, w05_low_runs, w12_hopping_max, w13_batches, a17_energy, t01_top_moments, t02_first_peaks)}
+QUERIES = {f.__name__: f for f in (a01_block_rms, s06_wav_energy, a02_minmax, a04_statistics, a06_triggers, j01_aligned, j02_labelled_sum, p04_fused, w01_moving_average, w02_running_median, w03_rises, w04_peaks, w05_low_runs, w12_hopping_max, w13_batches, a17_energy, t01_top_moments, t02_first_peaks)}
 
 _FOUR, _THREE = dict(plans.FOUR.weights), dict(plans.THREE.weights)
 _TAPS = """len AS (SELECT asset, count(*) AS n FROM sig GROUP BY 1),
@@ -119,6 +134,9 @@ _EVENTS = f"ev AS (SELECT event_type AS asset, {sql.HOUR} AS idx, CAST(json_extr
 _NAMES = ", ".join("({}, '{}')".format(k, v.replace("'", "''")) for k, v in (profiles.AUDIO_LABELS | profiles.MORE_AUDIO_LABELS).items())
 ORACLES = {
     "a01_block_rms": f"WITH {sql.LEVELS} SELECT asset, CAST(floor(t / 8) AS BIGINT) AS idx, round(sqrt(avg(value * value)), 6) AS value FROM lev GROUP BY 1, 2 HAVING count(*) = 8",
+    "s06_wav_energy": """WITH lev AS (SELECT event_type AS asset, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t, value FROM events),
+q AS (SELECT asset, t, greatest(-32768, least(32767, round_even((value / 1000 - 0.25::DOUBLE) * 32768, 0))) / 32768 AS v FROM lev)
+SELECT asset, CAST(t // 64 AS BIGINT) AS idx, round(sqrt(avg(v * v)), 5) AS value FROM q GROUP BY 1, 2 HAVING count(*) = 64""",
     "a02_minmax": f"WITH {sql.SIGNALS}, {sql.normal(['clip', 'panns', 'flow', 'mae'])} SELECT asset, idx, round(clip, 6) AS clip, round(panns, 6) AS panns, round(flow, 6) AS flow, round(mae, 6) AS mae FROM nrm",
     "a04_statistics": f"WITH {sql.SIGNALS} SELECT asset, round(avg(clip), 6) AS mean, round(max(clip), 6) AS max, round(min(clip), 6) AS min, round(median(clip), 6) AS median FROM sig GROUP BY 1",
     "a06_triggers": f"""WITH {_EVENTS.format(step=400, of=2)}, lab AS (SELECT * FROM (VALUES {_NAMES}) AS l(label_id, name)), p AS (SELECT asset, idx, label_id, max(value / 500) AS prob FROM ev SEMI JOIN lab USING (label_id) GROUP BY 1, 2, 3),

@@ -31,9 +31,9 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spine.join(some, ["asset", "idx"], "left").fillna(0.0)
 
 
-def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """asset (user), t (number of the event in time), value. Events are numbered within a user's day; only days' counts meet for all of a user."""
-    d = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "value")
+def levels(spark: SparkSession, sf_dir: str, key: str = "user_id") -> DataFrame:
+    """asset (user, or another ``key``), t (number of the event in time), value. Events are numbered within an asset's day; only days' counts meet for all of an asset."""
+    d = table(spark, sf_dir, "events").select(F.col(key).alias("user_id"), F.to_date("ts").alias("day"), "ts", "event_id", "value")
     before = Window.partitionBy("_user").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     days = d.groupBy(F.col("user_id").alias("_user"), F.col("day").alias("_day")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_earlier", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     d = d.join(days, F.col("user_id").eqNullSafe(F.col("_user")) & F.col("day").eqNullSafe(F.col("_day")))
