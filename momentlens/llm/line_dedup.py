@@ -12,7 +12,7 @@ Everything is column expressions and joins; there is no Python code on executors
 Defined cases: a null or empty text is one empty line and stays as it is; keys of fewer than ``LEAST_CHARS`` code points are never dropped;
 rows that share an id are one document for counts, and each row has the bitmap of its own text; a null id is one document,
 smaller than all others; all lines of a key stay in the document that keeps it, repeated ones too; an empty table gives an empty result;
-further input columns stay as they are, those named like the operator's own (``l_*``) are replaced. Keys are equal if their 128-bit
+further input columns stay as they are; only ``with_bitmaps`` replaces those named like the operator's own (``l_*``). Keys are equal if their 128-bit
 hashes are.
 """
 
@@ -99,8 +99,9 @@ def kept_text(text_col: str = "text") -> Column:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """``docs`` without the lines that another document keeps."""
-    d = with_bitmaps(docs, keep_bitmaps(docs, id_col, text_col, least_chars, least_docs), id_col, text_col)
-    return d.withColumn(text_col, kept_text(text_col)).select(*docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("own"), id_col, text_col)
+    d = with_bitmaps(own, keep_bitmaps(docs, id_col, text_col, least_chars, least_docs), id_col, text_col)
+    return d.select(*[kept_text(text_col).alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

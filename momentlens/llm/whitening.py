@@ -84,11 +84,12 @@ def rotation(a: float, b: float) -> tuple[float, float]:
 def tridiagonal(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Diagonal, subdiagonal and orthogonal q with a = q t q'."""
     a, n = a.copy(), len(a)
-    q = np.eye(n)
+    q, least = np.eye(n), np.finfo(float).eps * np.linalg.norm(a)
     for k in range(n - 2):
         v = a[k + 1 :, k].copy()
         length = np.linalg.norm(v)
-        if length == 0:
+        if length <= least:  # no more than rounding leaves of a zero
+            a[k + 1 :, k] = 0
             continue
         v[0] += np.copysign(length, v[0])
         v /= np.linalg.norm(v)
