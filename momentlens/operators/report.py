@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from momentlens.functions.scalars import rating_tier
+from momentlens.operators import ranks
 
 
 def first_of_each(df: DataFrame, n: int, key: str = "asset", order: list[Column] | None = None) -> DataFrame:
@@ -15,8 +16,10 @@ def first_of_each(df: DataFrame, n: int, key: str = "asset", order: list[Column]
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def statistics(df: DataFrame, value: str, key: str = "asset") -> DataFrame:
-    return df.groupBy(key).agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"), F.median(value).alias("median"))
+def statistics(df: DataFrame, value: str, key: str = "asset", most: int | None = None) -> DataFrame:
+    """Mean, extremes and exact median of each key's values. ``most``: a bound of a key's rows, if one is known."""
+    median = ranks.percentiles(df, 0.5, key, value, most=most).withColumnRenamed("percentile", "median")
+    return df.groupBy(key).agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min")).join(median, key, "left")
 
 
 def top_entries(m: Column, n: int = 10) -> Column:

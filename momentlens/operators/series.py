@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentlens.operators import peaks as by_blocks
+from momentlens.operators import ranks
+
 BLOCK = 50_000
 
 
@@ -62,22 +65,23 @@ def local_maxima(df: DataFrame, key: str = "asset", idx: str = "idx", value: str
     return runs.where(high).select(key, middle, value).unionByName(whole.where(high).select(key, middle, value))
 
 
-def above_percentile(df: DataFrame, of: DataFrame, p: float, key: str = "asset", value: str = "value", where: Column | None = None) -> DataFrame:
-    """Rows of ``df`` at or above the exact, interpolated percentile of ``of`` (of the values that ``where`` picks) in their asset."""
+def above_percentile(df: DataFrame, of: DataFrame, p: float, key: str = "asset", value: str = "value", where: Column | None = None, most: int | None = None) -> DataFrame:
+    """Rows of ``df`` at or above the exact, interpolated percentile of ``of`` (of the values that ``where`` picks) in their asset. ``most``: a bound of an asset's rows, if one is known."""
     x = F.col(value) if where is None else F.when(where, F.col(value))
-    floors = of.groupBy(key).agg(F.percentile(x, F.lit(p)).alias("_floor"))
-    return df.join(floors, key).where(F.col(value) >= F.col("_floor"))
+    floors = ranks.percentiles(of.select(key, x.alias("_x")), p, key, "_x", most=most)
+    return df.join(floors, key).where(F.col(value) >= F.col("percentile")).drop("percentile")
 
 
-def spaced(peaks: DataFrame, distance: int, key: str = "asset", idx: str = "idx", value: str = "value", block: int = BLOCK, rounds: int = 3) -> DataFrame:
+def spaced(peaks: DataFrame, distance: int, key: str = "asset", idx: str = "idx", value: str = "value", block: int = BLOCK, rounds: int = 0, last: int | None = None) -> DataFrame:
     """Peaks that no higher kept peak is nearer to than ``distance``; of equal ones the later goes first.
 
-    In blocks with a halo of what ``rounds`` reach, each round keeps the peaks that are highest within ``distance`` of those left, and
-    drops the others there. Only what the rounds leave undecided is ordered by asset; there, peaks further apart than ``distance``
-    never meet, so each chain of near ones is settled alone.
+    They are decided in blocks; those that depend on peaks outside of their block go through larger ones. With ``rounds``, windows come first: in blocks with a halo of what rounds
+    reach, each round keeps the peaks that are highest within ``distance`` of those left, and drops the others there. ``last``: the last place of any asset, if it is known.
     """
     if distance <= 1:
         return peaks.select(key, idx, value)
+    if not rounds:
+        return by_blocks.spaced(peaks, distance, key, idx, value, block, last)
     halo = 2 * rounds * distance
     size = max(block, 2 * halo)
     d = peaks.select(key, idx, value, F.explode(F.sequence(F.floor((F.col(idx) - halo) / size), F.floor((F.col(idx) + halo) / size))).alias("_b")).withColumn("_kept", F.lit(None).cast("boolean"))
@@ -87,44 +91,12 @@ def spaced(peaks: DataFrame, distance: int, key: str = "asset", idx: str = "idx"
         d = d.withColumn("_won", open_ & (F.max(F.when(open_, F.struct(value, idx))).over(w)[idx] == F.col(idx)))
         d = d.withColumn("_kept", F.when(F.col("_won"), True).when(open_ & F.max("_won").over(w), False).otherwise(F.col("_kept"))).drop("_won")
     d = d.where(F.floor(F.col(idx) / size) == F.col("_b")).drop("_b")
-    w = Window.partitionBy(key).orderBy(idx)
-    fresh = F.coalesce((F.col(idx) - F.lag(idx).over(w) >= distance).cast("int"), F.lit(0))
-    chains = d.where("_kept IS NULL").withColumn("_chain", F.sum(fresh).over(w)).groupBy(key, "_chain")
-    ranked = chains.agg(F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("y"), (-F.col(idx)).alias("i")))).alias("_all"))
-    none = F.filter("_all", lambda x: F.lit(False))
-    kept = F.aggregate("_all", none, lambda acc, x: F.when(F.exists(acc, lambda z: F.abs(z["i"] - x["i"]) < distance), acc).otherwise(F.concat(acc, F.array(x))))
-    rest = ranked.select(key, F.explode(kept).alias("_k")).select(key, (-F.col("_k.i")).alias(idx), (-F.col("_k.y")).alias(value))
-    return d.where("_kept").select(key, idx, value).unionByName(rest)
-
+    return d.where("_kept").select(key, idx, value).unionByName(by_blocks.spaced(d.where("_kept IS NULL"), distance, key, idx, value, block, last))
 
-def prominent(peaks: DataFrame, series: DataFrame, least: Column, key: str = "asset", idx: str = "idx", value: str = "value", block: int = 512) -> DataFrame:
-    """``peaks`` with their prominence, where it is at least ``least`` (a column of ``peaks``).
 
-    A peak's walls are the nearest higher places on both sides. It is compared with the extremes of its asset's blocks
-    and only with the places of its own block and of those that hold a wall, not with all places of the asset.
-    """
-    y, at, b, own = F.col(value), F.col(idx), F.col("_b"), F.col("_own")
-    of_asset = F.col(key) == F.col("_k")
-    places = series.select(F.col(key).alias("_k"), F.floor(F.col(idx) / block).alias("_b"), F.col(idx).alias("_i"), F.col(value).alias("_y"))
-    blocks = places.groupBy("_k", "_b").agg(F.max("_y").alias("_high"), F.min("_y").alias("_low"))
-    names = [*peaks.columns, "_own"]
-    sides = lambda pick, left, right: (F.max(F.when(pick & left, F.col("_b"))).alias("_l"), F.min(F.when(pick & right, F.col("_b"))).alias("_r"))
-    walled = peaks.withColumn("_own", F.floor(at / block)).join(blocks, of_asset).groupBy(*names).agg(*sides(F.col("_high") > y, b < own, b > own))
-
-    def with_places(d: DataFrame) -> DataFrame:
-        d = d.withColumn("_at", F.explode(F.array_distinct(F.array_compact(F.array("_l", "_own", "_r")))))
-        return d.join(places, of_asset & (F.col("_at") == b))
-
-    higher, i = F.col("_y") > y, F.col("_i")
-    walls = with_places(walled).groupBy(*names).agg(F.max(F.when(higher & (i < at), i)).alias("_wl"), F.min(F.when(higher & (i > at), i)).alias("_wr"))
-    walls = walls.withColumns({"_l": F.floor(F.col("_wl") / block), "_r": F.floor(F.col("_wr") / block)})
-    inside = (F.col("_wl").isNull() | (i > F.col("_wl"))) & (F.col("_wr").isNull() | (i < F.col("_wr")))
-    lows = lambda left, right, low: (F.when(left, low).alias("_ll"), F.when(right, low).alias("_lr"))
-    near = with_places(walls).where(inside).select(*peaks.columns, *lows(i <= at, i >= at, F.col("_y")))
-    between = ((b < own) & (F.col("_l").isNull() | (b > F.col("_l"))), (b > own) & (F.col("_r").isNull() | (b < F.col("_r"))))
-    far = walls.join(blocks, of_asset).where(between[0] | between[1]).select(*peaks.columns, *lows(*between, F.col("_low")))
-    low = near.unionByName(far).groupBy(*peaks.columns).agg(F.min("_ll").alias("_ll"), F.min("_lr").alias("_lr"))
-    return low.withColumn("prominence", y - F.greatest("_ll", "_lr")).where(F.col("prominence") >= least).drop("_ll", "_lr")
+def prominent(peaks: DataFrame, series: DataFrame, least: Column, key: str = "asset", idx: str = "idx", value: str = "value", block: int = BLOCK) -> DataFrame:
+    """``peaks`` with their prominence, where it is at least ``least`` (a column of ``peaks``). A peak's walls are the nearest higher places on both sides."""
+    return by_blocks.prominent(peaks, series, least, key, idx, value, block)
 
 
 def low_runs(df: DataFrame, below: float, shortest: float, key: str = "asset", t: str = "t", value: str = "value", span: float = BLOCK) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentlens.functions.scalars import reasons, segment_label, strongest
-from momentlens.operators import intervals, manifest, series, signals
+from momentlens.operators import intervals, manifest, ranks, series, signals
 from momentlens.operators.vectors import nearest
 from momentlens.sources.files import written
 
@@ -51,15 +51,25 @@ def smoothed(wide: DataFrame, profile: Profile) -> DataFrame:
     return series.moving_average(d, profile.smooth).withColumn("value", F.round("value", 9))
 
 
+def _shared(df: DataFrame, last: int, name: str) -> DataFrame:
+    """What several branches read: written for long series; Spark reuses the exchanges of short ones."""
+    return df if last < ranks.FEW else written(df, name)
+
+
+def _last(df: DataFrame) -> int:
+    """The last place of any asset."""
+    return df.agg(F.max("idx")).first()[0] or 0
+
+
 def moments(wide: DataFrame, profile: Profile) -> DataFrame:
     """(asset, idx, value) of the spaced peaks above each asset's percentile."""
-    smooth = written(smoothed(wide, profile), "smoothed")
-    return series.spaced(_peaks(smooth, profile), profile.distance)
+    last = _last(wide)
+    return _spaced_peaks(_shared(smoothed(wide, profile), last, "smoothed"), profile, last)
 
 
-def _peaks(smooth: DataFrame, profile: Profile) -> DataFrame:
-    peaks = series.above_percentile(series.local_maxima(smooth), smooth, profile.percentile)
-    return written(peaks, "peaks") if profile.distance > 1 else peaks
+def _spaced_peaks(smooth: DataFrame, profile: Profile, last: int) -> DataFrame:
+    peaks = series.above_percentile(series.local_maxima(smooth), smooth, profile.percentile, most=last + 1)
+    return series.spaced(peaks, profile.distance, last=last)
 
 
 def top(found: DataFrame, n: int, fps: float = 2.0, width: float = 15.0) -> DataFrame:
@@ -71,8 +81,9 @@ def top(found: DataFrame, n: int, fps: float = 2.0, width: float = 15.0) -> Data
 def condensed(wide: DataFrame, c: Condense) -> DataFrame:
     """(asset, rank, label, start, end, score): segments that follow each peak's decay, merged, within the budget, in order of time."""
     fps = c.profile.fps
-    smooth = written(smoothed(wide, c.profile), "smoothed")
-    peaks = series.spaced(_peaks(smooth, c.profile), c.profile.distance)
+    last = _last(wide)
+    smooth = _shared(smoothed(wide, c.profile), last, "smoothed")
+    peaks = _spaced_peaks(smooth, c.profile, last)
     grown = intervals.decay_end(peaks, smooth, c.decay, int(c.longest * fps))
     length = smooth.groupBy("asset").agg(((F.max("idx") + 1) / fps).alias("duration"))
     d = grown.join(length, "asset")
@@ -90,9 +101,10 @@ def transients(energy: DataFrame, median: int = 100, smooth: int = 4, distance:
     background = series.running_median(rise, median).withColumnRenamed("value", "_m")
     d = rise.join(background, ["asset", "idx"]).select("asset", "idx", F.greatest(F.col("value") - F.col("_m"), F.lit(0.0)).alias("value"))
     d = written(series.moving_average(d, smooth).withColumn("value", F.round("value", 9)), "onsets")
-    floors = d.where("value > 0").groupBy("asset").agg(F.percentile("value", F.lit(percentile)).alias("floor"))
+    last = _last(d)
+    floors = ranks.percentiles(d.where("value > 0"), percentile, "asset", "value", most=last + 1).withColumnRenamed("percentile", "floor")
     peaks = series.local_maxima(d).join(floors, "asset").where("value >= floor").select("asset", "idx", "value")
-    kept = written(series.spaced(written(peaks, "peaks"), distance).join(floors, "asset"), "spaced-peaks")
+    kept = _shared(series.spaced(peaks, distance, last=last), last, "spaced-peaks").join(floors, "asset")
     return series.prominent(kept, d, F.col("floor") * 0.5).drop("floor")
 
 

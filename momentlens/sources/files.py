@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +10,7 @@ from momentlens.functions.scalars import chunk_id, file_name, suffix
 from momentlens.operators.manifest import MULTI, SINGLE
 from momentlens.operators.report import REPORT
 from momentlens.operators.vectors import fresh
+from momentlens.sources.shared import scratch, written  # noqa: F401
 
 EXTENSIONS = (".mp4", ".mkv", ".avi", ".mov", ".webm")
 #: ffprobe's output, as far as it is used.
@@ -82,23 +79,6 @@ def concat_list(files: DataFrame, path: str, order: str = "rank") -> None:
     files.orderBy(order).select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; an own one only where it is unset and driver and executors are one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="momentlens-")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written to the shared folder and read back: what several branches of a plan read is computed once and survives lost executors."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder that only Spark may be able to read is there."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
