@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from momentlens.functions.scalars import chunk_id
 from momentlens.functions.vectors import cosine, dot, unit
 
-#: Rows of a set of query vectors that are joined as one block.
-QUERY_BLOCK = 1024
-
 
 def chunks(assets: DataFrame, length: int = 30, overlap: int = 5, shortest: float = 2.0, source: str = "source") -> DataFrame:
     """Overlapping chunks of each asset (source, duration) from whole seconds on; assets below a second have none."""

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from momentlens.functions import scalars as fn
-from momentlens.functions.vectors import dot, truncated, unit
-from momentlens.operators import manifest, report, timeline, vectors
+from momentlens.functions.vectors import truncated
+from momentlens.operators import manifest, report, timeline, vector_index, vectors
 from momentlens.plans import moments as plans
 from momentlens.profiles import CALLOUTS_HIGH, CALLOUTS_MIDDLE, NARRATION_HIGH, NARRATION_LOW, NARRATION_MIDDLE
 from momentlens.queries import sql
 from momentlens.sources import adapters as src
+from momentlens.sources.shared import scratch
 
 R = lambda c, n=6: F.round(c, n).alias(c)
 BACKENDS = [("qwen", "qwen"), ("gemma", "gemma")]
@@ -54,19 +57,25 @@ def j12_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.nearest(src.chunk_index(spark, sf), _query_vector(spark, sf), 25).select("chunk_id", "source", R("similarity"))
 
 
+def _indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, str]:
+    """All vectors, those whose id is divisible by 50 as queries, and the path of an index of all."""
+    d, path = src.table(spark, sf, "embeddings").select("vec_id", "embedding"), f"{scratch(spark)}/vectors-{uuid.uuid4().hex}"
+    vector_index.build(d, path, "vec_id")
+    return d, d.where("vec_id % 50 = 0"), path
+
+
 def j12_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Searches of every vector whose id is divisible by 50, against all: similarity of at least 0.1."""
-    # lengths are taken out once for each vector, not for each pair
-    d = src.table(spark, sf, "embeddings").select("vec_id", unit(F.col("embedding")).alias("u"))
-    q = d.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("u").alias("q"))
-    # a stated set of queries is sent to the rows in blocks of a checked size
-    n, block = q.count(), vectors.QUERY_BLOCK
-    parts = None
-    for k in range(-(-n // block) or 1):
-        part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // block) or 1)) == k)
-        hit = d.join(F.broadcast(part), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", dot(F.col("u"), F.col("q")).alias("similarity")).where("similarity >= 0.1")
-        parts = hit if parts is None else parts.unionByName(hit)
-    return parts.select("query_id", "vec_id", R("similarity"))
+    """Searches of every vector whose id is divisible by 50, against all, by the index: similarity of at least 0.1."""
+    _, q, path = _indexed(spark, sf)
+    hit = vector_index.within(q, path, 0.1, "vec_id").where("_q <> _id")
+    return hit.select(F.col("_q").alias("query_id"), F.col("_id").alias("vec_id"), R("similarity"))
+
+
+def j12_top(spark: SparkSession, sf: str) -> DataFrame:
+    """The five vectors that are most similar to each vector whose id is divisible by 50, itself included."""
+    _, q, path = _indexed(spark, sf)
+    d = vector_index.nearest(q, path, 5, "vec_id")
+    return d.select(F.col("_q").alias("query_id"), F.col("place").cast("long").alias("place"), F.col("_id").alias("vec_id"), R("similarity"))
 
 
 def t03_segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,7 +201,7 @@ def p29_camera(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (s02_media_files, s15_chunks, j04_fresh, p05_contrast, p07_truncated, j12_nearest, j12_search, t03_segments, a10_index_stats, a15_centroids, a14_focal_points, a11_cost, a08_ratings, t05_top_entries, j05_selected, j09_voiceover, j08_accepted, k04_manifest, o05_json, p14_texts, p21_narration, p26_callouts, w18_timeline, a20_length, o11_sound_cues, p29_camera)}
+QUERIES = {f.__name__: f for f in (s02_media_files, s15_chunks, j04_fresh, p05_contrast, p07_truncated, j12_nearest, j12_search, j12_top, t03_segments, a10_index_stats, a15_centroids, a14_focal_points, a11_cost, a08_ratings, t05_top_entries, j05_selected, j09_voiceover, j08_accepted, k04_manifest, o05_json, p14_texts, p21_narration, p26_callouts, w18_timeline, a20_length, o11_sound_cues, p29_camera)}
 
 _THREE = dict(plans.THREE.weights)
 _SIM = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
@@ -212,6 +221,8 @@ x AS (SELECT vec_id, pos, {_SIM.format(a='w', b='v')} AS d FROM u, p) SELECT vec
     "p07_truncated": f"WITH t AS (SELECT vec_id, {_U.format(v='embedding[1:16]')} AS w FROM embeddings) SELECT vec_id, unnest(range(0, 16)) AS pos, round(unnest(w), 6) AS x FROM t",
     "j12_nearest": f"WITH {sql.CHUNKS}, {_Q}, s AS (SELECT chunk_id, source, {_COS.format(a='embedding', b='qv')} AS sim FROM chk, q) SELECT chunk_id, source, round(sim, 6) AS similarity FROM s ORDER BY sim DESC, chunk_id LIMIT 25",
     "j12_search": f"WITH s AS (SELECT b.vec_id AS query_id, a.vec_id, {_COS.format(a='a.embedding', b='b.embedding')} AS sim FROM embeddings a JOIN embeddings b ON b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT query_id, vec_id, round(sim, 6) AS similarity FROM s WHERE sim >= 0.1",
+    "j12_top": f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id, {_COS.format(a='a.embedding', b='b.embedding')} AS sim FROM embeddings a JOIN embeddings b ON b.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS place, vec_id, round(sim, 6) AS similarity FROM s QUALIFY place <= 5""",
     "t03_segments": f"""WITH {sql.CHUNKS}, {_Q}, k AS (SELECT source, s, e, {_COS.format(a='embedding', b='qv')} AS sim, chunk_id FROM chk, q ORDER BY sim DESC, chunk_id LIMIT 50),
 h AS (SELECT source, greatest(0.0, s - 2) AS s, least(duration, e + 2) AS e, sim AS score FROM k JOIN dur USING (source) WHERE sim >= 0.1), {sql.merged('h', 'source', 5.0, False)},
 f AS (SELECT source, s, CASE WHEN e - s < 3 THEN least(duration, s + 3) WHEN e - s > 30 THEN s + 30 ELSE e END AS e, score FROM mrg JOIN dur USING (source)),
