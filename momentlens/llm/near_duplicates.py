@@ -7,7 +7,7 @@ and words in which every lane exceeds the radius are abandoned. Lanes that are c
 Only links that join two components go on, so that a block gives fewer links than members. Components come from
 alternating large-star and small-star rounds.
 
-A block of more than ``TILE`` members is dealt out as tiles, each member to one of them. What the links inside of tiles leave
+A block of more than ``TILE`` members, or of more than ``TILE_BYTES`` where shingle sets are compared, is dealt out as tiles, each member to one of them. What the links inside of tiles leave
 outside a block's largest component is then compared with all of the block, tile by tile. So a large group of near copies, which
 its tiles connect, costs as much as its members, and no link is lost.
 
@@ -20,7 +20,8 @@ min-hashes (a pair at 0.8 misses all of ``BANDS`` with 0.002), and fingerprints
 shingle votes once, so that ``WIDE`` differing bits tell 0.8 from less (39 expected at 0.8, with a standard deviation
 of 5.7; 69 at 0.5). The bit-sliced comparison forms candidate components; in each of those it is made
 once more over all members, and a pair is linked if the distinct 64-bit shingle hashes of its texts have that Jaccard
-similarity exactly. Only texts of candidate components are read again for that.
+similarity exactly. Only texts of candidate components are read again for that, and only their hashes are compared, so that a task holds
+two tiles of hashes and no texts.
 
 Defined cases: a null or blank text has no shingles and fingerprint zero, which links like any other; very long texts are read whole; repeated rows and
 ids get the same answer; ties resolve to the smallest id; a null id never names a component while
@@ -36,7 +37,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,8 +49,9 @@ RADIUS = 4
 #: Members of a block that one task compares with each other.
 TILE = 2048
 SIMILARITY = 0.8
-#: The same where texts are compared.
+#: The same where shingle sets are compared, and the bytes of their hashes.
 TEXT_TILE = 256
+TILE_BYTES = 16 << 20
 WIDE_BITS = 256
 WIDE = 60
 BANDS, ROWS = 12, 4
@@ -286,8 +288,20 @@ def _confirmed(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity:
         yield from of.joined(a[alike], b[alike])
 
 
-def _compared(blocks: DataFrame, radius: int, similarity: float | None, shingle: int) -> DataFrame:
-    """Links (a, b) of nodes that connect what is linked inside of each ``block``; with ``similarity`` by the texts in ``s_text``."""
+def with_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``texts`` with ``s_set`` in place of ``s_text``: the distinct hashes of its shingles in order, eight bytes each, and ``s_bytes``."""
+    names = [c for c in texts.columns if c != "s_text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in text_chunks(batches, "s_text"):
+            sets = [shingle_set(t, shingle).tobytes() for t in found]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(sets, pa.binary()), pa.array(list(map(len, sets)), pa.int64())], names=[*names, "s_set", "s_bytes"])
+
+    return in_arrow(texts, run, T.StructType([*(texts.schema[k] for k in names), T.StructField("s_set", T.BinaryType()), T.StructField("s_bytes", T.LongType())]))
+
+
+def _compared(blocks: DataFrame, radius: int, similarity: float | None) -> DataFrame:
+    """Links (a, b) of nodes that connect what is linked inside of each ``block``; with ``similarity`` by the sets in ``s_set``."""
     binary = isinstance(blocks.schema["s_fp"].dataType, T.BinaryType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +315,7 @@ def _compared(blocks: DataFrame, radius: int, similarity: float | None, shingle:
             of, pairs = Components(len(node)), []
             for i, j in near(fp, block, radius, of):
                 if similarity is not None and sets is None:
-                    sets = [shingle_set(t or b"", shingle) for t in table.column("s_text").cast(pa.large_binary()).to_pylist()]
+                    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("s_set")]
                 pairs.extend(of.joined(i, j) if sets is None else _confirmed(sets, i, j, similarity, of))
             if pairs:
                 at = np.array(pairs, np.int64)
@@ -323,31 +337,41 @@ def _compared(blocks: DataFrame, radius: int, similarity: float | None, shingle:
     return in_arrow(blocks.repartition("block").sortWithinPartitions("block"), run, "a long, b long").distinct()
 
 
-def _linked(keyed: DataFrame, radius: int, tile: int, similarity: float | None = None, shingle: int = SHINGLE) -> DataFrame:
-    """Links (a, b) of nodes in ``keyed`` (key, s_node, s_fp and, with ``similarity``, s_text) that connect all that are linked in a block."""
-    large = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile), "large-blocks")
-    dealt = keyed.join(large, "key", "left").withColumn("tiles", F.ceil(F.coalesce("n", F.lit(1)) / tile).cast("int"))
-    own = F.pmod(F.xxhash64("s_node"), F.col("tiles"))
-    inside = _compared(dealt.withColumn("block", F.xxhash64("key", own)).drop("key", "n", "tiles"), radius, similarity, shingle)
+def _tiles(n: str, size: str | None, tile: int) -> Column:
+    """How many tiles hold ``n`` members of ``size`` bytes."""
+    by_members = F.ceil(F.col(n) / tile)
+    return (by_members if size is None else F.greatest(by_members, F.ceil(F.col(size) / TILE_BYTES))).cast("int")
+
+
+def _linked(keyed: DataFrame, radius: int, tile: int, similarity: float | None = None) -> DataFrame:
+    """Links (a, b) of nodes in ``keyed`` (key, s_node, s_fp and, with ``similarity``, s_set and s_bytes) that connect all that are linked in a block."""
+    weighed = similarity is not None
+    own_size = [F.sum("s_bytes").alias("size")] if weighed else []
+    weight = ["s_bytes"] if weighed else []
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *own_size)
+    large = written(counts.select("key", _tiles("n", "size" if weighed else None, tile).alias("tiles")).where("tiles > 1"), "large-blocks")
+    dealt = keyed.join(large, "key", "left")
+    own = F.pmod(F.xxhash64("s_node"), F.coalesce("tiles", F.lit(1)))
+    inside = _compared(dealt.withColumn("block", F.xxhash64("key", own)).drop("key", "tiles", *weight), radius, similarity)
     if large.isEmpty():
         return inside
     inside = written(inside, "tile-links")
     roots = components(inside)
-    hot = keyed.select("key", "s_node").join(large, "key").join(roots, F.col("s_node") == F.col("node"), "left").select("key", "n", "s_node", F.coalesce("root", "s_node").alias("root"))
+    hot = keyed.select("key", "s_node", *weight).join(large, "key").join(roots, F.col("s_node") == F.col("node"), "left").select("key", "tiles", "s_node", *weight, F.coalesce("root", "s_node").alias("root"))
     hot = written(hot, "large-block-members")
     most = hot.groupBy("key", "root").agg(F.count(F.lit(1)).alias("of_root")).groupBy("key").agg(F.max_by("root", F.struct("of_root", "root")).alias("main"))
-    rest = written(hot.join(most, "key").where("root != main").select("key", "n", "s_node"), "rest-of-large-blocks")
+    rest = written(hot.join(most, "key").where("root != main").select("key", "tiles", "s_node", *weight), "rest-of-large-blocks")
     if rest.isEmpty():
         return inside
-    size = rest.groupBy("key").agg(F.count(F.lit(1)).alias("r"), F.first("n").alias("n"))
-    size = written(size.select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"), F.ceil(F.col("r") / tile).cast("int").alias("rests")), "large-block-sizes")
+    size = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("tiles").alias("tiles"), *own_size)
+    size = written(size.select("key", "tiles", _tiles("n", "size" if weighed else None, tile).alias("rests")), "large-block-sizes")
     number = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
     members = keyed.join(size, "key")
     spot = lambda k: F.pmod(F.xxhash64("s_node", F.lit(1)), F.col(k)).cast("int")
     all_ = members.withColumns({"x": spot("tiles"), "y": F.explode(number("rests"))})
     few = members.join(rest.select("key", "s_node"), ["key", "s_node"], "left_semi").withColumns({"x": F.explode(number("tiles")), "y": spot("rests")})
-    pairs = all_.unionByName(few.select(all_.columns)).withColumn("block", F.xxhash64("key", "x", "y", F.lit(2))).drop("key", "tiles", "rests", "x", "y")
-    return inside.union(_compared(pairs, radius, similarity, shingle)).distinct()
+    pairs = all_.unionByName(few.select(all_.columns)).withColumn("block", F.xxhash64("key", "x", "y", F.lit(2))).drop("key", "tiles", "rests", "x", "y", *weight)
+    return inside.union(_compared(pairs, radius, similarity)).distinct()
 
 
 def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, n: int = 0) -> DataFrame:
@@ -404,8 +428,8 @@ def _exact_links(docs: DataFrame, d: DataFrame, text_col: str, shingle: int, sim
     # one text of each node; equal texts meet in each task before they are shuffled
     texts = docs.select(F.xxhash64(text_col).alias("s_hash"), F.col(text_col).alias("s_text")).dropDuplicates(["s_hash"])
     # written, so that texts are dealt out once and not for the sizes of components again
-    candidates = written(members.join(texts, "s_hash").drop("s_hash"), "candidates")
-    return _linked(candidates, WIDE, tile, similarity, shingle)
+    candidates = written(with_sets(members.join(texts, "s_hash").drop("s_hash"), shingle), "candidates")
+    return _linked(candidates, WIDE, tile, similarity)
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TEXT_TILE) -> DataFrame:

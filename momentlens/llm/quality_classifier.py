@@ -13,7 +13,7 @@ Fitting uses at most ``MOST_ROWS`` positives and about as many unlabelled docume
 the measures below leave the tasks; scoring reads all rows. Unlabelled rows are drawn row by row, without a shuffle; of a positive id one row is read.
 
 Defined cases: a null or blank text has all measures 0 and is scored by them; very long texts are measured whole; repeated rows are scored
-each; null labels and ids are not learnt from; with no usable positive every score is 0; an empty table gives an
+each; null labels and ids are not learnt from; with no usable positive every score is 0, with fewer than 20 positives or unlabelled rows the prior is taken to be 0.5, as the best bin needs more; an empty table gives an
 empty result; further columns of ``docs`` stay, one named ``c_score`` is replaced.
 """
 

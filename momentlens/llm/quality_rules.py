@@ -41,8 +41,8 @@ RULES = (
     Rule("word_length_low", "mean_word_length", low=1.5),
     Rule("word_length_high", "mean_word_length", high=20),
     Rule("symbols", "symbol_ratio", high=0.25),
-    # distinct function words and one to spare, by the logarithm of the length: none is needed in 27 words, one in 735, two in 20,000
-    Rule("stop_words", "stop_density", low=0.21),
+    # symbols of a word less function words of a word: a text without function words, of whatever length or language, may have fewer symbols
+    Rule("stop_words", "symbols_less_stops", high=0.10),
     Rule("duplicate_lines", "dup_line_ratio", high=0.5),
     Rule("capitals", "capital_ratio", high=0.5),
 )
@@ -55,7 +55,7 @@ def _words(text: Column) -> Column:
 
 
 def measured(docs: DataFrame, text_col: str = "text", n: int = 5) -> DataFrame:
-    """Adds ``q_*`` measures of each whole text. ``q_repeat``: words in n-word windows found at least twice."""
+    """Adds ``q_*`` measures of each whole text. ``q_repeat``: words in n-word windows found at least twice; ``q_stop``: function words."""
     stops = sorted({v for ws in STOP_WORDS.values() for w in ws.split() for v in (w, w.capitalize())})
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.withColumns({"q_words": _words(text), "q_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
@@ -78,7 +78,7 @@ def measured(docs: DataFrame, text_col: str = "text", n: int = 5) -> DataFrame:
         "q_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "q_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
         "q_line_count": F.size("q_lines").cast("long"),
-        "q_stop": F.size(F.array_intersect(F.array(*map(F.lit, stops)), w)),
+        "q_stop": F.size(F.filter(w, lambda x: x.isin(stops))).cast("long"),
         "q_capitals": F.regexp_count(text, F.lit("[A-Z]")).cast("long"),
     }
     # a number of the row in each, so that filters on measures aren't pushed below this projection, where they would be evaluated again for each use
@@ -93,7 +93,7 @@ def _metrics() -> dict[str, Column]:
         "repeat_percent": 100 * F.col("q_repeat") / some,
         "mean_word_length": F.col("q_chars") / some,
         "symbol_ratio": F.col("q_symbols") / some,
-        "stop_density": (F.col("q_stop") + 1) / F.log2(F.greatest(n, F.lit(2)).cast("double")),
+        "symbols_less_stops": (F.col("q_symbols") - F.col("q_stop")) / some,
         "dup_line_ratio": F.col("q_dup_lines") / F.greatest(F.col("q_line_count"), F.lit(1)),
         "capital_ratio": F.col("q_capitals") / chars,
     }
@@ -154,10 +154,10 @@ m AS (
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
          len(ls) AS n_lines, (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) AS caps,
-         len(list_distinct(list_filter(ws, lambda x: x IN ({listed})))) AS stops
+         len(list_filter(ws, lambda x: x IN ({listed}))) AS stops
   FROM w LEFT JOIN covered c ON c.r = w.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND word_chars / n_words BETWEEN 1.5 AND 20 AND n_symbols / n_words <= 0.25
-       AND (stops + 1) / log2(greatest(n_words, 2)::DOUBLE) >= 0.21 AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AND caps / greatest(word_chars, 1) <= 0.5 AS kept
+       AND (n_symbols - stops) / n_words <= 0.10 AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AND caps / greatest(word_chars, 1) <= 0.5 AS kept
 FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 """

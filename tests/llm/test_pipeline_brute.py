@@ -25,12 +25,13 @@ def good(text):
     repeated = {i + j for i in range(n - 4) if grams[tuple(ws[i : i + 5])] > 1 for j in range(5)}
     if 100 * len(repeated) > 20 * n:
         return False
+    symbols = len(re.findall(r"[#*$%&|<>]", text))
     chars, lines = sum(map(len, ws)), [x for x in text.split("\n") if words(x)]
     stops = {v for s in quality_rules.STOP_WORDS.values() for w in s.split() for v in (w, w.capitalize())}
     return (
         1.5 <= chars / n <= 20
-        and len(re.findall(r"[#*$%&|<>]", text)) / n <= 0.25
-        and (len(stops & set(ws)) + 1) / math.log2(n) >= 0.21
+        and symbols / n <= 0.25
+        and (symbols - sum(w in stops for w in ws)) / n <= 0.10
         and (len(lines) - len(set(lines))) / max(1, len(lines)) <= 0.5
         and len(re.findall("[A-Z]", text)) / chars <= 0.5
     )

@@ -168,3 +168,14 @@ def test_measures_can_be_filtered(spark, sf):
     d = quality_rules.judge(docs).select("doc_id", "q_broken", "q_base_failed").join(known, "doc_id").where("not q_base_failed AND quality = 1")
     assert d.groupBy("q_broken").count().collect()
     assert time.perf_counter() - began < 30
+
+
+def test_quality_rules_know_no_length(spark):
+    """Texts without function words, in any language, are judged alike whatever their length is; many symbols in them aren't kept."""
+    from momentlens.llm import quality_rules
+
+    words = [f"слово{k}" for k in range(2000)]
+    rows = [(n, " ".join(words[:n])) for n in (10, 26, 27, 28, 29, 100, 2000)] + [(-n, " ".join(f"{w} #" if i % 5 == 0 else w for i, w in enumerate(words[:n]))) for n in (26, 28, 100)]
+    got = {r["doc_id"]: (r["q_kept"], r["q_broken"]) for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[n][0] for n in (10, 26, 27, 28, 29, 100, 2000))
+    assert all(got[-n] == (False, ["stop_words"]) for n in (26, 28, 100))
