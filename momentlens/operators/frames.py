@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from momentlens.operators.displacement import BLOCK, with_before
 from momentlens.operators.manifest import tolerant_json
 
-#: Places of an asset that one task orders.
-BLOCK = 4096
-
 
 def _stepped(assets: DataFrame, step: Column, key: str) -> DataFrame:
     d = assets.where("fps > 0 AND frames > 0").withColumn("_step", F.greatest(F.lit(1), F.floor(step)).cast("long"))
@@ -46,10 +44,7 @@ def motion(frames: DataFrame, key: str = "asset", idx: str = "idx", pixels: str
 
     Blocks also get the frame before their first one, so that a long asset spreads over tasks.
     """
-    own, after = F.floor(F.col(idx) / block), F.floor((F.col(idx) + 1) / block)
-    d = frames.withColumn("_b", F.explode(F.array_distinct(F.array(own, after))))
-    before = F.lag(pixels).over(Window.partitionBy(key, "_b").orderBy(idx))
-    d = d.withColumn("_before", before).where(own == F.col("_b"))
+    d = with_before(frames, key, idx, pixels, block)
     change = F.zip_with(F.col(pixels), F.col("_before"), lambda a, b: F.abs(a.cast("double") - b.cast("double")))
     return d.select(key, idx, F.coalesce(mean_of(change), F.lit(0.0)).alias("value"))
 

@@ -60,8 +60,38 @@ def flattened(reports: DataFrame, array: str = "highlights") -> DataFrame:
     return reports.select("*", F.posexplode(array).alias("pos", "item")).drop(array)
 
 
+#: A whole string, a brace, or what is neither.
+_TOKEN = r'(?s)"(?:[^"\\]|\\.)*"|[{}]|[^{}"]+|"'
+
+
+def outermost(text: Column) -> Column:
+    """The whole objects of a text, each from a brace to the one that closes it; braces in strings don't count. One for each brace that is ever closed, in order."""
+    braces = F.greatest(F.lit(0), F.size(F.split(text, r"\{")) - 1)
+    rest = F.when(braces > 0, F.transform(F.sequence(F.lit(1), braces), lambda k: F.concat(F.lit("{"), F.call_function("substring_index", text, F.lit("{"), k - braces - 1))))
+
+    def step(s: Column, token: Column) -> Column:
+        depth = s["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        place = s["place"] + F.length(token)
+        return F.struct(depth.alias("depth"), place.alias("place"), F.when(s["end"] > 0, s["end"]).when(depth == 0, place).otherwise(0).alias("end"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("place"), F.lit(0).alias("end"))
+    end = lambda x: F.aggregate(F.regexp_extract_all(x, F.lit(_TOKEN), F.lit(0)), start, step)["end"]
+    whole = F.transform(rest, lambda x: F.left(x, end(x)))
+    return F.coalesce(F.filter(whole, lambda x: x != ""), F.array().cast("array<string>"))
+
+
+def tolerant_variant(text: Column, required: str) -> Column:
+    """The whole text as JSON of any shape, else the first of its objects that parses and has the required field, else null."""
+    has = lambda v: F.try_variant_get(v, f"$.{required}", "variant").isNotNull()
+    whole = F.try_parse_json(text)
+    inner = F.filter(F.transform(outermost(text), F.try_parse_json), has)
+    return F.when(F.coalesce(has(whole), F.lit(False)), whole).otherwise(F.get(inner, F.lit(0)))
+
+
 def tolerant_json(text: Column, schema: str, default: Column, required: str) -> Column:
-    """The whole text as JSON, else its outermost braces, else a default."""
-    whole = F.from_json(text, schema)
-    inner = F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), schema)
-    return F.when(whole[required].isNotNull(), whole).when(inner[required].isNotNull(), inner).otherwise(default)
+    """The fields of ``schema`` from the whole text as JSON, else from its first object that has them, else a default; a field of another type than the schema's is null."""
+    fields = T.StructType.fromDDL(schema).fields
+    found = lambda v: F.struct(*[F.try_variant_get(v, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields])
+    # one value for all fields: a variant isn't parsed again for each
+    got = F.transform(F.array(tolerant_variant(text, required)), found)[0]
+    return F.when(got[required].isNotNull(), got).otherwise(default)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from momentlens.functions import scalars as fn
-from momentlens.operators import frames, timeline
+from momentlens.operators import displacement, frames, timeline
 from momentlens.sources import adapters as src
 
 
@@ -50,6 +50,13 @@ def a21_motion(spark: SparkSession, sf: str) -> DataFrame:
     return frames.motion(d).select("asset", "idx", F.round("value", 6).alias("value"))
 
 
+def a21_displacement(spark: SparkSession, sf: str) -> DataFrame:
+    """The same frames, eight pixels wide: the mean displacement of their four blocks."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    d = src.table(spark, sf, "embeddings").select(F.col("label").alias("asset"), place.cast("long").alias("idx"), F.col("embedding").alias("pixels"))
+    return displacement.motion(d, 8, side=4, reach=2, levels=1).select("asset", "idx", F.round("value", 6).alias("value"))
+
+
 def p24_rated(spark: SparkSession, sf: str) -> DataFrame:
     """Replies of four kinds to batches of two to four frames: plain, fenced, without JSON, and with two scores only."""
     k = F.col("event_id")
@@ -72,7 +79,7 @@ def p33_ramps(spark: SparkSession, sf: str) -> DataFrame:
     return src.table(spark, sf, "orders").select("o_orderkey", at(timeline.LABEL_RAMP, "label"), at(timeline.METER_RAMP, "meter"), at(timeline.VOICE_RAMP, "voice"), timeline.voice_delay(30).alias("delay"), timeline.grade().alias("grade"))
 
 
-QUERIES = {f.__name__: f for f in (s07_strided, s08_keyframes, s11_spread, a12_mean_levels, a16_pooled, a19_outcomes, a21_motion, p24_rated, p27_meter, p33_ramps)}
+QUERIES = {f.__name__: f for f in (s07_strided, s08_keyframes, s11_spread, a12_mean_levels, a16_pooled, a19_outcomes, a21_motion, a21_displacement, p24_rated, p27_meter, p33_ramps)}
 
 _STEPPED = "WITH a AS (SELECT o_orderkey AS asset, 10.0::DOUBLE + o_orderkey % 50 AS fps, o_orderkey % 400 AS frames FROM orders), s AS (SELECT *, greatest(1, CAST(floor({step}) AS BIGINT)) AS step FROM a), u AS (SELECT asset, fps, unnest(range(0, frames, step)) AS idx FROM s) SELECT asset, idx, round(idx / fps, 6) AS t FROM u"
 ORACLES = {
@@ -84,6 +91,11 @@ ORACLES = {
     "a19_outcomes": "SELECT count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'error') AS error, round(count(*) FILTER (event_type = 'click') / count(*), 6) AS rate FROM events",
     "a21_motion": """WITH f AS (SELECT label AS asset, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings)
 SELECT asset, idx, round(coalesce(list_avg(list_transform(range(1, len(e) + 1), lambda i: abs(e[i]::DOUBLE - b[i]::DOUBLE))), 0.0), 6) AS value FROM f""",
+    "a21_displacement": """WITH f AS (SELECT label AS asset, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings),
+c AS (SELECT asset, idx, y, x, dy, dx, list_sum(list_transform(range(0, 16), lambda p: abs(e[(y * 4 + p // 4) * 8 + x * 4 + p % 4 + 1]::DOUBLE - b[(y * 4 + dy + p // 4) * 8 + x * 4 + dx + p % 4 + 1]::DOUBLE))) AS off
+  FROM f, range(0, 2) AS r1(y), range(0, 2) AS r2(x), range(-2, 3) AS r3(dy), range(-2, 3) AS r4(dx) WHERE b IS NOT NULL AND y * 4 + dy BETWEEN 0 AND 4 AND x * 4 + dx BETWEEN 0 AND 4),
+m AS (SELECT asset, idx, y, x, arg_min(sqrt(dy * dy + dx * dx), (off, dy * dy + dx * dx, dy, dx)) AS far FROM c GROUP BY 1, 2, 3, 4)
+SELECT f.asset, f.idx, round(coalesce(avg(far), 0.0), 6) AS value FROM f LEFT JOIN m USING (asset, idx) GROUP BY 1, 2""",
     "p24_rated": """WITH r AS (SELECT event_id AS asset, i * 5.0::DOUBLE AS t, event_id * (i + 1) % 11 AS rating FROM events, range(0, 4) AS u(i) WHERE i < 2 + event_id % 3 AND event_id % 4 <> 2 AND (event_id % 4 <> 3 OR i < 2))
 SELECT asset, t, rating, round(rating / 10, 6) AS score, 'scene' AS description FROM r WHERE rating >= 5""",
     "p27_meter": """WITH n AS (SELECT o_orderkey, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (o_orderkey % 100 / 100 - 0.3::DOUBLE) / 0.4::DOUBLE)) AS n FROM orders)

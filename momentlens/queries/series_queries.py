@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from momentlens import profiles
 from momentlens.functions.scalars import rating_tier, reasons, strongest
-from momentlens.operators import report, series, signals
+from momentlens.operators import asof, report, series, signals
 from momentlens.plans import moments as plans
 from momentlens.queries import sql
 from momentlens.sources import adapters as src
@@ -60,6 +60,13 @@ def j01_aligned(spark: SparkSession, sf: str) -> DataFrame:
     return signals.aligned(d, ["click", "view", "purchase"]).select("asset", "idx", R("click"), R("view"), R("purchase"))
 
 
+def j17_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Each purchase with the last view of the same user at or before it."""
+    d = src.table(spark, sf, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type", F.col("value").alias("seen"))
+    joined = asof.as_of(d.where("event_type = 'purchase'").select("event_id", "user_id", "at"), d.where("event_type = 'view'").select("user_id", "at", "seen"), "user_id", "at", ["seen"], 86_400_000_000)
+    return joined.where("at_before IS NOT NULL").select("event_id", (F.col("at") - F.col("at_before")).alias("age"), R("seen"))
+
+
 def j02_labelled_sum(spark: SparkSession, sf: str) -> DataFrame:
     d = src.table(spark, sf, "events").select(F.col("event_type").alias("asset"), src.hour_of(F.col("ts")).alias("idx"), _label_id(100, 4), F.col("value").alias("prob"))
     return signals.labelled_sum(d, profiles.labels(spark, profiles.ACTION_LABELS), ["asset", "idx"]).select("asset", "idx", R("total"))
@@ -124,7 +131,7 @@ def t02_first_peaks(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("asset", "idx", F.round("value", 6).alias("score"), strongest(named).alias("primary_signal"), F.size(why).cast("long").alias("n_reasons"), rating_tier(F.col("value")).alias("rating"))
 
 
-QUERIES = {f.__name__: f for f in (a01_block_rms, s06_wav_energy, a02_minmax, a04_statistics, a06_triggers, j01_aligned, j02_labelled_sum, p04_fused, w01_moving_average, w02_running_median, w03_rises, w04_peaks, w05_low_runs, w12_hopping_max, w13_batches, a17_energy, t01_top_moments, t02_first_peaks)}
+QUERIES = {f.__name__: f for f in (a01_block_rms, s06_wav_energy, a02_minmax, a04_statistics, a06_triggers, j01_aligned, j17_as_of, j02_labelled_sum, p04_fused, w01_moving_average, w02_running_median, w03_rises, w04_peaks, w05_low_runs, w12_hopping_max, w13_batches, a17_energy, t01_top_moments, t02_first_peaks)}
 
 _FOUR, _THREE = dict(plans.FOUR.weights), dict(plans.THREE.weights)
 _TAPS = """len AS (SELECT asset, count(*) AS n FROM sig GROUP BY 1),
@@ -143,6 +150,8 @@ SELECT asset, CAST(t // 64 AS BIGINT) AS idx, round(sqrt(avg(v * v)), 5) AS valu
 s AS (SELECT asset, idx FROM p GROUP BY 1, 2 HAVING sum(prob) > 0.5) SELECT asset, name, round(max(prob), 6) AS peak FROM p JOIN s USING (asset, idx) JOIN lab USING (label_id) WHERE prob > 0.1 GROUP BY 1, 2""",
     "j01_aligned": """WITH d AS (SELECT user_id AS asset, CAST(day(ts) AS BIGINT) AS idx, event_type, sum(value) AS v FROM events GROUP BY 1, 2, 3)
 SELECT c.asset, c.idx, round(c.v, 6) AS click, round(w.v, 6) AS "view", round(p.v, 6) AS purchase FROM d c JOIN d w USING (asset, idx) JOIN d p USING (asset, idx) WHERE c.event_type = 'click' AND w.event_type = 'view' AND p.event_type = 'purchase'""",
+    "j17_as_of": """WITH v AS (SELECT user_id, epoch_us(ts) AS at, max(value) AS seen FROM events WHERE event_type = 'view' GROUP BY 1, 2), p AS (SELECT event_id, user_id, epoch_us(ts) AS at FROM events WHERE event_type = 'purchase')
+SELECT event_id, p.at - v.at AS age, round(seen, 6) AS seen FROM p ASOF JOIN v ON p.user_id = v.user_id AND p.at >= v.at""",
     "j02_labelled_sum": f"WITH {_EVENTS.format(step=100, of=4)} SELECT asset, idx, round(sum(value), 6) AS total FROM ev WHERE label_id IN {tuple(profiles.ACTION_LABELS)} GROUP BY 1, 2",
     "p04_fused": f"WITH {sql.fused(_FOUR)} SELECT asset, idx, round(value, 6) AS score FROM fus",
     "w01_moving_average": f"WITH {sql.SIGNALS}, {_TAPS.format(a=-3, b=3)} SELECT asset, idx, round(avg(v), 6) AS value FROM val GROUP BY 1, 2",
