@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from momentlens.functions import scalars as fn
-from momentlens.operators import intervals, manifest, report, signals, vectors
+from momentlens.operators import intervals, manifest, report, signals, sketches, vectors
 from momentlens.operators.vectors import still
 from momentlens.plans import moments as plans
 from momentlens.queries import sql
 from momentlens.sources import adapters as src
+from momentlens.sources import files
+from momentlens.sources.shared import scratch
 
 R = lambda c, n=6: F.round(c, n).alias(c)
 
@@ -130,7 +134,38 @@ def x03_top_orders(spark: SparkSession, sf: str) -> DataFrame:
     return d.withColumn("r", F.row_number().over(w).cast("long")).where("r <= 3").select("o_custkey", "o_orderkey", "o_totalprice", "r")
 
 
-QUERIES = {f.__name__: f for f in (w04_transients, w11_audio_windows, w15_adaptive_clips, j03_complete_assets, j10_files, j15_frames, f05_still, p09_overlay, k06_report, s12_report, k05_enriched, t10_label_orders, m02_spring, o10_grid, x01_pricing_summary, x02_rollup, x03_top_orders)}
+def k08_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunk index after two overlapping additions, of which one is repeated: chunks of each source."""
+    d = src.chunk_index(spark, sf).select("source", "start", "end", "embedding")
+    path = f"{scratch(spark)}/index-{uuid.uuid4().hex}"
+    early, late = d.where("start < 600"), d.where("start >= 300")
+    for part in (early, late, late):
+        files.add_chunks(part, path, "model", buckets=8)
+    return files.indexed_sources(spark, path, "model").select("source", "chunks", "first", "last")
+
+
+def k07_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """The signal cache after two signals were added and one of them again: its series."""
+    d, path = src.hourly(spark, sf), f"{scratch(spark)}/cache-{uuid.uuid4().hex}"
+    signal = lambda n: d.select("asset", F.lit(n).alias("signal"), "idx", F.col(n).alias("value"))
+    for names in (["clip"], ["clip", "flow"]):
+        files.cache_signals(signal(names[0]) if len(names) == 1 else signal(names[0]).unionByName(signal(names[1])), path, buckets=8)
+    return files.cached_signals(spark, path, ["clip", "flow"]).groupBy("asset", "signal").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def a10_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of each day's events, merged by type: exact counts, and whether the estimates are within their bounds."""
+    d = src.table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"), "event_id", "value")
+    m = sketches.merged(sketches.sketched(d, ["event_type", "day"], "event_id", "value"), ["event_type"])
+    m = m.select("event_type", "n", "least", "highest", sketches.distinct_count().alias("ids"), *[sketches.quantile(p).alias(f"q{int(100 * p)}") for p in (0.25, 0.5, 0.9)])
+    # the share of values up to an estimate is its rank
+    ranks = d.join(m.select("event_type", "q25", "q50", "q90"), "event_type").groupBy("event_type").agg(*[F.avg((F.col("value") <= F.col(q)).cast("double")).alias(f"r{q}") for q in ("q25", "q50", "q90")])
+    ok = [F.abs(F.col(f"rq{p}") - p / 100) <= sketches.RANK_ERROR + 1 / F.col("n") for p in (25, 50, 90)]
+    near = F.abs(F.col("ids") / F.col("n") - 1) <= sketches.COUNT_ERROR
+    return m.join(ranks, "event_type").select("event_type", "n", "least", "highest", near.alias("ids_near"), (ok[0] & ok[1] & ok[2]).alias("quantiles_near"))
+
+
+QUERIES = {f.__name__: f for f in (w04_transients, w11_audio_windows, w15_adaptive_clips, j03_complete_assets, j10_files, j15_frames, f05_still, p09_overlay, k06_report, s12_report, k05_enriched, k07_cache, k08_index, a10_sketches, t10_label_orders, m02_spring, o10_grid, x01_pricing_summary, x02_rollup, x03_top_orders)}
 
 _THREE = dict(plans.THREE.weights)
 _FIVE = f"{sql.peaks(_THREE, 4, 0.45, 1)}, fp AS (SELECT * FROM pk QUALIFY row_number() OVER (PARTITION BY asset ORDER BY idx) <= 5)"
@@ -143,6 +178,9 @@ hl AS (SELECT fp.asset, fp.idx, row_number() OVER (PARTITION BY fp.asset ORDER B
 trg AS (SELECT asset, name, peak, row_number() OVER (PARTITION BY asset ORDER BY peak DESC, name) AS r FROM (SELECT event_type AS asset, 'class' || json_extract_string(props, '$.k') AS name, max(value / 500) AS peak FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1, 2)),
 heard AS (SELECT asset, string_agg(name, ', ' ORDER BY r) FILTER (WHERE r <= 3) AS t3, string_agg(name, ', ' ORDER BY r) FILTER (WHERE r <= 10) AS t10 FROM trg GROUP BY 1)"""
 ORACLES = {
+    "k07_cache": f"""WITH {sql.SIGNALS} SELECT asset, 'clip' AS signal, count(*) AS n, round(sum(clip), 4) AS total FROM sig GROUP BY 1 UNION ALL SELECT asset, 'flow', count(*), round(sum(flow), 4) FROM sig GROUP BY 1""",
+    "k08_index": f"WITH {sql.CHUNKS} SELECT source, count(*) AS chunks, min(s) AS first, max(e) AS last FROM chk GROUP BY 1",
+    "a10_sketches": "SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS highest, true AS ids_near, true AS quantiles_near FROM events GROUP BY 1",
     "w04_transients": f"""WITH RECURSIVE {sql.SIGNALS}, ris AS (SELECT asset, idx, greatest(d, 0) AS value FROM (SELECT asset, idx, lead(clip) OVER (PARTITION BY asset ORDER BY idx) - clip AS d FROM sig) WHERE d IS NOT NULL),
 {sql.taps('ris', -5, 5, 'm')}, med AS (SELECT asset, idx, list_sort(list(v))[6] AS md FROM m GROUP BY 1, 2), onset AS (SELECT asset, idx, greatest(value - md, 0) AS value FROM ris JOIN med USING (asset, idx)),
 {sql.taps('onset', -2, 2, 'a')}, smo AS (SELECT asset, idx, round(avg(v), 9) AS value FROM a GROUP BY 1, 2),

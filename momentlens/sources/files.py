@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from momentlens.functions.scalars import chunk_id, file_name, suffix
 from momentlens.operators.manifest import MULTI, SINGLE
 from momentlens.operators.report import REPORT
-from momentlens.operators.vectors import fresh
 from momentlens.sources.shared import scratch, written  # noqa: F401
 
+#: Parts of each model or signal, so that an addition rewrites only those it touches.
+BUCKETS = 64
 EXTENSIONS = (".mp4", ".mkv", ".avi", ".mov", ".webm")
 #: ffprobe's output, as far as it is used.
 PROBE = T.StructType(
@@ -85,39 +86,57 @@ def exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
-def cache_signals(signals: DataFrame, path: str) -> int:
-    """Append signals (asset, signal, idx, value) that the cache lacks, partitioned by signal; returns how many series are new.
+def _merged(new: DataFrame, path: str, key: list[str], parts: list[str], where: Column | None = None) -> DataFrame:
+    """Add to the table at ``path`` the rows of ``new`` whose ``key`` it lacks; the keys that are added.
 
-    One writer at a time: two may append the same series.
+    ``parts``, the last of them ``bucket``, depend on the key. Only buckets that get rows are rewritten, each as a whole with what it has, so a write that is
+    repeated, in whole or in part, leaves each key once, and so does one that was interrupted and is run again. Of writers to the same bucket at the same time the last one's
+    bucket stays; what the other added there is added by its replay.
     """
-    spark = signals.sparkSession
-    keys = signals.select("signal", "asset").distinct()
-    if exists(spark, path):
-        keys = keys.join(spark.read.parquet(path).select("signal", "asset").distinct(), ["signal", "asset"], "left_anti")
-    n = keys.count()
-    if n:
-        signals.join(keys, ["signal", "asset"], "left_semi").write.mode("append").partitionBy("signal").parquet(path)
-    return n
+    spark = new.sparkSession
+    keys = new.select(*dict.fromkeys([*key, *parts])).distinct()
+    there = exists(spark, path)
+    if there:
+        old = spark.read.parquet(path)
+        old = old if where is None else old.where(where)
+        keys = keys.join(old.select(*key).distinct(), key, "left_anti")
+    keys = written(keys, "new-keys")
+    fresh_rows = new.join(keys.select(*key), key, "left_semi")
+    if not there:
+        fresh_rows.write.partitionBy(*parts).parquet(path)
+    elif not keys.isEmpty():
+        touched = old.join(keys.select(*parts).distinct(), parts, "left_semi")
+        both = touched.select(*fresh_rows.columns).unionByName(fresh_rows)
+        both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    return keys
+
+
+def cache_signals(signals: DataFrame, path: str, buckets: int = BUCKETS) -> int:
+    """Add the series (asset, signal, idx, value) that the cache lacks, partitioned by signal and bucket of the asset; returns how many are new. May be repeated."""
+    d = signals.withColumn("bucket", F.pmod(F.xxhash64(F.col("asset").cast("string")), F.lit(buckets)).cast("int"))
+    return _merged(d, path, ["signal", "asset"], ["signal", "bucket"]).select("signal", "asset").distinct().count()
 
 
 def cached_signals(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Only the partitions of the named signals are read."""
-    return spark.read.parquet(path).where(F.col("signal").isin(*names))
+    return spark.read.parquet(path).where(F.col("signal").isin(*names)).drop("bucket")
 
 
-def add_chunks(chunks: DataFrame, path: str, model: str) -> int:
-    """Append chunks (source, start, end, embedding) that the index lacks for a model, with their ``source_name`` and ``duration``; returns how many.
-
-    One writer at a time: two may append the same chunk.
-    """
-    spark = chunks.sparkSession
+def add_chunks(chunks: DataFrame, path: str, model: str, buckets: int = BUCKETS) -> int:
+    """Add the chunks (source, start, end, embedding) that the index lacks for a model, with their ``source_name`` and ``duration``; returns how many. May be repeated."""
     new = chunks.withColumn("chunk_id", chunk_id(F.col("source"), F.col("start"))).dropDuplicates(["chunk_id"])
-    new = new.withColumns({"source_name": file_name(F.col("source")), "duration": F.col("end") - F.col("start"), "model": F.lit(model), "indexed_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")})
-    if exists(spark, path):
-        new = fresh(new, spark.read.parquet(path).where(F.col("model") == model))
-    new = new.persist()
-    n = new.count()
-    if n:
-        new.write.mode("append").partitionBy("model").parquet(path)
-    new.unpersist()
-    return n
+    new = new.withColumns({"source_name": file_name(F.col("source")), "duration": F.col("end") - F.col("start"), "indexed_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"), "model": F.lit(model), "bucket": F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).cast("int")})
+    # written, as embeddings may come from a model, which mustn't run again for each use
+    return _merged(written(new, "chunks"), path, ["chunk_id"], ["model", "bucket"], F.col("model") == model).count()
+
+
+def indexed_chunks(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
+    """The index's rows, of one model or of all."""
+    d = spark.read.parquet(path).drop("bucket")
+    return d if model is None else d.where(F.col("model") == model)
+
+
+def indexed_sources(spark: SparkSession, path: str, model: str) -> DataFrame:
+    """(source, source_name, chunks, first, last) of each source of the index, by name."""
+    d = indexed_chunks(spark, path, model).groupBy("source", "source_name")
+    return d.agg(F.count(F.lit(1)).alias("chunks"), F.min("start").alias("first"), F.max("end").alias("last")).orderBy("source_name", "source")
