@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentlens.operators import ordering
+
 
 def _merged(df: DataFrame, keys: list[str], gap: float, strict: bool, aggregates: list[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("start", "end")
@@ -44,8 +46,7 @@ def complement(df: DataFrame, durations: DataFrame, key: str, shortest: float =
 
 def offsets(df: DataFrame, key: str, order: list[Column], duration: str = "duration") -> DataFrame:
     """``df`` with ``offset``, the total duration of the rows before."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("offset", F.coalesce(F.sum(duration).over(w), F.lit(0.0)))
+    return ordering.running(df, [key], order, {"offset": F.col(duration)})
 
 
 def within_budget(df: DataFrame, key: str, target: float, ratio: float = 2.0) -> DataFrame:

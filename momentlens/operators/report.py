@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from momentlens.functions.scalars import rating_tier
-from momentlens.operators import ranks
+from momentlens.operators import ordering, ranks
 
 
 def first_of_each(df: DataFrame, n: int, key: str = "asset", order: list[Column] | None = None) -> DataFrame:
@@ -73,8 +73,8 @@ def markdown(reports: DataFrame) -> DataFrame:
     n = F.size("highlights")
     top = F.col("score_stats.hybrid_max")
     totals = reports.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(n), F.lit(0)).alias("h")).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("place"), F.format_string("Assets: %d. Highlights: %d.", "n", "h").alias("value"))
-    ranked = reports.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(top), "name")).cast("long"))
-    line = F.format_string("| %d | %s | %.0fs | %s | %.3f | %d | %s |", "place", F.right("name", F.lit(15)), "duration", "rating", top, n, F.when(F.size("audio_triggers") > 0, names(3)).otherwise("none"))
+    line = F.format_string("| %s | %.0fs | %s | %.3f | %d | %s |", F.right("name", F.lit(15)), "duration", "rating", top, n, F.when(F.size("audio_triggers") > 0, names(3)).otherwise("none"))
+    ranked = ordering.places(reports.select("name", top.alias("top"), line.alias("line")), [], [F.desc("top"), F.col("name")], "place").withColumn("place", F.col("place") + 1)
     shown = F.transform(
         "highlights",
         lambda x, k: F.format_string("%d. %.1fs - %.1fs (%.3f), %s; audio %.3f, visual %.3f, motion %.3f; %s", k + 1, x["start"], x["end"], x["hybrid_score"], x["primary_signal"], x["panns_score"], x["clip_score"], x["flow_score"], F.array_join(x["reasons"], "; ")),
@@ -82,5 +82,6 @@ def markdown(reports: DataFrame) -> DataFrame:
     head = F.format_string("### %s\n%.1fs, rated %s, scores %.3f to %.3f", "name", "duration", "rating", F.col("score_stats.hybrid_min"), top)
     heard = F.when(F.size("audio_triggers") > 0, F.concat(F.lit("\nHeard: "), names(0))).otherwise("")
     section = F.concat(head, heard, F.when(n > 0, F.concat(F.lit("\n"), F.array_join(shown, "\n"))).otherwise("\nNo highlights."))
-    sections = reports.select(F.lit(2).alias("part"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("name")).cast("long").alias("place"), section.alias("value"))
-    return totals.unionByName(ranked.select(F.lit(1).alias("part"), "place", line.alias("value"))).unionByName(sections)
+    sections = ordering.places(reports.select("name", section.alias("value")), [], [F.col("name")], "place").select(F.lit(2).alias("part"), (F.col("place") + 1).alias("place"), "value")
+    table = ranked.select(F.lit(1).alias("part"), "place", F.concat(F.lit("| "), F.col("place").cast("string"), F.lit(" "), "line").alias("value"))
+    return totals.unionByName(table).unionByName(sections)

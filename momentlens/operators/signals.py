@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentlens.operators import ordering
+
 
 def block_rms(samples: DataFrame, size: int, key: str = "asset", idx: str = "idx", value: str = "value") -> DataFrame:
     """Root mean square of each whole block of ``size`` samples; a partial last block goes."""
@@ -78,8 +80,7 @@ def hopping_max(windows: DataFrame, lengths: DataFrame, key: str = "asset", valu
 
 def batches(df: DataFrame, size: int, key: str = "asset", idx: str = "idx", value: str = "value", least: int = 2) -> DataFrame:
     """Consecutive values in arrays of ``size``; a short last one repeats its last value, one below ``least`` goes."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(idx)) - 1
-    d = df.withColumn("_p", place).groupBy(key, F.floor(F.col("_p") / size).cast("long").alias("batch"))
+    d = ordering.places(df, [key], [F.col(idx)], "_p").groupBy(key, F.floor(F.col("_p") / size).cast("long").alias("batch"))
     d = d.agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", value))), lambda x: x[value]).alias("values")).where(F.size("values") >= least)
     return d.withColumn("values", F.concat("values", F.array_repeat(F.element_at("values", -1), F.lit(size) - F.size("values"))))
 

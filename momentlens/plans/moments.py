@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from momentlens.functions.scalars import reasons, segment_label, strongest
-from momentlens.operators import intervals, manifest, ranks, series, signals
+from momentlens.operators import intervals, manifest, ordering, ranks, series, signals
 from momentlens.operators.vectors import nearest
 from momentlens.sources.files import written
 
@@ -142,11 +142,6 @@ def rated(wide: DataFrame, profile: Profile, n: int, length: Column | None = Non
 
 
 def numbered(segments: DataFrame, order: list[Column]) -> DataFrame:
-    """Rows with ``label`` and ``rank`` (from 0) in a total order of all of them: ranges of the order are numbered apart, and only their counts meet."""
-    # written, so that the ranges aren't drawn anew for the counts
-    d = written(segments.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
-    earlier = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = d.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", earlier.alias("_earlier"))
-    w = Window.partitionBy("_range").orderBy(*order)
-    d = d.join(ranges, "_range").withColumn("rank", (F.col("_earlier") + F.row_number().over(w) - 1).cast("long"))
-    return d.drop("_range", "_earlier").withColumn("label", segment_label(F.col("rank")))
+    """Rows with ``label`` and ``rank`` (from 0) in a total order of all of them."""
+    d = ordering.places(segments, [], order, "rank")
+    return d.withColumn("label", segment_label(F.col("rank")))

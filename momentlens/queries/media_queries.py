@@ -14,6 +14,7 @@ from momentlens.plans import moments as plans
 from momentlens.profiles import CALLOUTS_HIGH, CALLOUTS_MIDDLE, NARRATION_HIGH, NARRATION_LOW, NARRATION_MIDDLE
 from momentlens.queries import sql
 from momentlens.sources import adapters as src
+from momentlens.sources import files
 from momentlens.sources.shared import scratch
 
 R = lambda c, n=6: F.round(c, n).alias(c)
@@ -31,6 +32,22 @@ def s02_media_files(spark: SparkSession, sf: str) -> DataFrame:
     return d.where(F.col("suffix") != "")
 
 
+def s05_probes(spark: SparkSession, sf: str) -> DataFrame:
+    """Duration, frame rate and size from probe texts of orders; the first stream is sound, and some rates have a zero denominator."""
+    k = F.col("o_orderkey")
+    text = F.format_string('{"format": {"duration": "%.4f"}, "streams": [{"r_frame_rate": "0/0"}, {"width": %d, "height": 1080, "r_frame_rate": "%d/%d"}]}', F.col("o_totalprice") / 100, 640 + k % 5 * 320, 24000 + k % 7 * 1000, k % 3 * 1001)
+    d = files.probed(src.table(spark, sf, "orders").select("o_orderkey", text.alias("json")))
+    return d.select("o_orderkey", R("duration", 4), R("fps"), F.col("width").cast("long").alias("width"))
+
+
+def k02_list(spark: SparkSession, sf: str) -> DataFrame:
+    """The list of the clips of the nations' timeline, written in order and read back."""
+    d = src.table(spark, sf, "nation").select(F.col("n_nationkey").alias("rank"), F.concat(F.lit("it's "), F.lower("n_name"), F.lit(".mp4")).alias("file"))
+    path = f"{scratch(spark)}/list-{uuid.uuid4().hex}"
+    files.concat_list(d, path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 def s15_chunks(spark: SparkSession, sf: str) -> DataFrame:
     d = src.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("source"), (F.col("o_totalprice") / 1000).alias("duration"))
     return vectors.chunks(d).select("source", "start", R("end"), "chunk_id")
@@ -201,7 +218,7 @@ def p29_camera(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (s02_media_files, s15_chunks, j04_fresh, p05_contrast, p07_truncated, j12_nearest, j12_search, j12_top, t03_segments, a10_index_stats, a15_centroids, a14_focal_points, a11_cost, a08_ratings, t05_top_entries, j05_selected, j09_voiceover, j08_accepted, k04_manifest, o05_json, p14_texts, p21_narration, p26_callouts, w18_timeline, a20_length, o11_sound_cues, p29_camera)}
+QUERIES = {f.__name__: f for f in (s02_media_files, s05_probes, k02_list, s15_chunks, j04_fresh, p05_contrast, p07_truncated, j12_nearest, j12_search, j12_top, t03_segments, a10_index_stats, a15_centroids, a14_focal_points, a11_cost, a08_ratings, t05_top_entries, j05_selected, j09_voiceover, j08_accepted, k04_manifest, o05_json, p14_texts, p21_narration, p26_callouts, w18_timeline, a20_length, o11_sound_cues, p29_camera)}
 
 _THREE = dict(plans.THREE.weights)
 _SIM = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
@@ -213,6 +230,8 @@ _U = sql.UNIT
 _listed = lambda texts: "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + "]"
 ORACLES = {
     "s02_media_files": "SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name, lower(regexp_extract(url, '(\\.[^./]+)$', 1)) AS suffix FROM pages WHERE regexp_matches(url, '\\.[^./]+$')",
+    "s05_probes": "SELECT o_orderkey, round(o_totalprice / 100, 4) AS duration, CASE WHEN o_orderkey % 3 <> 0 THEN round((24000 + o_orderkey % 7 * 1000) / (o_orderkey % 3 * 1001), 6) END AS fps, 640 + o_orderkey % 5 * 320 AS width FROM orders",
+    "k02_list": "SELECT 'file ''it' || chr(39) || chr(92) || chr(39) || chr(39) || 's ' || lower(n_name) || '.mp4' || chr(39) AS line FROM nation",
     "s15_chunks": """WITH a AS (SELECT CAST(o_orderkey AS VARCHAR) AS source, o_totalprice / 1000 AS d FROM orders), c AS (SELECT source, d, CAST(unnest(range(0, CAST(floor(d) AS BIGINT), 25)) AS DOUBLE) AS start FROM a WHERE floor(d) >= 1)
 SELECT source, start, round(least(start + 30, d), 6) AS "end", substr(sha256(source || ':' || printf('%.1f', start)), 1, 16) AS chunk_id FROM c WHERE least(start + 30, d) - start >= 2""",
     "j04_fresh": "SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01')",

@@ -76,7 +76,7 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 
 def concat_list(files: DataFrame, path: str, order: str = "rank") -> None:
     """The list file of a concatenation: one line for each clip of one timeline, in order."""
-    line = F.concat(F.lit("file '"), F.regexp_replace("file", "'", "'\\\\\\\\''"), F.lit("'"))
+    line = F.concat(F.lit("file '"), F.replace("file", F.lit("'"), F.lit("'\\''")), F.lit("'"))
     files.orderBy(order).select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
