@@ -82,7 +82,7 @@ def condensed(wide: DataFrame, c: Condense) -> DataFrame:
     """(asset, rank, label, start, end, score): segments that follow each peak's decay, merged, within the budget, in order of time."""
     fps = c.profile.fps
     last = _last(wide)
-    smooth = _shared(smoothed(wide, c.profile), last, "smoothed")
+    smooth = written(smoothed(wide, c.profile), "smoothed")  # read four times
     peaks = _spaced_peaks(smooth, c.profile, last)
     grown = intervals.decay_end(peaks, smooth, c.decay, int(c.longest * fps))
     length = smooth.groupBy("asset").agg(((F.max("idx") + 1) / fps).alias("duration"))
