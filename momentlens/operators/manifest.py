@@ -60,6 +60,22 @@ def flattened(reports: DataFrame, array: str = "highlights") -> DataFrame:
     return reports.select("*", F.posexplode(array).alias("pos", "item")).drop(array)
 
 
+def voiceover_manifests(narrations: DataFrame, key: str, speaker: str) -> DataFrame:
+    """(key, speaker, narrations, files) of narrations (key, label, text, pos): their texts in order, and the file of each label; the last text of a label counts. Empty texts have no file."""
+    last = narrations.where(F.col("label").isNotNull() & (F.coalesce("text", F.lit("")) != "")).groupBy(key, "label").agg(F.max_by(F.struct("text", "pos"), "pos").alias("t"))
+    each = F.struct(F.col("t.pos").alias("pos"), "label", F.col("t.text").alias("text"))
+    d = last.groupBy(key).agg(F.array_sort(F.collect_list(each)).alias("all"))
+    file = lambda x: F.struct(x["label"], F.concat(F.lit("vo_"), x["label"], F.lit(".wav")))
+    return d.select(key, F.lit(speaker).alias("speaker"), F.transform("all", lambda x: F.struct(x["label"].alias("label"), x["text"].alias("text"))).alias("narrations"), F.map_from_entries(F.transform("all", file)).alias("files"))
+
+
+def render_props(manifests: DataFrame, voiceovers: DataFrame, key: str, fps: int = 30, labels: bool = True, source: str = "source.mp4") -> DataFrame:
+    """(key, props): what a renderer is handed of each manifest (key, segments), as JSON: its segments, the rate, whether labels are shown, and the voice files (label, file) if there are any."""
+    spoken = F.transform(F.map_entries("files"), lambda e: F.struct(e["key"].alias("label"), F.concat(F.lit("voiceover/"), e["value"]).alias("file")))
+    d = manifests.join(voiceovers.select(key, spoken.alias("voiceovers")), key, "left")
+    return d.select(key, F.to_json(F.struct(F.lit(source).alias("source"), "segments", F.lit(fps).alias("fps"), F.lit(labels).alias("showLabels"), "voiceovers")).alias("props"))
+
+
 #: A whole string, a brace, or what is neither.
 _TOKEN = r'(?s)"(?:[^"\\]|\\.)*"|[{}]|[^{}"]+|"'
 

@@ -165,7 +165,17 @@ def a10_sketches(spark: SparkSession, sf: str) -> DataFrame:
     return m.join(ranks, "event_type").select("event_type", "n", "least", "highest", near.alias("ids_near"), (ok[0] & ok[1] & ok[2]).alias("quantiles_near"))
 
 
-QUERIES = {f.__name__: f for f in (w04_transients, w11_audio_windows, w15_adaptive_clips, j03_complete_assets, j10_files, j15_frames, f05_still, p09_overlay, k06_report, s12_report, k05_enriched, k07_cache, k08_index, a10_sketches, t10_label_orders, m02_spring, o10_grid, x01_pricing_summary, x02_rollup, x03_top_orders)}
+def k11_render_props(spark: SparkSession, sf: str) -> DataFrame:
+    """What a renderer is handed of each order: lines as segments, of which those of two and more units are spoken over; read back from its JSON."""
+    d = src.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("pos"), fn.segment_label(F.col("l_linenumber") - 1).alias("label"), F.col("l_discount").alias("score"), F.col("l_quantity").alias("units"))
+    nested = manifest.nested(d, "source", ["label", "score"], "pos")
+    spoken = manifest.voiceover_manifests(d.where("units >= 2").withColumn("text", F.concat(F.lit("line "), "label")), "source", "narrator")
+    schema = "source string, segments array<struct<label: string, score: double>>, fps int, showLabels boolean, voiceovers array<struct<label: string, file: string>>"
+    props = manifest.render_props(nested, spoken, "source").select("source", F.from_json("props", schema).alias("p"))
+    return props.select("source", F.col("p.fps").cast("long").alias("fps"), F.size("p.segments").cast("long").alias("segments"), F.array_join("p.voiceovers.file", ",").alias("files")).fillna("", ["files"])
+
+
+QUERIES = {f.__name__: f for f in (w04_transients, w11_audio_windows, w15_adaptive_clips, j03_complete_assets, j10_files, j15_frames, f05_still, p09_overlay, k06_report, s12_report, k05_enriched, k07_cache, k08_index, k11_render_props, a10_sketches, t10_label_orders, m02_spring, o10_grid, x01_pricing_summary, x02_rollup, x03_top_orders)}
 
 _THREE = dict(plans.THREE.weights)
 _FIVE = f"{sql.peaks(_THREE, 4, 0.45, 1)}, fp AS (SELECT * FROM pk QUALIFY row_number() OVER (PARTITION BY asset ORDER BY idx) <= 5)"
@@ -180,6 +190,9 @@ heard AS (SELECT asset, string_agg(name, ', ' ORDER BY r) FILTER (WHERE r <= 3)
 ORACLES = {
     "k07_cache": f"""WITH {sql.SIGNALS} SELECT asset, 'clip' AS signal, count(*) AS n, round(sum(clip), 4) AS total FROM sig GROUP BY 1 UNION ALL SELECT asset, 'flow', count(*), round(sum(flow), 4) FROM sig GROUP BY 1""",
     "k08_index": f"WITH {sql.CHUNKS} SELECT source, count(*) AS chunks, min(s) AS first, max(e) AS last FROM chk GROUP BY 1",
+    "k11_render_props": """WITH s AS (SELECT l_orderkey AS source, count(*) AS segments FROM lineitem GROUP BY 1),
+f AS (SELECT source, string_agg('voiceover/vo_' || chr(64 + n) || '.wav', ',' ORDER BY n) AS files FROM (SELECT DISTINCT l_orderkey AS source, l_linenumber AS n FROM lineitem WHERE l_quantity >= 2) GROUP BY 1)
+SELECT source, CAST(30 AS BIGINT) AS fps, segments, coalesce(files, '') AS files FROM s LEFT JOIN f USING (source)""",
     "a10_sketches": "SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS highest, true AS ids_near, true AS quantiles_near FROM events GROUP BY 1",
     "w04_transients": f"""WITH RECURSIVE {sql.SIGNALS}, ris AS (SELECT asset, idx, greatest(d, 0) AS value FROM (SELECT asset, idx, lead(clip) OVER (PARTITION BY asset ORDER BY idx) - clip AS d FROM sig) WHERE d IS NOT NULL),
 {sql.taps('ris', -5, 5, 'm')}, med AS (SELECT asset, idx, list_sort(list(v))[6] AS md FROM m GROUP BY 1, 2), onset AS (SELECT asset, idx, greatest(value - md, 0) AS value FROM ris JOIN med USING (asset, idx)),
