@@ -38,7 +38,7 @@ def lower(text):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in sorted(registry.queries(), key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(registry.queries(), key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
