@@ -13,7 +13,9 @@ its tiles connect, costs as much as its members, and no link is lost.
 
 ``grouped`` links by distance alone and loses none: two fingerprints within ``radius`` differing bits agree
 on at least g - ``radius`` of g groups of bits, and blocks are formed by every such choice of groups; g grows with the
-logarithm of the fingerprints, so that blocks of unrelated ones stay small.
+logarithm of the fingerprints, so that blocks of unrelated ones stay small. Fingerprints that share many bits without being alike (of short texts, of templates) make
+large blocks nevertheless; such a block is split once more in the same way, by groups of the bits in which its own members differ, if that takes less work
+than comparing it, and so are its parts.
 ``similar`` links texts whose shingle sets have a Jaccard similarity of at least ``SIMILARITY``. Sets that
 alike differ in about ten of 64 bits, for which no group of bits need agree; so blocks come from bands of
 min-hashes (a pair at 0.8 misses all of ``BANDS`` with 0.002), and fingerprints have ``WIDE_BITS`` bits, in which each
@@ -48,6 +50,10 @@ SHINGLE = 5
 RADIUS = 4
 #: Members of a block that one task compares with each other.
 TILE = 2048
+#: Sending a member to one more block, against comparing it with a tile.
+COPY = 0.02
+#: How often parts of a large block are split again.
+SPLITS = 3
 SIMILARITY = 0.8
 #: The same where shingle sets are compared, and the bytes of their hashes.
 TEXT_TILE = 256
@@ -343,6 +349,47 @@ def _tiles(n: str, size: str | None, tile: int) -> Column:
     return (by_members if size is None else F.greatest(by_members, F.ceil(F.col(size) / TILE_BYTES))).cast("int")
 
 
+def _finer(n: int, ones: np.ndarray, radius: int, tile: int) -> list[tuple[int, ...]]:
+    """Choices of bits that split a block of ``n`` members, ``ones`` of which have each bit; none if comparing the whole is less work.
+
+    Two members agree in a bit with the probability p * p + q * q. Bits are dealt to groups so that agreeing is as improbable in each.
+    """
+    share = ones / n
+    told = -np.log2(share**2 + (1 - share) ** 2)
+    best, work = [], n / tile
+    for g in range(radius + 2, radius + 6):
+        groups, sums = [[] for _ in range(g)], np.zeros(g)
+        for b in np.argsort(-told, kind="stable"):
+            if told[b] > 0:
+                k = int(sums.argmin())
+                groups[k].append(int(b))
+                sums[k] += told[b]
+        choices = list(combinations(range(g), g - radius))
+        its = sum(COPY + n * 2.0 ** -sums[list(c)].sum() / tile for c in choices)
+        if its < work:
+            best, work = [tuple(b for k in c for b in groups[k]) for c in choices], its
+    return best
+
+
+def _split(keyed: DataFrame, large: DataFrame, radius: int, tile: int) -> tuple[DataFrame, DataFrame, bool]:
+    """``keyed`` and its ``large`` blocks, with those large blocks whose members differ in many bits split by choices of groups of these bits; and whether any was."""
+    ones = F.array(*[F.sum(F.getbit("s_fp", F.lit(b)).cast("long")) for b in range(BITS)])
+    bits = keyed.join(large.select("key"), "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"), ones.alias("ones"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[_signed(m) for m in _finer(n, np.array(of), radius, tile)] for n, of in zip(batch.column("n").to_pylist(), batch.column("ones").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.list_(pa.int64()))], names=["key", "masks"])
+
+    masks = written(in_arrow(bits, run, "key long, masks array<long>").where(F.size("masks") > 0), "finer-blocks")
+    if masks.isEmpty():
+        return keyed, large, False
+    own = lambda d: d.withColumn("key", F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", "m", F.col("s_fp").bitwiseAND(F.col("m"))))).select(*keyed.columns)
+    split = own(keyed.join(masks, "key").withColumn("m", F.explode("masks")))
+    counts = split.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", _tiles("n", None, tile).alias("tiles")).where("tiles > 1")
+    return own(keyed.join(masks, "key", "left").withColumn("m", F.explode_outer("masks"))), written(large.join(masks, "key", "left_anti").unionByName(counts), "large-blocks"), True
+
+
 def _linked(keyed: DataFrame, radius: int, tile: int, similarity: float | None = None) -> DataFrame:
     """Links (a, b) of nodes in ``keyed`` (key, s_node, s_fp and, with ``similarity``, s_set and s_bytes) that connect all that are linked in a block."""
     weighed = similarity is not None
@@ -350,6 +397,12 @@ def _linked(keyed: DataFrame, radius: int, tile: int, similarity: float | None =
     weight = ["s_bytes"] if weighed else []
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *own_size)
     large = written(counts.select("key", _tiles("n", "size" if weighed else None, tile).alias("tiles")).where("tiles > 1"), "large-blocks")
+    for _ in range(SPLITS if isinstance(keyed.schema["s_fp"].dataType, T.LongType) else 0):
+        if large.isEmpty():
+            break
+        keyed, large, more = _split(keyed, large, radius, tile)
+        if not more:
+            break
     dealt = keyed.join(large, "key", "left")
     own = F.pmod(F.xxhash64("s_node"), F.coalesce("tiles", F.lit(1)))
     inside = _compared(dealt.withColumn("block", F.xxhash64("key", own)).drop("key", "tiles", *weight), radius, similarity)
