@@ -2,12 +2,14 @@
 
 Base spans are assignments to a credential name, access keys and long hexadecimal runs. Beside them, any
 value that a wider credential word introduces is segmented at minimum guessing cost into dictionary words (a rank is a
-guess number; capitals and look-alike signs cost a bit each), dates, repeats, sequences, keyboard walks and brute-force spans. A value whose
+guess number; a capital at the start or capitals throughout cost a bit, others and look-alike signs a bit each), dates, times of day, host names, repeats, sequences, keyboard walks and brute-force spans. A value whose
 cheapest segmentation needs at least 2 to the power ``BITS`` guesses is a secret as well (kind ``value``); nothing else
 decides. A run of letters in one case may also be a word of a dictionary of 2 to the power ``PROSE``, where each
 pair of letters that no word of the dictionary's first thousand has costs ``RARE`` bits more: so prose after a credential word is cheap
-and random letters aren't. Words have at most ``LONGEST`` letters. Repeats, sequences and walks end at any of their first ``LONGEST`` places or where
-they can't go on, so that the work grows with a value's length; it ends as soon as every segmentation costs ``BITS``.
+and random letters aren't; from ``LONG`` letters on each costs ``EACH`` bits. A capital between small letters parts words (``HUMP``). A sign of ``JOINTS`` between letters or digits is cheap, and so is a word, a short form or a little word right behind it, as words of identifiers and sentences go together,
+and those of paths and addresses more so. So passphrases need about four or five words. Host names (lower case, known endings) are public and cost ``HOST``, endings of files ``ENDING``, braces of placeholders what ``BRACES`` says. Words have at most ``LONGEST`` letters.
+A repeat is a block of any size, itself no repeat, that comes twice or more in turn; it costs its block's own cheapest segmentation and the number of times. Repeats, sequences and walks end at any of their first ``LONGEST`` places or where
+they can't go on. Nothing goes on from a place that costs ``BITS``, and the work ends as soon as every segmentation does, so that long values end early.
 
 The dictionary is a parameter: ``dictionary`` ranks the letter pieces of a public tokenizer's vocabulary, which
 is in the order of frequency. At most ``MOST_WORDS`` are sent to the tasks.
@@ -41,6 +43,16 @@ LONGEST = 32
 MOST_WORDS = 50_000
 VOCABULARY = "word_bpe_49k.json"
 PROSE, RARE = 16.0, 6.0
+#: From how many letters on such a word costs more, and how much each.
+LONG, EACH = 12, 2.0
+#: Signs between words: their bits, and the most that a word right behind them costs.
+JOINTS = {c: (2.0, 7.0) for c in "-_."} | {c: (1.0, 4.0) for c in "/:?=&"}
+#: The most that a word costs which a capital parts from the one before it, and how much more one that isn't in the dictionary.
+HUMP, UNKNOWN = 7.0, 2.0
+BRACES = {"${": 3.0, "{{": 3.0, "}": 1.0, "}}": 1.0}
+HOST, ENDING = 12.0, 5.0
+#: Periods of repeats that are tried one by one; longer ones are looked for by the first ``SEED`` characters.
+SEED = 16
 KINDS = ("assign", "access", "hex", "value")
 _ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -65,6 +77,15 @@ _PLACE = {c: (r, k) for r, row in enumerate(_ROWS) for k, c in enumerate(row)}
 _LOOKS = str.maketrans("013457@$", "oieastas")
 _DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d|(?:19|20)\d\d)")
 
+_TIME = re.compile(r"T?(?:[01]\d|2[0-3]):[0-5]\d(:[0-5]\d)?Z?")
+#: What stands for a word in paths and names.
+_SHORT = re.compile(r"(?:[a-z]{1,3}|v\d)(?![A-Za-z0-9])")
+#: Words that sentences join others with; 16 of them are a choice of four bits.
+_LITTLE = re.compile(r"(?:a|an|and|as|at|by|for|from|in|is|of|on|or|the|to|with)(?![A-Za-z0-9])")
+#: Endings of files, of which there are about two to the power ``ENDING``.
+_ENDING = re.compile(r"\.(?:conf|css|csv|html|ini|java|js|json|log|md|php|py|sh|sql|toml|ts|txt|xml|yaml|yml)(?![A-Za-z0-9])")
+_HOST = re.compile(r"(?:https?://)?(?:[a-z][a-z-]{0,30}\.){1,4}(?:com|org|net|io|dev|edu|gov|info)(?![a-z0-9])")
+
 
 def _alphabet(c: str) -> float:
     return math.log2(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
@@ -75,6 +96,46 @@ def _near(a: str, b: str) -> bool:
     return bool(p and q) and a != b and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1
 
 
+def _alike(value: str, i: int, j: int) -> int:
+    """How many characters from ``i`` on are those from ``j`` on, i < j."""
+    n, step = len(value) - j, 16
+    k = 0
+    while k < n and value[i + k : i + k + step] == value[j + k : j + k + step]:
+        k, step = k + step, step * 2
+    if k >= n:
+        return n
+    while step > 1:  # they part within ``step`` places from ``k``
+        step //= 2
+        if value[i + k : i + k + step] == value[j + k : j + k + step]:
+            k += step
+    return min(k, n)
+
+
+def repeats(value: str, i: int) -> Iterator[tuple[int, int]]:
+    """(size, times) of the blocks, no repeats themselves, that stand at ``i`` twice or more in turn."""
+    n, size, seed = len(value) - i, 1, value[i : i + SEED + 1]
+    while 2 * size <= n:
+        if size > SEED:
+            at = value.find(seed, i + size, i + n // 2 + len(seed))
+            if at < 0:
+                return
+            size = at - i
+        if value.startswith(value[i : i + size], i + size):
+            whole = size + _alike(value, i, i + size)
+            yield size, whole // size
+            size = max(size + 1, whole - size + 1)  # what repeats within this stretch has this block's period
+        else:
+            size += 1
+
+
+def _spelt(x: str, word: str) -> float:
+    """Bits for the capitals and look-alike signs by which ``x`` is not ``word``."""
+    capitals = sum(c.isupper() for c in x)
+    if capitals and (x == x.upper() or (capitals == 1 and x[0].isupper())):
+        capitals = 1
+    return capitals + sum(a.lower() != b for a, b in zip(x, word, strict=True))
+
+
 class Guesser:
     """Guess numbers by a dictionary, the commonest word first."""
 
@@ -99,12 +160,6 @@ class Guesser:
             walks[i] = walks[i + 1] + 1 if _near(value[i], value[i + 1]) else 0
             step = ord(value[i + 1]) - ord(value[i])
             steps[i] = (steps[i + 1] + 1 if i + 2 < n and ord(value[i + 2]) - ord(value[i + 1]) == step else 1) if step in (1, -1) else 0
-        again = []  # by the size of a block, how far a value goes on as it was so many places before
-        for size in range(1, min(16, n // 2) + 1):
-            of = array("i", bytes(4 * (n + 1)))
-            for i in range(n - size - 1, -1, -1):
-                of[i] = of[i + 1] + 1 if value[i] == value[i + size] else 0
-            again.append(of)
         best, far = [0.0] + [math.inf] * n, {}
 
         def reach(j: int, cost: float) -> None:
@@ -120,32 +175,50 @@ class Guesser:
                 far = {j: c for j, c in far.items() if j > i}
                 if min(far.values(), default=math.inf) >= enough:
                     return enough
-            reach(i + 1, here + alphabet[i])
+            if here >= enough:
+                continue
+            joint = value[i] in JOINTS and (i == 0 or value[i - 1].isalnum()) and i + 1 < n and value[i + 1].isalnum()
+            reach(i + 1, here + (JOINTS[value[i]][0] if joint else alphabet[i]))
+            joined = i > 0 and value[i - 1] in JOINTS and (i == 1 or value[i - 2].isalnum())
+            most = JOINTS[value[i - 1]][1] if joined else HUMP if 0 < i < n - 1 and value[i - 1].islower() and value[i].isupper() and value[i + 1].islower() else math.inf
+            if joined and (little := _LITTLE.match(value, i)):
+                reach(little.end(), here + 4)
+            if joined and (short := _SHORT.match(value, i)):
+                reach(short.end(), here + most)
+            if ending := _ENDING.match(value, i):
+                reach(ending.end(), here + ENDING)
+            for sign in BRACES:
+                if value.startswith(sign, i):
+                    reach(i + len(sign), here + BRACES[sign])
             for j in range(i + 3, min(n, i + self.longest) + 1):
                 if (bits := self.bits.get(plain[i:j])) is not None:
-                    reach(j, here + bits + sum(a != b for a, b in zip(value[i:j], plain[i:j], strict=True)))
+                    reach(j, here + min(bits, most) + _spelt(value[i:j], plain[i:j]))
+            if (i == 0 or not value[i - 1].isalnum()) and (host := _HOST.match(value, i)):
+                reach(host.end(), here + HOST)
             if value[i].isdigit():
                 for j in range(i + 4, min(n, i + 10) + 1):
                     if _DATE.fullmatch(value, i, j):
                         reach(j, here + math.log2(365 * 120 if j - i > 4 else 120) + 1)
-            cost = PROSE
+            if clock := _TIME.match(value, i):
+                reach(clock.end(), here + math.log2(86400 if clock[1] else 1440) + 1)
+            cost = min(PROSE, most + UNKNOWN)
             for j in range(i + 1, min(n, i + LONGEST) + 1):
                 c = value[j - 1]
                 if not c.isalpha() or (j > i + 2 and c.isupper() != value[i + 1].isupper()) or (j == i + 2 and c.isupper() and not value[i].isupper()):
                     break
                 if j > i + 1 and c.isascii() and value[j - 2].isascii() and low[j - 2 : j] not in self.pairs:
                     cost += RARE
+                if j > i + LONG:
+                    cost += EACH
                 reach(j, here + cost)
             for run, first, each in ((walks[i] + 1, math.log2(47), 1), (steps[i] + 1, alphabet[i] + 1, 0)):
                 for k in [*range(3, min(run, LONGEST) + 1), run]:
                     if k > 2:
                         reach(i + k, here + first + math.log2(k) + each * k)
-            block = 0.0
-            for size, of in enumerate(again, 1):
-                block += alphabet[i + size - 1] if i + size <= n else 0.0
-                most = of[i] // size + 1
-                for k in [*range(2, min(most, LONGEST // size) + 1), most]:
-                    if k > 1 and k * size > 2:
+            for size, times in repeats(value, i):
+                block = self.cheapest(value[i : i + size], enough) if size > 1 else alphabet[i]
+                for k in [*range(2, min(times, LONGEST // size) + 1), times]:
+                    if k * size > 2:
                         reach(i + k * size, here + block + math.log2(k) + (size > 1))
         return best[n]
 
