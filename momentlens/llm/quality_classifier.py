@@ -13,7 +13,7 @@ Fitting uses at most ``MOST_ROWS`` positives and about as many unlabelled docume
 the measures below leave the tasks; scoring reads all rows. Unlabelled rows are drawn row by row, without a shuffle; of a positive id one row is read.
 
 Defined cases: a null or blank text has all measures 0 and is scored by them; very long texts are measured whole; repeated rows are scored
-each; null labels and ids are not learnt from; with no usable positive every score is 0, with fewer than 20 positives or unlabelled rows the prior is taken to be 0.5, as the best bin needs more; an empty table gives an
+each; null labels and ids are not learnt from; with no usable positive every score is 0, the fewer positives or unlabelled rows, the nearer is the prior to 0.5, which counts like ``PRIOR_ROWS`` rows; an empty table gives an
 empty result; further columns of ``docs`` stay, one named ``c_score`` is replaced.
 """
 
@@ -35,6 +35,7 @@ from momentlens.llm.quality_rules import STOP_WORDS
 MOST_ROWS = 6000
 HIDDEN = 16
 ROUNDS = 600
+PRIOR_ROWS = 20
 SEED = 7
 _STOPS = frozenset(w.encode() for ws in STOP_WORDS.values() for w in ws.split())
 _KEEP = {k: bytes(b for b in range(256) if b not in set(v)) for k, v in {"upper": range(65, 91), "digit": range(48, 58), "symbol": b"#*$%&|<>@~^=_{}[]\\", "stop": b".,;:?", "bang": b"!"}.items()}
@@ -87,15 +88,17 @@ def apart(positive: np.ndarray, unlabelled: np.ndarray) -> Network:
 
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
-    """The share of positives among unlabelled rows, by the best bin."""
-    if min(len(positive), len(unlabelled)) < 20:
+    """The share of positives among unlabelled rows, by the best bin, drawn towards one half by as much as ``PRIOR_ROWS`` rows weigh against those at hand."""
+    rows = min(len(positive), len(unlabelled))
+    if rows < 2:  # nothing to hold out, so one half is all that is known
         return 0.5
     net = apart(positive[::2], unlabelled[::2])
     p, u = (np.sort(net.forward(x[1::2])[0]) for x in (positive, unlabelled))
     above = lambda x: 1 - np.searchsorted(x, p, side="left") / len(x)
     error = np.sqrt(np.log(4 / confidence) / 2 / len(u)) + np.sqrt(np.log(4 / confidence) / 2 / len(p))
     best = int(np.argmin((above(u) + error) / above(p)))
-    return float(np.clip(above(u)[best] / above(p)[best], 0.05, 0.95))
+    found = float(np.clip(above(u)[best] / above(p)[best], 0.05, 0.95))
+    return (rows * found + PRIOR_ROWS * 0.5) / (rows + PRIOR_ROWS)
 
 
 def risk(gp: np.ndarray, gu: np.ndarray, prior: float, weight: float) -> tuple[float, float]:
