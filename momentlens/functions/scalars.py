@@ -85,6 +85,11 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def rounded(x: Column, n: int = 6) -> Column:
+    """``n`` decimals as DuckDB rounds them: the product with 10^n as it is in binary, not the shortest decimal of ``x``. They differ where that ends in a five: 0.5146875 is stored a bit lower."""
+    return F.round(x * 10.0**n) / 10.0**n
+
+
 def side(x: Column, left: float = 0.4, right: float = 0.6) -> Column:
     return F.when(x < left, "left").when(x > right, "right").otherwise("center")
 

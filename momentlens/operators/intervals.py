@@ -119,7 +119,7 @@ def adaptive_clips(peaks: DataFrame, durations: DataFrame, key: str = "asset", s
     top = peaks.groupBy(key).agg(F.max("strength").alias("_top"))
     d = peaks.join(top, key).join(durations, key)
     norm = F.when(F.col("_top") > 0, F.col("strength") / F.col("_top")).otherwise(1.0)
-    d = d.withColumn("score", norm).withColumn("_len", shortest + F.col("score") * (longest - shortest))
+    d = d.withColumn("score", norm).withColumn("_len", shortest + F.col("score") * round(longest - shortest, 12))  # 0.8 - 0.2 is 0.6, not 0.6000000000000001
     d = d.withColumn("end", F.least(F.col("duration") - edge, F.greatest(F.lit(0.0), F.col("t") - before) + F.col("_len")))
     d = d.withColumn("start", F.greatest(F.lit(0.0), F.col("end") - F.col("_len")))
     return merged(d.select(key, "start", "end", "score"), key, 0.0, strict=True).join(durations, key).where(F.col("start") < F.col("duration") - tail).drop("duration")

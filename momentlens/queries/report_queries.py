@@ -16,7 +16,7 @@ from momentlens.sources import adapters as src
 from momentlens.sources import files
 from momentlens.sources.shared import scratch
 
-R = lambda c, n=6: F.round(c, n).alias(c)
+R = lambda c, n=6: fn.rounded(F.col(c), n).alias(c)
 
 
 def w04_transients(spark: SparkSession, sf: str) -> DataFrame:

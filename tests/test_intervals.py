@@ -100,3 +100,12 @@ def test_tolerant_json(spark):
     d = spark.createDataFrame([('{"scores": [1, 2]}',), ('```json\n{"scores": [3]}\n```',), ("no",), (None,)], "t string")
     default = F.struct(F.array(F.lit(0)).alias("scores"))
     assert [r[0]["scores"] for r in d.select(manifest.tolerant_json(F.col("t"), "scores array<int>", default, "scores")).collect()] == [[1, 2], [3], [0], [0]]
+
+
+def test_clip_lengths_and_rounding_are_the_sqls(spark):
+    d = spark.createDataFrame([("k", 36.7, 192.09), ("k", 37.5, 90.29), ("k", 99.1, 1.0)], "asset string, t double, strength double")
+    got = intervals.adaptive_clips(d, spark.createDataFrame([("k", 99.1)], "asset string, duration double")).orderBy("start").collect()
+    # 36.6 + 0.8 is 37.4, where the second one starts: strictly, they only touch
+    assert [round(r["end"], 6) for r in got] == [37.4, 37.882024]
+    assert spark.range(1).select(fn.rounded(F.lit(98.82) / 192.0)).first()[0] == 0.514687
+    assert spark.range(1).select(fn.rounded(F.lit(None).cast("double"))).first()[0] is None
