@@ -27,8 +27,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Lists of an index at most; tasks hold their centroids.
 MOST_LISTS = 1024
-#: Queries that one task compares with a shard.
-ASKED = 2048
+#: Members of a shard at most.
+MEMBERS = 2048
+#: Queries and pairs that are compared in one group at most: what a Python worker holds doesn't grow with the tables.
+ASKED, PAIRS = 4096, 1 << 20
+#: Rows that are held against all centroids at a time, and bytes of a batch of routed queries, about.
+PIECE, ROUTED = 1024, 1 << 23
 #: Angles are known to about this.
 SLACK = 1e-6
 
@@ -40,6 +44,11 @@ def _units(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x / np.where(length > 0, length, 1.0)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(at, most) for at in range(0, batch.num_rows, most))
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str, dims: int | None = None) -> tuple[DataFrame, int]:
     """(_id, _v) of the vectors that can be compared, and their length."""
     v = F.col("_v")
@@ -59,7 +68,7 @@ def centroids(d: DataFrame, lists: int, rounds: int) -> np.ndarray:
 
         def sums(batches: Iterator[pa.RecordBatch], c=c) -> Iterator[pa.RecordBatch]:
             total, n = np.zeros(c.shape), np.zeros(len(c), np.int64)
-            for batch in filter(len, batches):
+            for batch in _pieces(batches):
                 u = _units(batch.column("_v"))
                 of = (u @ c.T).argmax(axis=1)
                 np.add.at(total, of, u)
@@ -83,7 +92,7 @@ def listed(d: DataFrame, c: np.ndarray) -> DataFrame:
     """``d`` with ``_list`` and ``_angle``, the nearest centroid and the angle to it."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in filter(len, batches):
+        for batch in _pieces(batches):
             near = _units(batch.column("_v")) @ c.T
             of = near.argmax(axis=1)
             angle = np.arccos(np.clip(near[np.arange(len(of)), of], -1, 1))
@@ -105,7 +114,8 @@ def build(vectors: DataFrame, path: str, id_col: str, vector_col: str = "embeddi
 def _append(d: DataFrame, path: str) -> None:
     """One more run of shards."""
     ranged = d.repartitionByRange("_list", "_angle").sortWithinPartitions("_list", "_angle")
-    ranged.withColumn("_shard", F.concat_ws("-", F.lit(_run(d.sparkSession, path)), F.spark_partition_id())).write.mode("append").parquet(f"{path}/shards")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # from 0 in each partition
+    ranged.withColumn("_shard", F.concat_ws("-", F.lit(_run(d.sparkSession, path)), F.spark_partition_id(), F.floor(place / MEMBERS))).write.mode("append").parquet(f"{path}/shards")
 
 
 def _run(spark: SparkSession, path: str) -> int:
@@ -132,17 +142,25 @@ def _centroids(spark: SparkSession, path: str) -> np.ndarray:
     return np.array([r["centroid"] for r in rows]).reshape(len(rows), -1) if rows else np.zeros((0, 0))
 
 
-def _routed(asked: DataFrame, c: np.ndarray) -> DataFrame:
-    """``asked`` (_q, _u, _least) for each list, with the angles (_from, _to) that a near enough member has to its centroid."""
+def _routed(asked: DataFrame, c: np.ndarray, first: tuple[np.ndarray, int] | None = None) -> DataFrame:
+    """``asked`` (_q, _u, _least) for each list, with the angles (_from, _to) that a near enough member has to its centroid.
+
+    ``first``: the lists' sizes and a number; then only for the nearest lists that hold so many members together.
+    """
+    step = max(1, ROUTED // max(1, c.size * 8 + len(c) * 64))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in filter(len, batches):
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                angle = np.arccos(np.clip(_units(part.column("_u")) @ c.T, -1, 1))
-                within = np.arccos(np.clip(part.column("_least").to_numpy(), -1, 1))[:, None] + SLACK
-                rows = np.repeat(np.arange(part.num_rows), len(c))
-                yield pa.RecordBatch.from_arrays([*(x.take(pa.array(rows)) for x in part.columns), pa.array(np.tile(np.arange(len(c), dtype=np.int32), part.num_rows)), pa.array((angle - within).ravel()), pa.array((angle + within).ravel())], names=[*part.schema.names, "_list", "_from", "_to"])
+        for part in _pieces(batches, step):
+            angle = np.arccos(np.clip(_units(part.column("_u")) @ c.T, -1, 1))
+            within = np.arccos(np.clip(part.column("_least").to_numpy(), -1, 1))[:, None] + SLACK
+            chosen = np.ones(angle.shape, bool)
+            if first is not None:
+                sizes, k = first
+                order = angle.argsort(axis=1, kind="stable")
+                before = sizes[order].cumsum(axis=1) - sizes[order]
+                np.put_along_axis(chosen, order, (before < k) & (sizes[order] > 0), axis=1)
+            rows, lists = np.nonzero(chosen)
+            yield pa.RecordBatch.from_arrays([*(x.take(pa.array(rows)) for x in part.columns), pa.array(lists, pa.int32()), pa.array((angle - within)[chosen]), pa.array((angle + within)[chosen])], names=[*part.schema.names, "_list", "_from", "_to"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema)
     return asked.mapInArrow(route, f"{fields}, _list int, _from double, _to double")
@@ -173,16 +191,15 @@ def _comparer(most: int | None, counted: bool):
     return compare
 
 
-def _compared(asked: DataFrame, path: str, c: np.ndarray, most: int | None = None, counted: bool = False, lists: DataFrame | None = None) -> DataFrame:
-    """(_q, _id, similarity) of all members that are at least ``_least`` near to a query (_q, _u, _least); with ``lists`` (_q, _list) only of those."""
+def _compared(asked: DataFrame, path: str, c: np.ndarray, most: int | None = None, counted: bool = False, first: tuple[np.ndarray, int] | None = None) -> DataFrame:
+    """(_q, _id, similarity) of all members that are at least ``_least`` near to a query (_q, _u, _least); with ``first`` only of the nearest lists, as in ``_routed``."""
     spark = asked.sparkSession
     members = spark.read.parquet(f"{path}/shards")
-    shards = members.groupBy("_shard", "_list").agg(F.min("_angle").alias("_low"), F.max("_angle").alias("_high"))
-    routed = _routed(asked, c)
-    if lists is not None:
-        routed = routed.join(lists, ["_q", "_list"], "left_semi")
-    routed = routed.join(shards, "_list").where("_low <= _to AND _high >= _from").drop("_low", "_high")
-    parts = routed.groupBy("_shard", "_list").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("_n"))
+    shards = members.groupBy("_shard", "_list").agg(F.min("_angle").alias("_low"), F.max("_angle").alias("_high"), F.count(F.lit(1)).alias("_members"))
+    routed = _routed(asked, c, first).join(shards, "_list").where("_low <= _to AND _high >= _from").drop("_low", "_high")
+    queries = F.count(F.lit(1))
+    parts = routed.groupBy("_shard", "_list").agg(F.greatest(F.ceil(queries / ASKED), F.ceil(queries * F.max("_members") / PAIRS)).cast("int").alias("_n"))
+    routed = routed.drop("_members")
     routed = routed.join(parts, ["_shard", "_list"]).withColumn("_part", F.pmod(F.xxhash64("_q"), F.col("_n")).cast("int")).drop("_n")
     there = members.join(parts, ["_shard", "_list"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     there = there.select("_shard", "_list", "_part", F.lit(0).alias("_of"), "_id", F.col("_v").alias("_u"), F.col("_angle").alias("_from"))
@@ -216,11 +233,10 @@ def nearest(queries: DataFrame, path: str, k: int, id_col: str, vector_col: str
     spark = queries.sparkSession
     c = _centroids(spark, path)
     asked = _asked(queries, id_col, vector_col, c.shape[1])
-    sizes = spark.read.parquet(f"{path}/shards").groupBy("_list").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("_q").orderBy("_mid", "_list").rowsBetween(Window.unboundedPreceding, -1)
-    first = _routed(asked.withColumn("_least", F.lit(1.0)), c).select("_q", "_list", ((F.col("_from") + F.col("_to")) / 2).alias("_mid")).join(sizes, "_list")
-    first = first.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).where(F.col("_before") < k).select("_q", "_list")
-    some = _best(_compared(asked.withColumn("_least", F.lit(-1.0)), path, c, k, lists=first), k)
+    sizes = np.zeros(len(c), np.int64)
+    for row in spark.read.parquet(f"{path}/shards").groupBy("_list").count().collect():  # MOST_LISTS at most
+        sizes[row["_list"]] = row["count"]
+    some = _best(_compared(asked.withColumn("_least", F.lit(-1.0)), path, c, k, first=(sizes, k)), k)
     least = written(some.groupBy("_q").agg(F.min("similarity").alias("_s"), F.count(F.lit(1)).alias("_n")).select("_q", F.when(F.col("_n") >= k, F.col("_s") - 1e-9).otherwise(-1.0).alias("_least")), "least-similarities")
     return _best(_compared(asked.join(least, "_q"), path, c, k), k)
 

@@ -92,3 +92,27 @@ def test_recall_is_whole_and_lists_are_even(spark, sf):
     got = vi.nearest(d, path, 1, "vec_id")
     assert got.where("_q = _id").count() == d.count()
     assert spark.read.parquet(f"{path}/shards").select("_list").distinct().count() > 5
+
+
+def test_a_group_stays_small(spark, monkeypatch):
+    """Copies have one angle, so ranges don't part them; shards and groups are cut all the same."""
+    monkeypatch.setattr(vi, "MEMBERS", 50, raising=False)
+    monkeypatch.setattr(vi, "PAIRS", 400, raising=False)
+    real = vi._comparer
+
+    def watched(most, counted):
+        compare = real(most, counted)
+
+        def watch(table):
+            asked = table.column("_of").to_numpy().sum()
+            assert len(table) - asked <= 50 and asked * (len(table) - asked) <= 1600, "a large group"
+            return compare(table)
+
+        return watch
+
+    monkeypatch.setattr(vi, "_comparer", watched)
+    d, path = frame(spark, clustered(3)[:1].repeat(700, axis=0)), folder()
+    vi.build(d, path, "vec_id")
+    q = d.where("vec_id % 10 = 0")
+    assert vi.within(q, path, 0.5, "vec_id").count() == 70 * 700
+    assert [r["_id"] for r in vi.nearest(q.where("vec_id = 690"), path, 3, "vec_id").orderBy("place").collect()] == [0, 1, 2]
