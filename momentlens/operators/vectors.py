@@ -57,10 +57,19 @@ def still(sizes: Column, threshold: float = 0.98) -> Column:
     return F.coalesce(F.when(F.size(sizes) >= 2, F.array_min(sizes) / F.array_max(sizes) >= threshold), F.lit(True))
 
 
-def focal_point(frames: DataFrame, key: str = "label", grid: str = "grid", low: float = 0.2, high: float = 0.8, default: float = 0.5) -> DataFrame:
-    """Where the motion of a segment's frames is, over columns of a grid from 0 to 1; ``default`` with hardly any motion."""
-    means = frames.select(key, F.posexplode(grid).alias("i", "x"), (F.size(grid) - 1).alias("m")).groupBy(key, "i", "m").agg(F.avg("x").alias("x"))
-    d = means.groupBy(key).agg(F.sum("x").alias("w"), F.sum(F.col("x") * F.col("i") / F.col("m")).alias("s"))
+def focal_point(frames: DataFrame, key: str = "label", grid: str = "grid", low: float = 0.2, high: float = 0.8, default: float = 0.5, columns: int | None = None) -> DataFrame:
+    """Where the motion of a segment's frames is, over columns of a grid from 0 to 1; ``default`` with hardly any motion.
+
+    Frames meet as one row of means, not one for each column. ``columns``: those of the widest grid, if they are known; else they are counted first.
+    """
+    frames = frames.where(F.size(grid) > 0)
+    if columns is None:
+        columns = frames.agg(F.max(F.size(grid))).first()[0] or 1
+    names = [f"_x{i}" for i in range(columns)]
+    means = frames.groupBy(key, (F.size(grid) - 1).alias("m")).agg(*[F.avg(F.get(grid, F.lit(i))).alias(x) for i, x in enumerate(names)])
+    total = lambda terms: F.when(F.coalesce(*names).isNotNull(), sum((F.coalesce(t, F.lit(0.0)) for t in terms), F.lit(0.0)))
+    w = F.when(F.col("m") >= columns, F.raise_error(F.lit(f"a grid has more than {columns} columns"))).otherwise(total(map(F.col, names)))
+    d = means.groupBy(key).agg(F.sum(w).alias("w"), F.sum(total(F.col(x) * i / F.col("m") for i, x in enumerate(names))).alias("s"))
     x = F.when(F.col("w") < 1e-6, default).otherwise(F.col("s") / F.col("w"))
     return d.select(key, F.round(F.greatest(F.lit(low), F.least(F.lit(high), x)), 3).alias("focal_x"))
 

@@ -114,7 +114,7 @@ def a15_centroids(spark: SparkSession, sf: str) -> DataFrame:
 def a14_focal_points(spark: SparkSession, sf: str) -> DataFrame:
     """Mean of a grid of five columns by supplier."""
     d = src.table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("label"), F.array("l_quantity", F.col("l_discount") * 100, F.col("l_tax") * 100, F.col("l_extendedprice") / 1000, "l_linenumber").alias("grid"))
-    d = vectors.focal_point(d)
+    d = vectors.focal_point(d, columns=5)
     return d.select("label", R("focal_x", 3), fn.side(F.col("focal_x")).alias("side"))
 
 

@@ -95,7 +95,7 @@ def k05_enriched(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as segments with the focal points of their lines' grids; a segment without frames has the middle."""
     segments = src.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("label"), (F.col("o_totalprice") / 1000).alias("start"), F.lit(0.9).alias("focal_x"))
     frames = src.table(spark, sf, "lineitem").where("l_quantity > 10").select(F.col("l_orderkey").cast("string").alias("label"), F.array("l_quantity", F.col("l_discount") * 100, F.col("l_tax") * 100, F.col("l_extendedprice") / 1000, "l_linenumber").alias("grid"))
-    return manifest.enriched(segments, vectors.focal_point(frames)).select("label", R("start"), "focal_x", "side")
+    return manifest.enriched(segments, vectors.focal_point(frames, columns=5)).select("label", R("start"), "focal_x", "side")
 
 
 def t10_label_orders(spark: SparkSession, sf: str) -> DataFrame:

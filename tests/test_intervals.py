@@ -109,3 +109,14 @@ def test_clip_lengths_and_rounding_are_the_sqls(spark):
     assert [round(r["end"], 6) for r in got] == [37.4, 37.882024]
     assert spark.range(1).select(fn.rounded(F.lit(98.82) / 192.0)).first()[0] == 0.514687
     assert spark.range(1).select(fn.rounded(F.lit(None).cast("double"))).first()[0] is None
+
+
+def test_focal_point_shuffles_a_row_for_each_frame(spark):
+    rows = [("a", [1.0, 0.0, 3.0]), ("a", [None, 2.0, 1.0]), ("a", [4.0, 4.0]), ("b", [None, None]), ("c", []), ("c", None), ("d", [0.0, 0.0])]
+    d = spark.createDataFrame(rows, "label string, grid array<double>")
+    # means of "a": 1, 1, 2 of three columns and 4, 4 of two
+    want = {"a": round((0.5 + 2 + 4) / 12, 3), "b": 0.8, "d": 0.5}
+    assert dict(vectors.focal_point(d).collect()) == dict(vectors.focal_point(d, columns=3).collect()) == want
+    assert "Generate" not in vectors.focal_point(d, columns=3)._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="more than 2 columns"):
+        vectors.focal_point(d, columns=2).collect()
